@@ -120,5 +120,12 @@ FROM events
 
 
 def with_views(body: str) -> str:
-    """Prefix a DuckDB query with the ``daily`` and ``hourly`` fact CTEs."""
-    return f"WITH daily AS ({DAILY_VIEW_SQL}), hourly AS ({HOURLY_VIEW_SQL})\n{body}"
+    """Prefix a DuckDB query with the ``daily`` and ``hourly`` fact CTEs.
+
+    A body that starts with its own ``WITH`` is merged into the same clause.
+    """
+    head = f"WITH daily AS ({DAILY_VIEW_SQL}), hourly AS ({HOURLY_VIEW_SQL})"
+    text = body.strip()
+    if text[:4].upper() == "WITH" and text[4:5].isspace():
+        return f"{head},\n{text[5:]}"
+    return f"{head}\n{text}"
