@@ -17,8 +17,20 @@ from rankspark.schema import DAILY_COLUMNS, HOURLY_COLUMNS
 HOURLY_SITE = "sc-domain:events.example"
 
 
+# Read handles of the driver's read-only tables, per session: a handle is a
+# lazy plan (file index + schema), so reusing it skips the footer reads that
+# building it costs; no data is held.
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _TABLES[key] = df
+    return df
 
 
 def _device_of_line(linenumber: Column) -> Column:

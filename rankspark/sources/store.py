@@ -14,7 +14,6 @@ A store can also wrap DataFrames already in memory (fixture views, tests).
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,32 +33,45 @@ def _read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     )
 
 
-@dataclass
 class Store:
-    spark: SparkSession
-    daily_df: DataFrame
-    hourly_df: DataFrame
-    root: str | None = None
+    """Daily and hourly tables; each is built on first use only."""
+
+    def __init__(self, spark: SparkSession, daily, hourly, root: str | None = None):
+        self.spark = spark
+        self.root = root
+        self._daily, self._hourly = daily, hourly
+
+    @property
+    def daily_df(self) -> DataFrame:
+        if callable(self._daily):
+            self._daily = self._daily()
+        return self._daily
+
+    @property
+    def hourly_df(self) -> DataFrame:
+        if callable(self._hourly):
+            self._hourly = self._hourly()
+        return self._hourly
 
     # -- construction -------------------------------------------------------
     @classmethod
     def at(cls, spark: SparkSession, root: str) -> "Store":
         """Open the partitioned tables under ``root`` (missing tables read empty)."""
         root = root.rstrip("/")
-        return cls(spark, _open_or_empty(spark, f"{root}/daily", DAILY),
-                   _open_or_empty(spark, f"{root}/hourly", HOURLY), root)
+        return cls(spark, lambda: _open_or_empty(spark, f"{root}/daily", DAILY),
+                   lambda: _open_or_empty(spark, f"{root}/hourly", HOURLY), root)
 
     @classmethod
     def of(cls, spark: SparkSession, daily: DataFrame, hourly: DataFrame | None = None) -> "Store":
         if hourly is None:
-            hourly = spark.createDataFrame([], HOURLY)
+            return cls(spark, daily, lambda: spark.createDataFrame([], HOURLY))
         return cls(spark, daily, hourly)
 
     @classmethod
     def fixtures(cls, spark: SparkSession, sf_dir: str) -> "Store":
         from rankspark.sources.fixtures import daily_view, hourly_view
 
-        return cls(spark, daily_view(spark, sf_dir), hourly_view(spark, sf_dir))
+        return cls(spark, lambda: daily_view(spark, sf_dir), lambda: hourly_view(spark, sf_dir))
 
     # -- scans (SRC-1..3) ---------------------------------------------------
     def daily(self, site: str | None = None, require_site: bool = False) -> DataFrame:
@@ -107,11 +119,13 @@ class Store:
         if ";" in _strip_literals(text):
             raise ValueError("only one statement is accepted")
         escaped = _escape_other_braces(text, ("site", "site_hourly"))
-        df = self.spark.sql(
-            escaped,
-            site=self.table(data_type, site),
-            site_hourly=self.hourly(site),
-        )
+        used = set(_PLACEHOLDER.findall(escaped.replace("{{", "").replace("}}", "")))
+        bound = {}
+        if "site" in used:
+            bound["site"] = self.table(data_type, site)
+        if "site_hourly" in used:
+            bound["site_hourly"] = self.hourly(site)
+        df = self.spark.sql(escaped, **bound)
         if default_limit is not None and not _has_outer_limit(text):
             df = df.limit(default_limit)
         return df
