@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # longer lists become a broadcast semi-join, still sized from the driver list.
 ISIN_MAX_VALUES = 200
 # Driver-side lists longer than this are not broadcast but shuffle-joined.
-BROADCAST_MAX_VALUES = 1_000_000
+BROADCAST_MAX_VALUES = 100_000
 
 # Candidate escape characters for LIKE. The source engine's LIKE has no escape
 # character at all, so we pick one that the pattern does not contain.
