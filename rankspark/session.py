@@ -69,8 +69,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def use_shared_checkpoint_dir(spark: SparkSession) -> str:
+    """Point ``Dataset.checkpoint()`` at the shared folder named by the session.
+
+    Needed when ``spark.checkpoint.dir`` was set as a session conf after the
+    context started; raises (via ``checkpoint_root``) when no folder is named.
+    """
+    root = checkpoint_root(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; set a scratch one only when unset (tests)."""
+    """Local runs and tests only: name a scratch checkpoint folder when the
+    session names none. Cluster jobs never call this; they use the shared
+    folder from ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -78,9 +92,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="rankspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    return use_shared_checkpoint_dir(spark)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.schema import DAILY_COLUMNS, HOURLY_COLUMNS, LAST_HOUR
+from rankspark.session import use_shared_checkpoint_dir
 from rankspark.sources.store import Store
 
 UNIT = ["site_url", "date"]
@@ -54,6 +55,7 @@ def write_hourly(rows: DataFrame, root: str, compression: str = "snappy") -> Dat
     """
     spark = rows.sparkSession
     store = Store.at(spark, root)
+    use_shared_checkpoint_dir(spark)
     frozen = complete_hourly_units(store).checkpoint(eager=True)
     new = rows.select(*HOURLY_COLUMNS).join(frozen, UNIT, "left_anti")
     (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
