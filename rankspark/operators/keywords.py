@@ -35,7 +35,7 @@ def read_keywords(spark: SparkSession, path: str) -> DataFrame:
 def _as_frame(perf: DataFrame, keywords) -> DataFrame:
     if isinstance(keywords, DataFrame):
         return keywords.select(F.col(keywords.columns[0]).cast("string").alias("query"))
-    return keyword_frame(perf.sparkSession, list(keywords))
+    return keyword_frame(perf.sparkSession, keywords)
 
 
 # -- analyses ------------------------------------------------------------------
@@ -53,18 +53,29 @@ def keyword_coverage(perf: DataFrame, keywords: Iterable[str],
     )
 
 
-def keyword_gap(perf: DataFrame, keywords) -> DataFrame:
+def keyword_gap(perf: DataFrame, keywords: list[str | None] | DataFrame) -> DataFrame:
     """KWD-2: listed keywords with no row at all in ``perf``; duplicates kept.
 
-    Two phases so the fact never crosses the network: the distinct keyword set
-    is semi-joined into the fact (AQE broadcasts it when small), leaving only
-    the matched keyword values; those are anti-joined back to the list.
+    Two phases so fact rows never cross the network: the distinct keyword set
+    is broadcast into a semi-join with the fact, which is then reduced to the
+    distinct matched keywords before its only shuffle; those are anti-joined
+    back to the list.
     A NULL keyword never matches and is always reported, as with the source's
     ``LEFT JOIN ... IS NULL``.
     """
+    if not isinstance(keywords, DataFrame):
+        keywords = list(keywords)
     kw = _as_frame(perf, keywords)
+    # A driver-side list has a known length; only then is the broadcast proven
+    # small. A keyword frame (e.g. read from a file) is left to Spark's
+    # size-based join choice.
+    bounded = not isinstance(keywords, DataFrame) and len(keywords) <= P.BROADCAST_MAX_VALUES
     wanted = kw.where(F.col("query").isNotNull()).distinct()
+    if bounded:
+        wanted = F.broadcast(wanted)
     matched = perf.select("query").join(wanted, "query", "left_semi").distinct()
+    if bounded:
+        matched = F.broadcast(matched)  # a subset of the list
     return kw.join(matched, "query", "left_anti")
 
 

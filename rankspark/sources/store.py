@@ -68,9 +68,18 @@ class Store:
         return cls(spark, daily, hourly)
 
     @classmethod
-    def fixtures(cls, spark: SparkSession, sf_dir: str) -> "Store":
-        from rankspark.sources.fixtures import daily_view, hourly_view
+    def fixtures(cls, spark: SparkSession, sf_dir: str, stored: bool = True) -> "Store":
+        """The fact tables derived from the driver's tables in ``sf_dir``.
 
+        With ``stored`` they are written once per application to the shared
+        checkpoint folder and read back as a store; otherwise (or if that write
+        is impossible) each report re-derives them through the lazy views.
+        """
+        from rankspark.sources.fixtures import daily_view, fact_root, hourly_view
+
+        root = fact_root(spark, sf_dir) if stored else None
+        if root is not None:
+            return cls.at(spark, root)
         return cls(spark, lambda: daily_view(spark, sf_dir), lambda: hourly_view(spark, sf_dir))
 
     # -- scans (SRC-1..3) ---------------------------------------------------
