@@ -23,15 +23,36 @@ from rankspark.sources.store import Store
 UNIT = ["site_url", "date"]
 
 
-def stored_units(store: Store, table: str = "daily") -> DataFrame:
-    """(site_url, date) units present in a stored table (partition columns only)."""
-    df = store.daily() if table == "daily" else store.hourly()
-    return df.select(*UNIT).distinct()
+def within_dates(stored: DataFrame, units: DataFrame | None) -> DataFrame:
+    """Restrict a stored table to the dates spanned by ``units``.
 
-
-def complete_hourly_units(store: Store) -> DataFrame:
-    """Hourly units whose latest stored hour is 23."""
-    return (store.hourly().groupBy(*UNIT).agg(F.max("hour").alias("max_hour"))
+    The span is one small aggregate; as a literal range it becomes a partition
+    filter, so only those date folders are listed, not the whole history.
+    """
+    if units is None:
+        return stored
+    lo, hi = units.agg(F.min("date"), F.max("date")).first()
+    if lo is None:
+        return stored.where(F.lit(False))
+    return stored.where(F.col("date").between(F.lit(lo), F.lit(hi)))
+
+
+def stored_units(store: Store, table: str = "daily", units: DataFrame | None = None) -> DataFrame:
+    """(site_url, date) units present in a stored table, optionally only among
+    ``units`` (partition columns only; no data columns are read)."""
+    df = within_dates(store.daily() if table == "daily" else store.hourly(), units)
+    out = df.select(*UNIT)
+    if units is not None:
+        out = out.join(units, UNIT, "left_semi")
+    return out.distinct()
+
+
+def complete_hourly_units(store: Store, units: DataFrame | None = None) -> DataFrame:
+    """Hourly units whose latest stored hour is 23, optionally only among ``units``."""
+    df = within_dates(store.hourly(), units)
+    if units is not None:
+        df = df.join(units, UNIT, "left_semi")
+    return (df.groupBy(*UNIT).agg(F.max("hour").alias("max_hour"))
             .where(F.col("max_hour") == LAST_HOUR).select(*UNIT))
 
 
@@ -41,7 +62,8 @@ def write_daily(rows: DataFrame, root: str, compression: str = "snappy") -> Data
     Re-running with the same input writes nothing (idempotent).
     """
     store = Store.at(rows.sparkSession, root)
-    new = rows.select(*DAILY_COLUMNS).join(stored_units(store, "daily"), UNIT, "left_anti")
+    units = rows.select(*UNIT).distinct()
+    new = rows.select(*DAILY_COLUMNS).join(stored_units(store, "daily", units), UNIT, "left_anti")
     (new.write.mode("append").option("compression", compression)
         .partitionBy(*UNIT).parquet(f"{root.rstrip('/')}/daily"))
     return new
@@ -56,7 +78,8 @@ def write_hourly(rows: DataFrame, root: str, compression: str = "snappy") -> Dat
     spark = rows.sparkSession
     store = Store.at(spark, root)
     use_shared_checkpoint_dir(spark)
-    frozen = complete_hourly_units(store).checkpoint(eager=True)
+    units = rows.select(*UNIT).distinct()
+    frozen = complete_hourly_units(store, units).checkpoint(eager=True)
     new = rows.select(*HOURLY_COLUMNS).join(frozen, UNIT, "left_anti")
     (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .option("compression", compression)

@@ -28,7 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rankspark.schema import RAW_PAGE
 from rankspark.session import checkpoint_root
-from rankspark.sinks.fact import write_daily, write_hourly
+from rankspark.sinks.fact import within_dates, write_daily, write_hourly
 from rankspark.sources.landing import UNIT, assemble_pages, flatten_daily, flatten_hourly
 
 
@@ -43,7 +43,8 @@ def process_pages(batch: DataFrame, store_root: str, kind: str) -> None:
     batch.write.mode("append").partitionBy(*UNIT).parquet(staging)
     touched = batch.select(*UNIT).distinct()
     staged = spark.read.schema(RAW_PAGE).parquet(staging).select(*RAW_PAGE.fieldNames())
-    pages = assemble_pages(staged.join(touched, UNIT, "left_semi"))
+    # Only the touched units' folders: a date-range partition filter, then the exact units.
+    pages = assemble_pages(within_dates(staged, touched).join(touched, UNIT, "left_semi"))
     if kind == "daily":
         write_daily(flatten_daily(pages), store_root)
     else:
