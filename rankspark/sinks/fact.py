@@ -4,11 +4,12 @@ Daily units are written once and never touched again (append after an
 anti-join with the stored units). Hourly units are replaced whole until they
 are complete (dynamic partition overwrite), and a complete unit is frozen.
 
-The write is not repartitioned by (site, date): that would put a whole day in
-one task, and one hot day can be a large share of a batch. Spark's commit
-protocol makes the job atomic whatever the task layout, so a day written by
-several tasks is still all-or-nothing; the input here is already spread by
-page (each page has at most 25,000 rows).
+Before a write, rows are hash-partitioned by (site_url, date) with an
+explicit width (``spark.sql.shuffle.partitions``; AQE does not collapse an
+explicit width): every day goes to one writer, so each day is one file as in
+the source layout, and the days are written in parallel. One task per day is
+bounded because the source returns at most 50,000 rows per day and search
+type. Spark's commit protocol makes the whole job all-or-nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +24,12 @@ from rankspark.sources.store import Store
 UNIT = ["site_url", "date"]
 
 
+def by_unit(df: DataFrame) -> DataFrame:
+    """One writer per (site, date), spread over the configured shuffle width."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *UNIT)
+
+
 def within_dates(stored: DataFrame, units: DataFrame | None) -> DataFrame:
     """Restrict a stored table to the dates spanned by ``units``.
 
@@ -64,7 +71,7 @@ def write_daily(rows: DataFrame, root: str, compression: str = "snappy") -> Data
     store = Store.at(rows.sparkSession, root)
     units = rows.select(*UNIT).distinct()
     new = rows.select(*DAILY_COLUMNS).join(stored_units(store, "daily", units), UNIT, "left_anti")
-    (new.write.mode("append").option("compression", compression)
+    (by_unit(new).write.mode("append").option("compression", compression)
         .partitionBy(*UNIT).parquet(f"{root.rstrip('/')}/daily"))
     return new
 
@@ -81,7 +88,7 @@ def write_hourly(rows: DataFrame, root: str, compression: str = "snappy") -> Dat
     units = rows.select(*UNIT).distinct()
     frozen = complete_hourly_units(store, units).checkpoint(eager=True)
     new = rows.select(*HOURLY_COLUMNS).join(frozen, UNIT, "left_anti")
-    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (by_unit(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .option("compression", compression)
         .partitionBy(*UNIT).parquet(f"{root.rstrip('/')}/hourly"))
     return new

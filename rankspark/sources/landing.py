@@ -8,10 +8,10 @@ with bounded fan-out, and no operation here ever gathers a whole day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankspark.schema import DAILY_COLUMNS, HOURLY_COLUMNS, PAGE_ROW_LIMIT, RAW_PAGE
+from rankspark.schema import DAILY_COLUMNS, DIMENSIONS, HOURLY_COLUMNS, PAGE_ROW_LIMIT, RAW_PAGE
 
 UNIT = ["site_url", "date"]
 FETCH = ["site_url", "date", "fetch_id"]
@@ -115,3 +115,48 @@ def assemble_pages(raw: DataFrame, page_limit: int = PAGE_ROW_LIMIT) -> DataFram
     chosen = latest_complete_fetch(raw, page_limit).where(F.col("n_rows") > 0).select(*FETCH)
     pages = raw.join(chosen, FETCH, "left_semi")
     return pages.dropDuplicates([*FETCH, "start_row"])
+
+
+def to_response_pages(fact: DataFrame, kind: str = "daily", fetch_id: str = "replay",
+                      fetched_at: str = "2000-01-01 00:00:00", hour_offset: str = "+00:00",
+                      page_limit: int = PAGE_ROW_LIMIT) -> DataFrame:
+    """Package stored fact rows as landed response pages (the inverse of flatten).
+
+    Used to replay a stored table through the ingest path (backfill, migration
+    of per-day files, end-to-end checks). Each (site, date) becomes one fetch:
+    pages of at most ``page_limit`` rows with contiguous start rows, plus an
+    empty closing page after a full last page, exactly as the source pages.
+    Rows are numbered inside their day only; the source returns at most 50,000
+    rows per day and search type, which bounds every window partition.
+    """
+    dims = [F.col(c) for c in ("query", "page", "device", "country")]
+    if kind == "hourly":
+        hour_key = F.concat(F.col("date"), F.lit("T"), F.lpad(F.col("hour").cast("string"), 2, "0"),
+                            F.lit(":00:00" + hour_offset))
+        keys, order = F.array(hour_key, *dims), ["hour", *DIMENSIONS]
+    else:
+        keys, order = F.array(*dims), list(DIMENSIONS)
+    row = F.struct(
+        keys.alias("keys"),
+        F.col("clicks").cast("double").alias("clicks"),
+        F.col("impressions").cast("double").alias("impressions"),
+        F.col("ctr").cast("double").alias("ctr"),
+        F.col("position").cast("double").alias("position"),
+    )
+    w = Window.partitionBy(*UNIT).orderBy(*[F.asc_nulls_last(c) for c in order],
+                                          "clicks", "impressions", "ctr", "position")
+    numbered = fact.select(*UNIT, row.alias("row"), (F.row_number().over(w) - 1).alias("i"))
+    pages = numbered.groupBy(*UNIT, F.floor(F.col("i") / page_limit).alias("page_no")).agg(
+        F.array_sort(F.collect_list(F.struct("i", "row"))).alias("numbered"))
+    pages = pages.select(
+        *UNIT, (F.col("page_no") * page_limit).cast("bigint").alias("start_row"),
+        F.transform("numbered", lambda x: x["row"]).alias("rows"))
+    day_sizes = fact.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"))
+    closing = day_sizes.where(F.col("n") % page_limit == 0).select(
+        *UNIT, F.col("n").cast("bigint").alias("start_row"),
+        F.array().cast(RAW_PAGE["rows"].dataType).alias("rows"))
+    out = pages.unionByName(closing)
+    return out.select(
+        *UNIT, F.lit(fetch_id).alias("fetch_id"), "start_row",
+        F.lit(fetched_at).cast("timestamp").alias("fetched_at"), "rows",
+    ).select(*RAW_PAGE.fieldNames())

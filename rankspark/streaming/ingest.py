@@ -28,7 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rankspark.schema import RAW_PAGE
 from rankspark.session import checkpoint_root
-from rankspark.sinks.fact import within_dates, write_daily, write_hourly
+from rankspark.sinks.fact import by_unit, within_dates, write_daily, write_hourly
 from rankspark.sources.landing import UNIT, assemble_pages, flatten_daily, flatten_hourly
 
 
@@ -40,7 +40,7 @@ def process_pages(batch: DataFrame, store_root: str, kind: str) -> None:
     """One micro-batch (or one batch job) of landed pages -> fact table."""
     spark = batch.sparkSession
     staging = _staging_path(store_root, kind)
-    batch.write.mode("append").partitionBy(*UNIT).parquet(staging)
+    by_unit(batch).write.mode("append").partitionBy(*UNIT).parquet(staging)
     touched = batch.select(*UNIT).distinct()
     staged = spark.read.schema(RAW_PAGE).parquet(staging).select(*RAW_PAGE.fieldNames())
     # Only the touched units' folders: a date-range partition filter, then the exact units.

@@ -191,3 +191,27 @@ def test_site_url_round_trip(spark, tmp_path, site):
     ingest_batch(spark, landing, root, "daily")
     assert [r.site_url for r in Store.at(spark, root).sites().collect()] == [site]
     assert Store.at(spark, root).daily(site).count() == 1
+
+
+def test_response_pages_boundaries(spark):
+    from rankspark.schema import DAILY
+    from rankspark.sources.landing import to_response_pages
+
+    rows = [("s", "d1", f"q{i}", "/p", "M", "twn", 1, 2, 0.5, 1.0) for i in range(6)]
+    rows += [("s", "d2", f"q{i}", "/p", "M", "twn", 1, 2, 0.5, 1.0) for i in range(4)]
+    pages = to_response_pages(spark.createDataFrame(rows, DAILY), page_limit=3)
+    got = sorted((r.date, r.start_row, len(r.rows)) for r in pages.collect())
+    # d1: two full pages and an empty closing page; d2: a full page and a short one.
+    assert got == [("d1", 0, 3), ("d1", 3, 3), ("d1", 6, 0), ("d2", 0, 3), ("d2", 3, 1)]
+    st = {r.date: (r.complete, r.n_rows) for r in fetch_status(pages, 3).collect()}
+    assert st == {"d1": (True, 6), "d2": (True, 4)}
+
+
+def test_daily_round_trip_of_stored_facts(spark):
+    from rankspark.queries.ingest import round_trip
+    from tests.conftest import SF_SMALL
+
+    facts = Store.fixtures(spark, SF_SMALL).daily().where("date >= '1998-01-01' AND date < '1998-03-01'")
+    back = round_trip(spark, facts, "daily")
+    assert facts.count() > 0
+    assert back.exceptAll(facts).count() == 0 and facts.exceptAll(back).count() == 0
