@@ -37,7 +37,7 @@ def find_rows(perf: DataFrame, pattern: str, min_clicks: int) -> DataFrame:
 
 def hour_profile(hourly: DataFrame) -> DataFrame:
     """ADH-3 / AGG-7: clicks and impressions by hour of day."""
-    return hourly.groupBy("hour").agg(X.total("clicks"), X.total("impressions")).orderBy("hour")
+    return hourly.groupBy("hour").agg(X.total("clicks"), X.total("impressions"))
 
 
 def rows_at_hour(hourly: DataFrame, hour: int, date: str | None = None) -> DataFrame:

@@ -21,15 +21,21 @@ def _recent(perf: DataFrame, as_of, days) -> DataFrame:
     return perf if as_of is None or days is None else perf.where(P.last_days(as_of, days))
 
 
-def daily_totals(perf: DataFrame, as_of: dt.date | str | None = None, days: int | None = None) -> DataFrame:
-    """DSH-1: per (site, date): clicks, impressions, ctr (%), mean position."""
+def daily_totals(perf: DataFrame, as_of: dt.date | str | None = None, days: int | None = None,
+                 ordered: bool = False) -> DataFrame:
+    """DSH-1: per (site, date): clicks, impressions, ctr (%), mean position.
+
+    Unordered by default: the KPI operators aggregate over it, and a sort
+    under an aggregate is a wasted range shuffle. ``ordered=True`` sorts by
+    site and date for display.
+    """
     out = _recent(perf, as_of, days).groupBy("site_url", "date").agg(
         X.total("clicks"), X.total("impressions"), X.mean("position", "position")
-    )
-    return out.select(
+    ).select(
         "site_url", "date", "clicks", "impressions",
         X.ctr_pct("clicks", "impressions").alias("ctr"), "position",
-    ).orderBy("site_url", "date")
+    )
+    return out.orderBy("site_url", "date") if ordered else out
 
 
 def kpi_summary(totals: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ _SITE_RECENT = f"(SELECT * FROM daily WHERE site_url = {sql_str(SITE)} AND date
 
 @register("daily_totals", "DSH-1", _DAILY_TOTALS_SQL.format(src=_SITE_RECENT))
 def q_daily_totals(spark, sf_dir):
-    return D.daily_totals(_site(spark, sf_dir), AS_OF, DAYS)
+    return D.daily_totals(_site(spark, sf_dir), AS_OF, DAYS, ordered=True)
 
 
 @register("kpi_summary", "DSH-2", f"""
