@@ -4,12 +4,14 @@ Daily units are written once and never touched again (append after an
 anti-join with the stored units). Hourly units are replaced whole until they
 are complete (dynamic partition overwrite), and a complete unit is frozen.
 
-Before a write, rows are hash-partitioned by (site_url, date) with an
+Before a write, rows are hash-partitioned by (site_url, date, page) with an
 explicit width (``spark.sql.shuffle.partitions``; AQE does not collapse an
-explicit width): every day goes to one writer, so each day is one file as in
-the source layout, and the days are written in parallel. One task per day is
-bounded because the source returns at most 50,000 rows per day and search
-type. Spark's commit protocol makes the whole job all-or-nothing.
+explicit width), where page is the landed page a row came from (at most
+25,000 rows). A day of one page is one file, as in the source layout; a very
+large day spreads over as many writers as it has pages, so no day is ever
+funnelled through one task. Rows without a page column are spread by a hash
+of their dimensions into ~25,000-row slices per day instead. Spark's commit
+protocol makes the whole job all-or-nothing.
 """
 
 from __future__ import annotations
@@ -17,17 +19,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.schema import DAILY_COLUMNS, HOURLY_COLUMNS, LAST_HOUR
+from rankspark.schema import DAILY_COLUMNS, DIMENSIONS, HOURLY_COLUMNS, LAST_HOUR, PAGE_ROW_LIMIT
 from rankspark.session import use_shared_checkpoint_dir
 from rankspark.sources.store import Store
 
 UNIT = ["site_url", "date"]
 
 
-def by_unit(df: DataFrame) -> DataFrame:
-    """One writer per (site, date), spread over the configured shuffle width."""
+def by_unit(df: DataFrame, spread: str | None = None) -> DataFrame:
+    """Partition rows for a (site, date)-partitioned write.
+
+    ``spread`` names a column that splits a day into bounded slices (the page's
+    start row). Without it, a day is sliced by a dimension hash into as many
+    parts as it has ~25,000-row pages (from a per-day count).
+    """
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(width, *UNIT)
+    if spread is not None:
+        return df.repartition(width, *UNIT, spread)
+    sizes = df.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(PAGE_ROW_LIMIT))).cast("long")
+    dims = [c for c in ("hour", *DIMENSIONS) if c in df.columns]
+    sliced = df.join(sizes, UNIT).withColumn("_slice", F.pmod(F.xxhash64(*dims), parts))
+    return sliced.repartition(width, *UNIT, "_slice").drop("_n", "_slice")
 
 
 def within_dates(stored: DataFrame, units: DataFrame | None) -> DataFrame:
@@ -66,12 +79,15 @@ def complete_hourly_units(store: Store, units: DataFrame | None = None) -> DataF
 def write_daily(rows: DataFrame, root: str, compression: str = "snappy") -> DataFrame:
     """SNK-1: append the rows of days not yet stored; returns the rows written (lazy).
 
-    Re-running with the same input writes nothing (idempotent).
+    Re-running with the same input writes nothing (idempotent). A ``start_row``
+    column, if present, spreads large days over writers and is not stored.
     """
     store = Store.at(rows.sparkSession, root)
+    spread = "start_row" if "start_row" in rows.columns else None
     units = rows.select(*UNIT).distinct()
-    new = rows.select(*DAILY_COLUMNS).join(stored_units(store, "daily", units), UNIT, "left_anti")
-    (by_unit(new).write.mode("append").option("compression", compression)
+    new = rows.select(*DAILY_COLUMNS, *([spread] if spread else [])).join(
+        stored_units(store, "daily", units), UNIT, "left_anti")
+    (by_unit(new, spread).select(*DAILY_COLUMNS).write.mode("append").option("compression", compression)
         .partitionBy(*UNIT).parquet(f"{root.rstrip('/')}/daily"))
     return new
 
@@ -85,10 +101,11 @@ def write_hourly(rows: DataFrame, root: str, compression: str = "snappy") -> Dat
     spark = rows.sparkSession
     store = Store.at(spark, root)
     use_shared_checkpoint_dir(spark)
+    spread = "start_row" if "start_row" in rows.columns else None
     units = rows.select(*UNIT).distinct()
     frozen = complete_hourly_units(store, units).checkpoint(eager=True)
-    new = rows.select(*HOURLY_COLUMNS).join(frozen, UNIT, "left_anti")
-    (by_unit(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    new = rows.select(*HOURLY_COLUMNS, *([spread] if spread else [])).join(frozen, UNIT, "left_anti")
+    (by_unit(new, spread).select(*HOURLY_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .option("compression", compression)
         .partitionBy(*UNIT).parquet(f"{root.rstrip('/')}/hourly"))
     return new

@@ -32,16 +32,22 @@ def _flat_rows(raw: DataFrame, *envelope: str) -> DataFrame:
     return raw.select(*envelope, F.inline("rows"))
 
 
-def flatten_daily(raw: DataFrame) -> DataFrame:
-    """SRC-6: keys = [query, page, device, country] -> the daily schema."""
-    r = _flat_rows(raw, "site_url", "date")
+def flatten_daily(raw: DataFrame, keep_start_row: bool = False) -> DataFrame:
+    """SRC-6: keys = [query, page, device, country] -> the daily schema.
+
+    ``keep_start_row`` carries the page's start row along (the writers use it
+    to spread a large day over several tasks).
+    """
+    extra = ["start_row"] if keep_start_row else []
+    r = _flat_rows(raw, "site_url", "date", *extra)
     k = F.col("keys")
     return r.select(
         "site_url", "date",
         k[0].alias("query"), k[1].alias("page"), k[2].alias("device"), k[3].alias("country"),
         _whole(F.col("clicks")).alias("clicks"), _whole(F.col("impressions")).alias("impressions"),
         F.col("ctr").cast("double").alias("ctr"), F.col("position").cast("double").alias("position"),
-    ).select(*DAILY_COLUMNS)
+        *extra,
+    ).select(*DAILY_COLUMNS, *extra)
 
 
 def hour_of_key(key) -> F.Column:
@@ -53,19 +59,21 @@ def hour_of_key(key) -> F.Column:
     return F.split(F.split(key, "T")[1], ":")[0].cast("int")
 
 
-def flatten_hourly(raw: DataFrame) -> DataFrame:
+def flatten_hourly(raw: DataFrame, keep_start_row: bool = False) -> DataFrame:
     """SRC-7: keys = [hour key, query, page, device, country] -> the hourly schema.
 
     ``date`` is the requested date of the envelope, not the key's date.
     """
-    r = _flat_rows(raw, "site_url", "date")
+    extra = ["start_row"] if keep_start_row else []
+    r = _flat_rows(raw, "site_url", "date", *extra)
     k = F.col("keys")
     return r.select(
         "site_url", "date", hour_of_key(k[0]).alias("hour"),
         k[1].alias("query"), k[2].alias("page"), k[3].alias("device"), k[4].alias("country"),
         _whole(F.col("clicks")).alias("clicks"), _whole(F.col("impressions")).alias("impressions"),
         F.col("ctr").cast("double").alias("ctr"), F.col("position").cast("double").alias("position"),
-    ).select(*HOURLY_COLUMNS)
+        *extra,
+    ).select(*HOURLY_COLUMNS, *extra)
 
 
 def fetch_status(raw: DataFrame, page_limit: int = PAGE_ROW_LIMIT) -> DataFrame:
@@ -126,8 +134,13 @@ def to_response_pages(fact: DataFrame, kind: str = "daily", fetch_id: str = "rep
     of per-day files, end-to-end checks). Each (site, date) becomes one fetch:
     pages of at most ``page_limit`` rows with contiguous start rows, plus an
     empty closing page after a full last page, exactly as the source pages.
-    Rows are numbered inside their day only; the source returns at most 50,000
-    rows per day and search type, which bounds every window partition.
+
+    Rows are numbered without ever sorting a whole day in one task: each day is
+    split into hash buckets of about one page, rows are numbered inside their
+    bucket, and each bucket's offset is the running total of the bucket sizes
+    before it (a window over per-bucket counts, one small row per bucket).
+    Pages are then gathered by (site, date, page), at most ``page_limit`` rows
+    each, so one very large day spreads over many tasks.
     """
     dims = [F.col(c) for c in ("query", "page", "device", "country")]
     if kind == "hourly":
@@ -136,6 +149,7 @@ def to_response_pages(fact: DataFrame, kind: str = "daily", fetch_id: str = "rep
         keys, order = F.array(hour_key, *dims), ["hour", *DIMENSIONS]
     else:
         keys, order = F.array(*dims), list(DIMENSIONS)
+    measures = ["clicks", "impressions", "ctr", "position"]
     row = F.struct(
         keys.alias("keys"),
         F.col("clicks").cast("double").alias("clicks"),
@@ -143,15 +157,25 @@ def to_response_pages(fact: DataFrame, kind: str = "daily", fetch_id: str = "rep
         F.col("ctr").cast("double").alias("ctr"),
         F.col("position").cast("double").alias("position"),
     )
-    w = Window.partitionBy(*UNIT).orderBy(*[F.asc_nulls_last(c) for c in order],
-                                          "clicks", "impressions", "ctr", "position")
-    numbered = fact.select(*UNIT, row.alias("row"), (F.row_number().over(w) - 1).alias("i"))
-    pages = numbered.groupBy(*UNIT, F.floor(F.col("i") / page_limit).alias("page_no")).agg(
+    day_sizes = fact.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"))
+    n_buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(page_limit))).cast("long")
+    bucket = F.pmod(F.xxhash64(*order, *measures), n_buckets).alias("bucket")
+    rows = fact.join(day_sizes, UNIT).select(*UNIT, bucket, row.alias("row"), *order, *measures)
+
+    in_bucket = Window.partitionBy(*UNIT, "bucket").orderBy(
+        *[F.asc_nulls_last(c) for c in order], *measures)
+    numbered = rows.select(*UNIT, "bucket", "row", (F.row_number().over(in_bucket) - 1).alias("j"))
+    sizes = numbered.groupBy(*UNIT, "bucket").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy(*UNIT).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*UNIT, "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    indexed = numbered.join(offsets, [*UNIT, "bucket"]).select(
+        *UNIT, "row", (F.col("offset") + F.col("j")).alias("i"))
+
+    pages = indexed.groupBy(*UNIT, F.floor(F.col("i") / page_limit).alias("page_no")).agg(
         F.array_sort(F.collect_list(F.struct("i", "row"))).alias("numbered"))
     pages = pages.select(
         *UNIT, (F.col("page_no") * page_limit).cast("bigint").alias("start_row"),
         F.transform("numbered", lambda x: x["row"]).alias("rows"))
-    day_sizes = fact.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"))
     closing = day_sizes.where(F.col("n") % page_limit == 0).select(
         *UNIT, F.col("n").cast("bigint").alias("start_row"),
         F.array().cast(RAW_PAGE["rows"].dataType).alias("rows"))

@@ -40,15 +40,19 @@ def process_pages(batch: DataFrame, store_root: str, kind: str) -> None:
     """One micro-batch (or one batch job) of landed pages -> fact table."""
     spark = batch.sparkSession
     staging = _staging_path(store_root, kind)
-    by_unit(batch).write.mode("append").partitionBy(*UNIT).parquet(staging)
+    by_unit(batch, "start_row").write.mode("append").partitionBy(*UNIT).parquet(staging)
     touched = batch.select(*UNIT).distinct()
     staged = spark.read.schema(RAW_PAGE).parquet(staging).select(*RAW_PAGE.fieldNames())
     # Only the touched units' folders: a date-range partition filter, then the exact units.
     pages = assemble_pages(within_dates(staged, touched).join(touched, UNIT, "left_semi"))
+    _write(pages, store_root, kind)
+
+
+def _write(pages: DataFrame, store_root: str, kind: str) -> None:
     if kind == "daily":
-        write_daily(flatten_daily(pages), store_root)
+        write_daily(flatten_daily(pages, keep_start_row=True), store_root)
     else:
-        write_hourly(flatten_hourly(pages), store_root)
+        write_hourly(flatten_hourly(pages, keep_start_row=True), store_root)
 
 
 def _start(spark: SparkSession, landing: str, store_root: str, kind: str,
@@ -81,8 +85,4 @@ def stream_hourly(spark: SparkSession, landing: str, store_root: str, checkpoint
 def ingest_batch(spark: SparkSession, landing: str, store_root: str, kind: str = "daily") -> None:
     """Batch form of the same job over everything landed (re-runnable)."""
     raw = spark.read.schema(RAW_PAGE).json(landing)
-    pages = assemble_pages(raw)
-    if kind == "daily":
-        write_daily(flatten_daily(pages), store_root)
-    else:
-        write_hourly(flatten_hourly(pages), store_root)
+    _write(assemble_pages(raw), store_root, kind)

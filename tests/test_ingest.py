@@ -215,3 +215,17 @@ def test_daily_round_trip_of_stored_facts(spark):
     back = round_trip(spark, facts, "daily")
     assert facts.count() > 0
     assert back.exceptAll(facts).count() == 0 and facts.exceptAll(back).count() == 0
+
+
+def test_write_daily_from_plain_rows(spark, tmp_path):
+    from rankspark.schema import DAILY
+    from rankspark.sinks.fact import write_daily
+
+    rows = [("s", f"2024-01-0{d}", f"q{i}", "/p", "M", "twn", i, 10, 0.1, 1.0) for d in (1, 2) for i in range(5)]
+    df = spark.createDataFrame(rows, DAILY)
+    root = str(tmp_path / "store")
+    write_daily(df, root)
+    write_daily(df, root)  # idempotent
+    got = Store.at(spark, root).daily()
+    assert got.count() == 10
+    assert got.exceptAll(df).count() == 0
