@@ -111,15 +111,16 @@ def write_fact_tables(spark: SparkSession, sf_dir: str, root: str) -> str:
     """Write both views as stored fact tables under ``root``.
 
     Layout: partitioned by ``site_url``, rows range-partitioned and sorted by
-    (site_url, date, query, page), so each file covers a contiguous date range
-    and a date predicate skips row groups by their min/max statistics. The
-    range key goes past the date so one huge day is split over several files
-    instead of landing in one task. (The ingest layout adds a ``date`` folder
-    level; at test scale that would mean ~80 rows per file.)
+    (site_url, date, then every other column), so each file covers a contiguous
+    date range and a date predicate skips row groups by their min/max
+    statistics. The range key runs through all columns so a huge day, or a hot
+    query inside it, is split over several files instead of landing in one
+    task. (The ingest layout adds a ``date`` folder level; at test scale that
+    would mean ~80 rows per file.)
     """
-    order = ["site_url", "date", "query", "page"]
     for name, view in (("daily", daily_view), ("hourly", hourly_view)):
         df = view(spark, sf_dir)
+        order = ["site_url", "date"] + [c for c in df.columns if c not in ("site_url", "date")]
         (df.repartitionByRange(*order).sortWithinPartitions(*order)
            .write.mode("overwrite").option("compression", "snappy")
            .partitionBy("site_url").parquet(f"{root}/{name}"))
