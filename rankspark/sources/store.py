@@ -114,13 +114,16 @@ class Store:
 
     # -- templated SQL (SRC-4) ----------------------------------------------
     def sql(self, sql: str, site: str | None = None, data_type: str = "daily",
-            default_limit: int | None = None) -> DataFrame:
+            default_limit: int | None = None, nan_to_null: bool = False) -> DataFrame:
         """Run one SELECT/WITH statement with ``{site}`` / ``{site_hourly}`` bound.
 
         ``{site}`` is the daily table (hourly when ``data_type='hourly'``) and
         ``{site_hourly}`` the hourly one, both restricted to ``site``. Both are
         bound at once as DataFrame parameters, never spliced in as text. Any other
         brace pair is escaped so it reaches the SQL parser literally.
+        ``default_limit`` caps a statement with no outer LIMIT (SRT-7);
+        ``nan_to_null`` turns NaN into NULL in float columns (SNK-4), as the
+        source's SQL endpoint does.
         """
         if data_type not in ("daily", "hourly"):
             raise ValueError(f"data_type must be 'daily' or 'hourly', not {data_type!r}")
@@ -139,6 +142,10 @@ class Store:
         df = self.spark.sql(escaped, **bound)
         if default_limit is not None and not _has_outer_limit(text):
             df = df.limit(default_limit)
+        if nan_to_null:
+            from rankspark.sinks.export import nan_to_null as _nan_to_null
+
+            df = _nan_to_null(df)
         return df
 
 

@@ -229,3 +229,16 @@ def test_write_daily_from_plain_rows(spark, tmp_path):
     got = Store.at(spark, root).daily()
     assert got.count() == 10
     assert got.exceptAll(df).count() == 0
+
+
+def test_stream_one_file_per_batch(spark, tmp_path):
+    # Force a day's pages into different micro-batches of one run.
+    landing, root, ckpt = str(tmp_path / "landing"), str(tmp_path / "store"), str(tmp_path / "ckpt")
+    land(landing, "s", "2024-01-01", "f", 0, [drow(i) for i in range(PAGE_ROW_LIMIT)])
+    land(landing, "s", "2024-01-01", "f", PAGE_ROW_LIMIT, [drow(i) for i in range(2)])
+    land(landing, "s", "2024-01-02", "g", 0, [drow(1)])
+    q = stream_daily(spark, landing, root, ckpt, max_files_per_trigger=1)
+    q.awaitTermination(300)
+    d = Store.at(spark, root).daily()
+    assert {r.date: r.n for r in d.groupBy("date").agg(F.count("*").alias("n")).collect()} == \
+        {"2024-01-01": PAGE_ROW_LIMIT + 2, "2024-01-02": 1}

@@ -112,3 +112,8 @@ def test_plan_daily_and_spine(spark, store):
 def test_plan_hourly_refetches_incomplete(spark, store):
     plan = plan_hourly(store.hourly(), ["s1"], "2024-01-03", history_days=3)
     assert [r.date for r in plan.collect()] == ["2024-01-01", "2024-01-03"]
+
+
+def test_sql_nan_to_null(store):
+    df = store.sql("SELECT CAST('NaN' AS DOUBLE) AS x, 1 AS y FROM {site} LIMIT 1", site="s1", nan_to_null=True)
+    assert tuple(df.first()) == (None, 1)
