@@ -1,4 +1,5 @@
-"""Registered ingest round trip (SRC-7, ING-4/6, SNK-2, STR-2/3).
+"""Registered write round trips: hourly ingest (SRC-7, ING-4/6, SNK-2, STR-2/3),
+zstd archive (SNK-5) and CSV export (SNK-3).
 
 The stored facts are replayed as landed response pages (one fetch per day,
 25,000-row pages), ingested by the Structured Streaming job with
@@ -11,9 +12,13 @@ unit twice (staging, store) takes minutes at sf0.01 on a local disk. It runs
 in ``tests/test_ingest.py`` on a slice of the same stored facts.
 """
 
+from rankspark.functions.predicates import floor_date
+from rankspark.operators.dashboard import query_table
+from rankspark.queries.params import AS_OF, DAYS, SITE, sql_str
 from rankspark.registry import register
-from rankspark.schema import HOURLY_COLUMNS
+from rankspark.schema import DAILY, DAILY_COLUMNS, HOURLY_COLUMNS
 from rankspark.session import scratch_path
+from rankspark.sinks.export import archive, export_csv
 from rankspark.sources.landing import to_response_pages
 from rankspark.sources.store import Store
 from rankspark.streaming.ingest import stream_daily, stream_hourly
@@ -33,6 +38,40 @@ def round_trip(spark, facts, kind):
     return out.daily() if kind == "daily" else out.hourly()
 
 
-@register("ingest_hourly_roundtrip", "STR-2", f"SELECT {', '.join(HOURLY_COLUMNS)} FROM hourly")
+@register("ingest_hourly_roundtrip", "STR-2", f"SELECT {', '.join(HOURLY_COLUMNS)} FROM hourly", writes=True)
 def q_ingest_hourly(spark, sf_dir):
     return round_trip(spark, Store.fixtures(spark, sf_dir).hourly(), "hourly")
+
+
+@register("archive_site", "SNK-5", f"""
+SELECT {', '.join(DAILY_COLUMNS)} FROM daily WHERE site_url = {sql_str(SITE)}
+""", writes=True)
+def q_archive_site(spark, sf_dir):
+    """Archive one site's daily table with ZSTD and read the archive back."""
+    path = scratch_path(spark, "archive") + "/daily"
+    archive(Store.fixtures(spark, sf_dir).daily(SITE), path)
+    return spark.read.schema(DAILY).parquet(path)
+
+
+_CSV_SCHEMA = "Query string, Clicks bigint, Impressions bigint, CTR string, Position string"
+
+
+@register("export_csv_roundtrip", "SNK-3", f"""
+WITH t AS (
+    SELECT query, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions,
+           CASE WHEN SUM(impressions) > 0
+                THEN CAST(SUM(clicks) AS DOUBLE) / CAST(SUM(impressions) AS DOUBLE) * 100 ELSE 0.0 END AS ctr,
+           AVG(position) AS position
+    FROM daily WHERE site_url = {sql_str(SITE)} AND date >= '{floor_date(AS_OF, DAYS)}'
+    GROUP BY query ORDER BY clicks DESC, query ASC LIMIT 50
+)
+SELECT query AS "Query", clicks AS "Clicks", impressions AS "Impressions",
+       printf('%.2f', round(ctr, 2)) AS "CTR", printf('%.1f', round(position, 1)) AS "Position"
+FROM t
+""", writes=True)
+def q_export_csv_roundtrip(spark, sf_dir):
+    """Write the query table as CSV (header, quoted commas) and read the files back."""
+    path = scratch_path(spark, "csv-export")
+    table = query_table(Store.fixtures(spark, sf_dir).daily(SITE), AS_OF, DAYS, sort="clicks", limit=50)
+    export_csv(table, path)
+    return spark.read.schema(_CSV_SCHEMA).option("header", True).csv(path)

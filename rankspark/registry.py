@@ -21,12 +21,13 @@ class NamedQuery:
     run: Callable[[SparkSession, str], DataFrame]
     oracle: str | None  # DuckDB SQL over the driver's views, or None (rows-only check)
     survey_id: str
+    writes: bool = False  # a write job (files written, then read back), not a report query
 
 
 REGISTRY: dict[str, NamedQuery] = {}
 
 
-def register(name: str, survey_id: str, oracle_body: str | None = None):
+def register(name: str, survey_id: str, oracle_body: str | None = None, writes: bool = False):
     """Decorator: register ``fn(spark, sf_dir)`` with the body of its oracle.
 
     The oracle body may refer to ``daily`` and ``hourly`` (the fixture CTEs).
@@ -36,7 +37,7 @@ def register(name: str, survey_id: str, oracle_body: str | None = None):
         if name in REGISTRY:
             raise KeyError(f"duplicate query name {name}")
         oracle = with_views(oracle_body) if oracle_body is not None else None
-        REGISTRY[name] = NamedQuery(name, fn, oracle, survey_id)
+        REGISTRY[name] = NamedQuery(name, fn, oracle, survey_id, writes)
         return fn
 
     return deco

@@ -80,8 +80,8 @@ def main(argv=None):
         "",
     ]
     for name, q in load_all().items():
-        if name.startswith("ingest_"):
-            lines += [f"## {name} ({q.survey_id})", "", "write job (replay + streaming ingest); see README", ""]
+        if q.writes:
+            lines += [f"## {name} ({q.survey_id})", "", "- write job: files written, then read back (see README)", ""]
             continue
         plan = q.run(spark, args.sf)._jdf.queryExecution().executedPlan().toString()
         lines += [f"## {name} ({q.survey_id})", ""]
