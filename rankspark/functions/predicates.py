@@ -58,9 +58,17 @@ def date_between(start: dt.date | str, end: dt.date | str, column: str = "date")
 
 
 def date_range(start: dt.date | str, end_exclusive: dt.date | str, column: str = "date") -> Column:
-    """FLT-11: half-open range on ``date::DATE``."""
-    d = _c(column).cast("date")
-    return (d >= F.lit(iso(start)).cast("date")) & (d < F.lit(iso(end_exclusive)).cast("date"))
+    """FLT-11: half-open date range, ``start <= date::DATE < end``.
+
+    Stored dates are always zero-padded ``YYYY-MM-DD`` strings (fixed schema,
+    written by the ingest), whose string order is the calendar order, so the
+    range is compared as strings: that keeps it a Parquet-pushable filter and a
+    partition filter, which a per-row ``CAST(date AS DATE)`` would not be. The
+    bounds are validated as calendar dates here.
+    """
+    lo = dt.date.fromisoformat(iso(start)).isoformat()
+    hi = dt.date.fromisoformat(iso(end_exclusive)).isoformat()
+    return (_c(column) >= F.lit(lo)) & (_c(column) < F.lit(hi))
 
 
 def on_date(d: dt.date | str, column: str = "date") -> Column:

@@ -7,7 +7,6 @@ or checkpoint folder keeps them.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -100,12 +99,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint folder."""
     root = checkpoint_root(spark)
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def makedirs_if_local(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(path.replace("file://", ""), exist_ok=True)
