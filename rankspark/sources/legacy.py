@@ -1,0 +1,80 @@
+"""Read the per-day Parquet files of the source application, and migrate them.
+
+The source writes one file per (site, day) under ``<data>/<site folder>/``:
+daily files in ``YYYY-MM/`` folders, hourly files in ``hourly/``. Each file's
+measure types were inferred from its own rows (JSON ints -> int64, any float
+-> float64), so one day may store ``clicks`` as int64 and the next as double,
+and Spark cannot read the set as one table (mismatched column types fail the
+scan, and schema merging refuses long vs double).
+
+So the files are read through the ``binaryFile`` source, which Spark lists and
+spreads over tasks like any input; each task decodes its files with Arrow and
+casts them to the fixed schema. A file is one (site, day), bounded by the
+source's 50,000 rows per day. Daily and hourly files are told apart by their
+folder, never mixed (the source's daily glob also matched hourly files and
+double-counted those days). Site and date come from the file's own columns,
+not from the lossy folder name.
+"""
+
+from __future__ import annotations
+
+import io
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankspark.schema import DAILY, HOURLY
+
+_DAILY_FOLDER = r"/[0-9]{4}-[0-9]{2}/[^/]+\.parquet$"
+_HOURLY_FOLDER = r"/hourly/[^/]+\.parquet$"
+
+
+def _normalize(kind: str):
+    schema = DAILY if kind == "daily" else HOURLY
+    names = schema.fieldNames()
+
+    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for content in batch["content"]:
+                pdf = pq.read_table(io.BytesIO(content)).to_pandas()
+                out = pd.DataFrame(index=pdf.index)
+                for name in names:
+                    col = pdf[name] if name in pdf.columns else pd.Series([None] * len(pdf), index=pdf.index)
+                    if name in ("clicks", "impressions"):
+                        # whole numbers; round half-even like the source engine's cast
+                        out[name] = pd.array(np.rint(pd.to_numeric(col, errors="coerce")), dtype="Int64")
+                    elif name in ("ctr", "position"):
+                        out[name] = pd.to_numeric(col, errors="coerce").astype("float64")
+                    elif name == "hour":
+                        out[name] = pd.array(pd.to_numeric(col, errors="coerce"), dtype="Int32")
+                    else:
+                        out[name] = col.astype("string")
+                yield out
+
+    return convert, schema
+
+
+def read_legacy(spark: SparkSession, data_root: str, kind: str = "daily") -> DataFrame:
+    """All daily (or hourly) rows of a source data folder, in the fixed schema."""
+    if kind not in ("daily", "hourly"):
+        raise ValueError("kind must be 'daily' or 'hourly'")
+    files = (spark.read.format("binaryFile")
+             .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+             .load(data_root))
+    pattern = _DAILY_FOLDER if kind == "daily" else _HOURLY_FOLDER
+    files = files.where(F.col("path").rlike(pattern)).select("content")
+    convert, schema = _normalize(kind)
+    return files.mapInPandas(convert, schema)
+
+
+def migrate_legacy(spark: SparkSession, data_root: str, store_root: str) -> None:
+    """Load a source data folder into a store: daily append-once, hourly replace-until-complete."""
+    from rankspark.sinks.fact import write_daily, write_hourly
+
+    write_daily(read_legacy(spark, data_root, "daily"), store_root)
+    write_hourly(read_legacy(spark, data_root, "hourly"), store_root)

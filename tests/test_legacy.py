@@ -1,0 +1,46 @@
+"""Migrating the source's per-day files (mixed int/float measures, hourly beside daily)."""
+
+import os
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
+from rankspark.sources.legacy import migrate_legacy, read_legacy
+from rankspark.sources.store import Store
+
+SITE = "sc-domain:my_site.com"
+
+
+def _file(path, rows, hourly=False):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    pq.write_table(pa.Table.from_pandas(pd.DataFrame(rows)), path, compression="snappy")
+
+
+def _row(date, q, clicks, impressions, hour=None):
+    r = {"site_url": SITE, "date": date}
+    if hour is not None:
+        r["hour"] = hour
+    r.update({"query": q, "page": "/p", "device": "MOBILE", "country": "twn",
+              "clicks": clicks, "impressions": impressions, "ctr": 0.1, "position": 2.5})
+    return r
+
+
+def test_migrate_mixed_types_without_double_count(spark, tmp_path):
+    data = tmp_path / "data" / "sc-domain_my_site.com"
+    _file(str(data / "2025-07" / "2025-07-01.parquet"), [_row("2025-07-01", "a", 3, 10), _row("2025-07-01", "b", 1, 4)])
+    _file(str(data / "2025-07" / "2025-07-02.parquet"), [_row("2025-07-02", "a", 2.0, 7.0)])   # floats
+    _file(str(data / "hourly" / "2025-07-02.parquet"), [_row("2025-07-02", "a", 1, 3, hour=h) for h in range(24)])
+    _file(str(data / "test" / "x.parquet"), [_row("2025-07-02", "zzz", 99, 99)])                # smoke-test folder
+    daily = read_legacy(spark, str(tmp_path / "data"), "daily")
+    assert dict(daily.dtypes)["clicks"] == "bigint"
+    assert sorted((r.date, r.query, r.clicks) for r in daily.collect()) == [
+        ("2025-07-01", "a", 3), ("2025-07-01", "b", 1), ("2025-07-02", "a", 2)]
+    root = str(tmp_path / "store")
+    migrate_legacy(spark, str(tmp_path / "data"), root)
+    migrate_legacy(spark, str(tmp_path / "data"), root)   # idempotent
+    store = Store.at(spark, root)
+    assert store.daily(SITE).agg(F.sum("clicks")).first()[0] == 6
+    h = store.hourly(SITE)
+    assert (h.count(), h.agg(F.max("hour")).first()[0]) == (24, 23)
