@@ -25,3 +25,28 @@ def test_entry_contract(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 40
+
+
+ROBUST = ["best_pages", "compare_custom", "keyword_gap", "page_traffic_loss", "kpi_change", "trend_7d",
+          "hour_vs_last_week", "fresh_daily_totals", "ranking_summary", "plan_daily", "top_rows"]
+
+
+def test_results_do_not_depend_on_parallelism_or_broadcasts(spark, duck):
+    """Same answers with another shuffle width, no coalescing and no automatic broadcasts
+    (every join that is not explicitly bounded falls back to a sort-merge join)."""
+    keys = {"spark.sql.shuffle.partitions": "37",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        for name in ROBUST:
+            info = compare(spark, duck, name, REG[name], SF_ORACLE)
+            assert info["ok"] is True, info
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
