@@ -282,7 +282,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     family = Family()
     for k in range(batches):
         family.add(index.where(F.col("batch") == k))
-    places = stored(index.drop("batch").join(family.shared(), "key"), "suffix-places")
+    shared = stored(family.shared(), "suffix-shared")
+    places = stored(index.drop("batch").join(shared, "key"), "suffix-places")
 
     # One holder of each surrounding of a key that has several.
     one = F.min(F.struct("doc", "version", "first", "n", "off")).alias("x")
