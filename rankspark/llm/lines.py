@@ -54,7 +54,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     covered = later_windows(found).groupBy("doc", "version").agg(F.collect_set("p").alias("starts"))
     covered = covered.withColumnsRenamed({"doc": "of_doc", "version": "of_version"})
     on = F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("version") == F.col("of_version"))
-    d = keyed.join(covered, on, "left").select("row", "starts", F.split("t", "\n").alias("lines"), "t")
+    d = keyed.drop("t").join(covered, on, "left")  # the text travels once, inside the row
+    d = d.select("row", "starts", F.split(F.col("row")[text], "\n").alias("lines"), F.col("row")[text].alias("t"))
 
     def places(ln: Column) -> Column:
         numbers = F.array_distinct(F.flatten(F.transform(F.col("starts"), lambda p: F.sequence(p, p + (LINES - 1)))))
