@@ -1,0 +1,418 @@
+"""Every operator against a plain version on small fixtures with nulls, empty and long texts, ties,
+repeated rows, empty tables and clashing column names; and the registered queries on given tables."""
+
+import base64
+import bz2
+import collections
+import gzip
+import hashlib
+import random
+import re
+import string
+import zlib
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from rankspark.llm import bpe, decontam, html, lines, lm, quality, queries, secrets, simhash, suffix, urls
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, row string, t string, fp long"
+
+
+def docs_of(spark, texts, ids=None):
+    ids = ids or range(len(texts))
+    return spark.createDataFrame([(i, t, "en", "s", 0, None, "r", "x", 7) for i, t in zip(ids, texts, strict=True)], DOC)
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choices(string.ascii_lowercase, k=r.randint(2, 8))) for _ in range(n))
+
+
+def edge_texts():
+    long = prose(1, 30_000)
+    return [None, "", "  \n\t ", "one", "one two", long, long, "a\nb\nc\na\nb\nc", "é ß 漢 😀", prose(2, 200), prose(2, 200) + " more"]
+
+
+# -- quality ------------------------------------------------------------------
+
+def plain_counts(t):
+    t = t or ""
+    ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+    seen = collections.defaultdict(list)
+    for i in range(len(ws) - 7):
+        seen[tuple(ws[i : i + 8])].append(i)
+    covered = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(8)}
+    ln = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t)), len(ln) - len(set(ln)), len(covered)
+
+
+def test_quality_counts_and_thresholds(spark):
+    texts = edge_texts() + ["w " * 50, "a b c d e f g h i " * 3 + "tail", "x # y | z <b>\nx\nx"] + [prose(s, 60) for s in range(300)]
+    texts += [re.sub(r"\w+", lambda m: m[0] + "###$$$", prose(900, 60))]
+    got = quality.judge(docs_of(spark, texts)).select("row.doc_id", *quality.COUNTS, "base_failed", "kept").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = plain_counts(texts[r.doc_id])
+        assert tuple(r[c] for c in quality.COUNTS) == want
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (r.base_failed and r.kept)
+    kept = {r.doc_id for r in got if r.kept}
+    assert len(texts) - 1 not in kept and set(range(14, 314)) <= kept
+
+
+def test_quality_null_groups_and_empty(spark):
+    d = docs_of(spark, [prose(s, 40) for s in range(4)]).withColumn("lang", F.lit(None).cast("string"))
+    assert quality.judge(d).where("kept").count() == 4
+    assert quality.judge(d.limit(0)).count() == 0
+
+
+def test_quantile_sketch_is_mergeable(spark):
+    d = docs_of(spark, [prose(s, 30 + s) for s in range(60)])
+    m = quality.measure(d)
+    whole = quality.sketch(m, F.lit("x"), F.lit("y"))
+    parts = [quality.sketch(m.where(F.col("row.doc_id") % 2 == k), F.lit("x"), F.lit("y")) for k in (0, 1)]
+    merged = parts[0].unionByName(parts[1]).groupBy("lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, whole.collect()))
+
+
+# -- URLs ---------------------------------------------------------------------
+
+def test_url_rules(spark):
+    cases = {
+        "http://A.Example.ORG/es/x?q#f": ("a.example.org", "/es/x", "example.org/es/", "block"),
+        "https://example.org/en/12": ("example.org", "/en/12", "example.org/en/1", "block"),
+        "https://notexample.org/es/": ("notexample.org", "/es/", "org/", "allow"),
+        "https://x.com/de/1": ("x.com", "/de/1", "com/de/", "block"),
+        "https://x.net?u=http://y.com/de/": ("x.net", "", None, "allow"),
+        "nothing": ("", "", None, "allow"),
+        None: ("", "", None, "allow"),
+    }
+    rows = [(i, u, None, 1.0) for i, u in enumerate(cases)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string, trust double")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(p).collect()}
+    assert got == dict(enumerate(cases.values()))
+    assert urls.judge(p.limit(0)).count() == 0
+
+
+def test_distrust_flows_against_links_and_trust_along(spark):
+    link = lambda *hosts: "".join(f'<a class=x href="https://{h}/en/">y</a>' for h in hosts)
+    rows = [
+        (1, "https://bad.com/de/1", ""), (2, "https://points-to-bad.net/en/", link("bad.com") * 3),
+        (3, "https://good.com/fr/1", link("liked.net")), (4, "https://liked.net/en/", link("bad.com", "liked.net")),
+        (5, "https://good.com/fr/1", link("liked.net")), (6, "https://far.net/en/", link("points-to-bad.net")),
+        (7, "https://alone.net/en/", None),
+    ]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: r.verdict for k, r in got.items()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "allow"}
+    seeds, edges = {"bad.com": 1.0}, [("points-to-bad.net", "bad.com", 3), ("liked.net", "bad.com", 1), ("good.com", "liked.net", 2), ("far.net", "points-to-bad.net", 1)]
+    score, into = {h: 0.15 * s for h, s in seeds.items()}, collections.Counter()
+    for _, d, n in edges:
+        into[d] += n
+    for _ in range(20):
+        new = collections.Counter({h: 0.15 * s for h, s in seeds.items()})
+        for s, d, n in edges:
+            new[s] += 0.85 * score.get(d, 0) * n / into[d]
+        score = new
+    for r in got.values():
+        assert r.distrust == pytest.approx(score.get(r.host, 0), abs=1e-6)
+
+
+# -- BPE ----------------------------------------------------------------------
+
+def test_bpe_equals_the_library(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    c, r = bpe.codec(path, P.PATTERN), random.Random(3)
+    alphabet = ["a", "aa", " ", "  ", "\n", "é", "漢", "😀", "the", "ing", "0", "$", "\x85", "\xa0", "'s", "<|endoftext|>", "̀"]
+    texts = ["".join(r.choices(alphabet, k=r.randint(0, 40))) for _ in range(2000)] + ["a" * 4000, "ab" * 2000, " " * 3000, "=-" * 900]
+    for t in texts:
+        assert c.encode(t) == enc.encode_ordinary(t)
+        assert c.decode(c.encode(t)) == t.encode()
+    some = [None, "", *texts[-8:], texts[0], texts[0]]
+    d = docs_of(spark, some)
+    for row in bpe.digests(d, path, P.PATTERN).collect():
+        t = some[row.doc_id] or ""
+        ids = enc.encode_ordinary(t)
+        assert row.n_tokens == len(ids) and row.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert {r.doc_id: bytes(r.decoded) for r in bpe.encode(d, path, P.PATTERN).collect()} == {i: (t or "").encode() for i, t in enumerate(some)}
+    assert bpe.digests(d.limit(0), path, P.PATTERN).count() == 0
+
+
+# -- line dedup ---------------------------------------------------------------
+
+def plain_line_dedup(rows):
+    numbered = {i: [(k, x) for k, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)] for i, t in rows if t is not None}
+    seen, gone = set(), collections.defaultdict(set)
+    for i in sorted(numbered):
+        ln = numbered[i]
+        for p in range(len(ln) - 2):
+            w = tuple(x for _, x in ln[p : p + 3])
+            if w in seen:
+                gone[i].update(k for k, _ in ln[p : p + 3])
+            seen.add(w)
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
+
+
+def test_line_dedup(spark):
+    r = random.Random(5)
+    texts = [None, "", "a\nb", "a\nb\nc", "\na\n \nb\nc\n\nd", "a\na\na\na\na", "x\na\nb\nc\ny", "\n".join(prose(1, 2000).split())]
+    texts += ["\n".join(r.choices("abcd", k=r.randint(0, 9))) for _ in range(60)] + ["\n".join(prose(1, 2000).split())]
+    got = lines.dedup(docs_of(spark, texts))
+    want = plain_line_dedup(list(enumerate(texts)))
+    assert {x.doc_id: x.kept_text for x in got.select("row.doc_id", "kept_text").collect()} == want
+    twice = docs_of(spark, ["p\nq\nr", "p\nq\nr"], [4, 4])
+    assert [x.n_removed for x in lines.dedup(twice).collect()] == [0, 0]
+    assert lines.dedup(twice.limit(0)).count() == 0
+
+
+# -- HTML ---------------------------------------------------------------------
+
+def test_html_extraction(spark):
+    page = """<!doctype html><html><head><title>T</title><script>var a="<p>no</p>"</script></head><body>
+    <header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>
+    <div class="cookie-notice">We use cookies to improve the page that you are reading now.</div><!-- <p>hidden</p> -->
+    <article><h1>A  title&amp;more</h1><p>First <b>para</b>graph,
+    with a <a href=x>link</a>.<p>Second&nbsp;one<br>goes on<div class=ad>Buy now, this is cheap and long enough to be prose.</div>
+    <table><tr><td>cell</td></tr></table><section id="comments"><p>A reader says that this is good.</p></section></article>
+    <aside>Side</aside><form><p>Your name</p><input></form><footer>&copy; Site</footer>"""
+    assert html.main_text(page) == "A title&more\nFirst paragraph, with a link.\nSecond one goes on\ncell"
+    plain = "<div><a href=1>x</a></div><div><p>" + prose(1, 60) + "</p><p>" + prose(2, 60) + "</p></div><div><a href=2>more links</a></div>"
+    assert html.main_text(plain).split("\n") == [prose(1, 60), prose(2, 60)]
+    odd = [None, "", "<", "<p", "</p></div>", "<!-- open", "<script>x", "text", "<p>" * 3000 + "deep", "<b>" * 3000 + "deep", "&#0;&bogus;"]
+    p = spark.createDataFrame([(i, None, h, "c") for i, h in enumerate(odd)], "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in html.extract(p).collect()}
+    assert len(got) == len(odd) and got[0].text == "" and got[0].n_chars == 0
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    assert html.extract(p.limit(0)).count() == 0
+
+
+def test_minimum_cut_is_minimal():
+    r = random.Random(9)
+    for _ in range(200):
+        n = r.randint(1, 7)
+        costs = [(r.randint(0, 9), r.randint(0, 9)) for _ in range(n)]
+        edges = [(i, j, r.randint(0, 6)) for i in range(n) for j in range(i + 1, n) if r.random() < 0.6]
+        cost = lambda side, costs=costs, edges=edges: sum(t if x else s for (s, t), x in zip(costs, side, strict=True)) + sum(c for i, j, c in edges if side[i] != side[j])
+        best = min(cost([m >> i & 1 == 1 for i in range(n)]) for m in range(1 << n))
+        assert cost(html.minimum_cut(costs, edges)) == best
+
+
+# -- SimHash ------------------------------------------------------------------
+
+def plain_fingerprint(t, k=3):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+    if not ws:
+        return 0
+    k = min(k, len(ws))
+    h = [xxhash.xxh64_intdigest(" ".join(ws[i : i + k]).encode(), 42) for i in range(len(ws) - k + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_roots(keys, near):
+    root = {k: k for k in keys}
+    todo = sorted(keys)
+    for a in todo:
+        stack = [a] if root[a] == a else []
+        while stack:
+            x = stack.pop()
+            for y in todo:
+                if root[y] == y and y > a and near(x, y):
+                    root[y] = a
+                    stack.append(y)
+    return root
+
+
+@pytest.mark.parametrize("limit", [20_000, 6])
+def test_simhash_links_all_fingerprints(spark, limit):
+    r = random.Random(11)
+    fps = {0, 1, 3, (1 << 63), (1 << 64) - 1}
+    for _ in range(12):
+        x = r.getrandbits(64)
+        for _ in range(25):
+            fps.add(x)
+            x ^= 1 << r.randrange(64) if r.random() < 0.7 else r.getrandbits(64) & r.getrandbits(64) & r.getrandbits(64)
+    fps |= {r.getrandbits(20) for _ in range(60)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    got = {x.fp: x.root for x in simhash.classes(frame, 2, limit).collect()}
+    want = plain_roots([signed(x) for x in fps], lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2)
+    assert got == want
+
+
+def test_simhash_documents(spark):
+    base = prose(8, 300)
+    texts = edge_texts() + ["ÀB c", "Àb C", base, base, base.replace(" ", "  "), base + " x"]
+    d = docs_of(spark, texts)
+    got = {x.doc_id: x for x in simhash.near_duplicates(d).collect()}
+    fp = {i: plain_fingerprint(t) for i, t in enumerate(texts)}
+    assert {i: x.fp & ((1 << 64) - 1) for i, x in got.items()} == fp
+    root = plain_roots(list(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2)
+    assert {i: x.component_id for i, x in got.items()} == root
+    kept = simhash.keep_one(d)
+    assert kept.columns == d.columns and sorted(x.doc_id for x in kept.collect()) == sorted(set(root.values()))
+    nulls = docs_of(spark, [base, base, base, "other words here"], [None, 5, 5, None])
+    assert sorted(str(x.doc_id) for x in simhash.keep_one(nulls).collect()) == ["5", "None"]
+    assert simhash.near_duplicates(d.limit(0)).count() == 0 and simhash.keep_one(d.limit(0)).count() == 0
+
+
+# -- language models ----------------------------------------------------------
+
+def test_lm_scores(spark):
+    good, bad = ["the cat sat on the mat"] * 6, ["zq xw zq vv"] * 6
+    d = docs_of(spark, [None, "", *good, *bad, "the cat sat on a mat"])
+    t = spark.createDataFrame([(2,), (3,), (3,), (None,), (99,)], "doc_id long")
+    got = {r.doc_id: r for r in lm.score(d, t).collect()}
+    assert len(got) == 15 and got[0].n_tokens == 0 and got[0].score is None and got[1].score is None
+    assert got[5].score < got[14].score < got[10].score and got[2].score == got[7].score
+    for r in got.values():
+        assert r.score is None or r.score == pytest.approx(r.target_loss - r.corpus_loss)
+    total = {r.bucket: r for r in lm.count(d, t).collect()}
+    words = [r for b, r in total.items() if b >= 1 << lm.PAIR_BITS]
+    assert sum(r.corpus for r in words) == 6 * 6 + 6 * 4 + 6 and sum(r.target for r in words) == 12
+    assert lm.score(d.limit(0), t.limit(0)).count() == 0
+
+
+# -- decontamination ----------------------------------------------------------
+
+def test_decontamination(spark):
+    items = [prose(50 + k, 18 + 7 * k) for k in range(5)] + ["only three words", None, "", prose(50, 18)]
+    changed = items[4].split()
+    changed[3] = "changed"
+    clean_text = prose(70, 400)
+    texts = [None, "", clean_text, clean_text + " " + items[1].upper() + ". " + clean_text, items[0], "Only: three, words!",
+             prose(71, 90) + " " + " ".join(changed) + " " + prose(72, 30), items[4][: len(items[4]) // 2], items[2] + " " + items[2]]
+    d = docs_of(spark, texts)
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    shingles = lambda w, k: collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    want = set()
+    for i, t in enumerate(texts):
+        for j, x in enumerate(items):
+            a, m = words(t), words(x)
+            k = min(5, len(m))
+            for s in range(max(1, len(a) - len(m) + 1)) if m else ():
+                p, q = shingles(a[s : s + len(m)], k), shingles(m, k)
+                if p and sum((p & q).values()) / sum((p | q).values()) >= 0.8:
+                    want.add((i, j))
+    got = decontam.contaminated(d, b)
+    assert {(r.doc, r.item_id) for r in got.collect()} == want and (6, 4) in want and (5, 5) in want
+    assert sorted(r.doc_id for r in decontam.clean(d, b).collect()) == sorted(set(range(len(texts))) - {i for i, _ in want})
+    assert decontam.clean(d, b).columns == d.columns
+    assert decontam.clean(d, b.limit(0)).count() == len(texts) and decontam.clean(d.limit(0), b).count() == 0
+
+
+# -- secrets ------------------------------------------------------------------
+
+def test_secret_scan(spark):
+    plain = "password=hunter22"
+    b64 = lambda x: base64.b64encode(x).decode()
+    key = "AKIA" + "A1" * 8
+    hidden = [
+        b64(plain.encode()), b64(b64(plain.encode()).encode()), b64(gzip.compress(plain.encode())), b64(bz2.compress(plain.encode())),
+        b64(zlib.compress(b64(plain.encode()).encode())), "".join(f"%{c:02x}" for c in plain.encode()), "".join(f"\\u{ord(c):04x}" for c in plain),
+        b64("".join(f"%{c:02X}" for c in plain.encode()).encode()), "pass&#119;ord&#x3d;hunter22", base64.urlsafe_b64encode(("é?>" + plain).encode()).decode(),
+    ]
+    for h in hidden:
+        base, every = secrets.find(f"é see {h} end")
+        assert not base and len(every) == 1 and every[0][0] == "assign", h
+        assert 6 <= every[0][1] < every[0][2] <= 6 + len(h)
+    assert secrets.find(f"x {plain} y")[1] == [("assign", 2, 19)]
+    assert secrets.find("token: token: abcdefgh")[0] == []  # the first match takes the second name
+    assert secrets.find(f"{key} {key[:15]} " + "0af" * 8 + " " + "0af" * 7)[0] == [("access", 0, 20), ("hex", 37, 61)]
+    assert secrets.find("pa\u017f\u017fword=abcdefg to\u212aen=abcdefg")[0] == []
+    texts = [None, "", plain, f"{hidden[1]} {plain}", "%41" * 20_000, "a" * 100_000, "%2525252525" * 50, plain]
+    got = {r.doc_id: r for r in secrets.scan_documents(docs_of(spark, texts)).collect()}
+    assert got[2].base_sha256 == hashlib.sha256(b"assign:0:17").hexdigest() and got[2].n_assign == 1
+    assert got[0].spans == "" and got[3].n_assign == 1 and got[3].spans.count("assign") == 2
+    assert secrets.scan_documents(docs_of(spark, texts).limit(0)).count() == 0
+
+
+# -- suffix arrays ------------------------------------------------------------
+
+def plain_cut(texts, length):
+    data = [(t or "").encode() for t in texts]
+    seen = collections.Counter(x[p : p + length] for x in data for p in range(len(x) - length + 1))
+    out = []
+    for x in data:
+        gone = bytearray(len(x))
+        for p in range(len(x) - length + 1):
+            if seen[x[p : p + length]] > 1:
+                gone[p : p + length] = b"\1" * length
+        out.append((len(x), sum(gone), gone.count(b"\0\1") + (gone[:1] == b"\1"), bytes(b for b, g in zip(x, gone, strict=True) if not g)))
+    return out
+
+
+@pytest.mark.parametrize(("length", "limit", "batches"), [(60, 4096, 4), (60, 3, 3), (400, 4096, 1)])
+def test_suffix_dedup(spark, length, limit, batches):
+    r = random.Random(17)
+    passage, other = prose(90, 140), prose(91, 60)
+    texts = [None, "", "short", passage, passage, "z" * 900, "ab" * 700, "é" * 500, other + other]
+    for k in range(40):
+        cut = r.randrange(len(passage))
+        texts.append(prose(100 + k, r.randint(0, 40)) + passage[cut : cut + r.randrange(700)] + prose(200 + k, r.randint(0, 40)))
+        texts.append(passage[: r.randrange(len(passage))] + str(k) + passage[r.randrange(len(passage)) :])
+    got = {x.doc_id: x for x in suffix.remove_repeated(docs_of(spark, texts), length=length, batches=batches, group_limit=limit).collect()}
+    for i, want in enumerate(plain_cut(texts, length)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == want, i
+    assert suffix.digests(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_suffix_family_levels_are_geometric(spark):
+    d = docs_of(spark, [prose(k, 200) for k in range(7)]).select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("version"), F.col("text").alias("t"))
+    e, family = suffix.entries(d, 400), suffix.Family()
+    for k in range(7):
+        family.add(e.where(F.col("doc") == k))
+    assert [n for n, _ in family.levels] == [4, 2, 1]
+    assert family.shared().count() == 0
+
+
+def test_anchors_cover_long_texts():
+    data = prose(3, 3_000).encode() * 80  # over one chunk
+    at = 0
+    for a, lo, hi in suffix.anchors(data):
+        assert lo == at and lo <= a and a + suffix.KEY <= hi + suffix.LENGTH and a >= hi
+        at = hi + 1
+    assert at == len(data) - suffix.LENGTH + 1
+
+
+# -- registered ---------------------------------------------------------------
+
+def test_registered_queries_and_oracles(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    n = {t: con.execute(f"SELECT count(*) FROM {t}").fetchall()[0][0] for t in ("documents", "pages")}
+    for name, fn in queries.QUERIES.items():
+        df = fn(spark, SF)
+        rows = df.collect()
+        if name != "op8_decontamination":
+            assert len(rows) == n["pages" if name.startswith(("op2_", "op5_")) else "documents"], name
+        if name in queries.ORACLES:
+            res = con.execute(queries.ORACLES[name])
+            order = [[c[0] for c in res.description].index(c) for c in df.columns]
+            assert sorted(map(repr, (tuple(r[i] for i in order) for r in res.fetchall()))) == sorted(repr(tuple(r)) for r in rows), name
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as p
+
+    docs = before = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in p.STAGES[:-1]:
+        docs = p.stored(stage(spark, docs, SF), f"test-{name}")
+        assert docs.columns == before.columns
+    ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    out = p.run(spark, SF).collect()
+    assert {r.doc_id for r in out} == ids and len(out) == len(ids) < before.count()
+    good = {r.doc_id for r in quality.judge(before).where("kept").select("row.doc_id").collect()}
+    assert ids <= good
