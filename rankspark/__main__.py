@@ -5,7 +5,6 @@
     python -m rankspark sql     --store ROOT --site S "SELECT * FROM {site} WHERE clicks > 100"
     python -m rankspark plan    --store ROOT --kind daily site=S [site=...] [--as-of D]
     python -m rankspark ingest  --store ROOT --landing DIR --kind daily|hourly [--checkpoint DIR]
-    python -m rankspark migrate --store ROOT --legacy DATA_DIR   (the source's per-day files)
 
 Results print as a table (``--rows`` rows) or are written with ``--out PATH``
 (format by extension: .csv, .json, else Parquet) by the executors. The
@@ -53,7 +52,7 @@ def _emit(df: DataFrame, args) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="rankspark")
-    ap.add_argument("command", choices=["sites", "report", "sql", "plan", "ingest", "migrate"])
+    ap.add_argument("command", choices=["sites", "report", "sql", "plan", "ingest"])
     ap.add_argument("args", nargs="*")
     ap.add_argument("--store", required=True)
     ap.add_argument("--as-of", default=None)
@@ -62,7 +61,6 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--kind", default="daily")
     ap.add_argument("--landing", default=None)
     ap.add_argument("--checkpoint", default=None)
-    ap.add_argument("--legacy", default=None)
     ap.add_argument("--out", default=None)
     ap.add_argument("--rows", type=int, default=50)
     args = ap.parse_intermixed_args(argv)
@@ -82,11 +80,7 @@ def main(argv: list[str] | None = None) -> int:
         sites = _params(args.args).get("site", [])
         sites = sites if isinstance(sites, list) else [sites]
         fn = plan_daily if args.kind == "daily" else plan_hourly
-        _emit(fn(store.daily() if args.kind == "daily" else store.hourly(), sites, as_of), args)
-    elif args.command == "migrate":
-        from rankspark.sources.legacy import migrate_legacy
-
-        migrate_legacy(spark, args.legacy, args.store)
+        _emit(fn(store.units(args.kind), sites, as_of), args)
     elif args.command == "ingest":
         from rankspark.streaming.ingest import stream_daily, stream_hourly
 

@@ -69,7 +69,7 @@ def decode_page(column: str | Column = "page") -> Column:
 def display_number(column: str | Column, decimals: int = 0) -> Column:
     """Thousands separators and fixed decimals; ``-`` for NULL / NaN."""
     c = _c(column)
-    bad = c.isNull() | (F.isnan(c) if decimals else F.lit(False))
+    bad = c.isNull() | F.isnan(c.cast("double"))
     return F.when(bad, F.lit("-")).otherwise(F.format_number(c, decimals))
 
 

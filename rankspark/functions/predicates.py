@@ -9,14 +9,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-# Lists up to this many values become an IN predicate (pushed to the scan);
-# longer lists become a broadcast semi-join, still sized from the driver list.
-ISIN_MAX_VALUES = 200
-# Driver-side lists longer than this are not broadcast but shuffle-joined.
-BROADCAST_MAX_VALUES = 100_000
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Candidate escape characters for LIKE. The source engine's LIKE has no escape
 # character at all, so we pick one that the pattern does not contain.
@@ -121,25 +117,24 @@ def clean_values(values: Iterable | None) -> list:
     return [v for v in (values or []) if v is not None]
 
 
+def list_frame(spark: SparkSession, column: str, values: Iterable, dtype: T.DataType | None = None) -> DataFrame:
+    """A driver-side list as a typed one-column frame; the planner knows its size."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({column: pa.array(list(values), to_arrow_type(dtype or T.StringType()))}))
+
+
 def filter_in(df: DataFrame, column: str, values: Iterable | None, optional: bool = False) -> DataFrame:
     """FLT-3 / FLT-4 / JN-4: keep rows whose ``column`` is in ``values``.
 
     ``None`` elements are dropped. With ``optional`` a missing or empty list
     means no filter. A list left empty after dropping matches only the empty
-    string, as the source's ``IN ('')`` does. Short lists are an
-    IN predicate; long ones a semi-join against a frame whose size is the list
-    length, broadcast while it stays under ``BROADCAST_MAX_VALUES``.
+    string, as the source's ``IN ('')`` does. Lists of any length are a
+    semi-join with a typed frame whose size Spark knows.
     """
     vals = list(dict.fromkeys(clean_values(values)))
     if not vals:
         if optional and not list(values or []):
             return df
         return df.where(F.col(column) == F.lit(""))
-    if len(vals) <= ISIN_MAX_VALUES:
-        return df.where(F.col(column).isin(vals))
-    spark = df.sparkSession
-    dtype = df.schema[column].dataType.simpleString()
-    keys = spark.createDataFrame([(v,) for v in vals], f"{column} {dtype}")
-    if len(vals) <= BROADCAST_MAX_VALUES:
-        keys = F.broadcast(keys)
-    return df.join(keys, on=column, how="left_semi")
+    return df.join(list_frame(df.sparkSession, column, vals, df.schema[column].dataType), on=column, how="left_semi").select(*df.columns)

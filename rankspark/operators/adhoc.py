@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions import expressions as X
 from rankspark.functions import predicates as P
 from rankspark.operators.ordering import asc, desc
-from rankspark.schema import DAILY_COLUMNS, DIMENSIONS
+from rankspark.schema import DAILY_COLUMNS, DIMENSIONS, LAST_HOUR
 
 
 def _newest_first(df: DataFrame) -> list:
@@ -19,20 +19,15 @@ def _newest_first(df: DataFrame) -> list:
     return [desc("date"), desc("clicks"), *[asc(c) for c in rest]]
 
 
-def top_rows(perf: DataFrame, min_clicks: int, limit: int | None = 10,
-             start: str | None = None, end: str | None = None) -> DataFrame:
+def top_rows(perf: DataFrame, min_clicks: int, limit: int | None = 10) -> DataFrame:
     """ADH-1: rows over a click threshold, newest first (top-k, no global sort)."""
     rows = perf.where(P.greater_than("clicks", min_clicks))
-    if start is not None or end is not None:
-        rows = rows.where(P.date_between(start or "0000-01-01", end or "9999-12-31"))
-    out = rows.orderBy(*_newest_first(rows))
-    return out if limit is None else out.limit(int(limit))
+    return rows.orderBy(desc("date")) if limit is None else rows.orderBy(*_newest_first(rows)).limit(int(limit))
 
 
 def find_rows(perf: DataFrame, pattern: str, min_clicks: int) -> DataFrame:
     """ADH-2: case-insensitive query pattern plus click threshold, newest first."""
-    rows = perf.where(P.ilike("query", pattern) & P.greater_than("clicks", min_clicks))
-    return rows.orderBy(*_newest_first(rows))
+    return perf.where(P.ilike("query", pattern) & P.greater_than("clicks", min_clicks)).orderBy(desc("date"))
 
 
 def hour_profile(hourly: DataFrame) -> DataFrame:
@@ -40,12 +35,9 @@ def hour_profile(hourly: DataFrame) -> DataFrame:
     return hourly.groupBy("hour").agg(X.total("clicks"), X.total("impressions"))
 
 
-def rows_at_hour(hourly: DataFrame, hour: int, date: str | None = None) -> DataFrame:
-    """ADH-4: hourly rows at one hour (optionally of one date)."""
-    cond = P.at_hour(hour)
-    if date is not None:
-        cond = cond & P.on_date(date)
-    return hourly.where(cond)
+def rows_at_hour(hourly: DataFrame, hour: int) -> DataFrame:
+    """ADH-4: hourly rows at one hour, of all dates."""
+    return hourly.where(P.at_hour(hour))
 
 
 def rows_on_date(perf: DataFrame, date: str) -> DataFrame:
@@ -72,25 +64,20 @@ def hourly_to_daily(hourly: DataFrame) -> DataFrame:
     return out.withColumn("ctr", ctr).select(*DAILY_COLUMNS)
 
 
-def _date_totals(df: DataFrame) -> DataFrame:
+def _date_totals(df: DataFrame, rank: Column, source: str) -> DataFrame:
     return df.groupBy("site_url", "date").agg(
-        X.total("clicks"), X.total("impressions"), X.mean("position", "avg_position")
-    )
+        X.total("clicks"), X.total("impressions"), X.mean("position", "avg_position"), rank.alias("rank")
+    ).select("site_url", "date", "rank", F.struct("clicks", "impressions", "avg_position", F.lit(source).alias("source")).alias("totals"))
 
 
 def fresh_daily_totals(daily: DataFrame, hourly: DataFrame, as_of: dt.date | str,
                        recent_days: int = 30) -> DataFrame:
-    """ADH-5: per (site, date) totals, from the hourly table for recent dates it
-    holds and from the daily table for every other date.
+    """ADH-5: per (site, date) totals, the best there is for each date: a recent hourly day that
+    reaches hour 23, else the daily table, else a recent hourly day that is still partial.
 
-    Both sides are aggregated to one row per (site, date) before the anti-join,
-    so the join moves only per-day rows, never fact rows.
+    Each table is aggregated once to a row per (site, date); one more aggregate picks by rank.
     """
     recent = hourly.where(P.date_between(P.floor_date(as_of, recent_days), P.iso(as_of)))
-    from_hourly = _date_totals(recent)
-    from_daily = _date_totals(daily).join(
-        from_hourly.select("site_url", "date"), ["site_url", "date"], "left_anti"
-    )
-    return from_daily.withColumn("source", F.lit("daily")).unionByName(
-        from_hourly.withColumn("source", F.lit("hourly"))
-    )
+    whole_day = F.when(F.max("hour") == LAST_HOUR, 3).otherwise(1)
+    both = _date_totals(daily, F.lit(2), "daily").unionByName(_date_totals(recent, whole_day, "hourly"))
+    return both.groupBy("site_url", "date").agg(F.max_by("totals", "rank").alias("t")).select("site_url", "date", "t.*")

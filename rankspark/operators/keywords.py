@@ -6,30 +6,27 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rankspark.functions import expressions as X
 from rankspark.functions import predicates as P
 from rankspark.operators.ordering import desc, top_k
 
-KEYWORD_SCHEMA = T.StructType([T.StructField("query", T.StringType())])
-
-
 # -- keyword lists -------------------------------------------------------------
 
 def keyword_frame(spark: SparkSession, keywords: Iterable[str | None]) -> DataFrame:
     """SRC-8: an inline keyword list as a one-column frame, duplicates kept."""
-    return spark.createDataFrame([(k,) for k in keywords], KEYWORD_SCHEMA)
+    return P.list_frame(spark, "query", keywords)
 
 
 def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     """SRC-9: a text file of ``('a'),('b'),...`` entries, duplicates kept.
 
-    Read as lines in parallel; each line yields its quoted entries in order.
+    Read as lines in parallel; each line yields its quoted entries in order. A doubled quote
+    inside an entry stands for one.
     """
     lines = spark.read.text(path)
-    found = F.regexp_extract_all("value", F.lit(r"\('([^']*)'\)"), F.lit(1))
-    return lines.select(F.explode(found).alias("query"))
+    found = F.regexp_extract_all("value", F.lit(r"\('((?:[^']|'')*)'\)"), F.lit(1))
+    return lines.select(F.explode(found).alias("query")).select(F.replace("query", F.lit("''"), F.lit("'")).alias("query"))
 
 
 def _as_frame(perf: DataFrame, keywords) -> DataFrame:
@@ -56,26 +53,14 @@ def keyword_coverage(perf: DataFrame, keywords: Iterable[str],
 def keyword_gap(perf: DataFrame, keywords: list[str | None] | DataFrame) -> DataFrame:
     """KWD-2: listed keywords with no row at all in ``perf``; duplicates kept.
 
-    Two phases so fact rows never cross the network: the distinct keyword set
-    is broadcast into a semi-join with the fact, which is then reduced to the
-    distinct matched keywords before its only shuffle; those are anti-joined
-    back to the list.
+    The fact is semi-joined with the distinct keywords and reduced to the distinct
+    matched ones before they are anti-joined with the list; Spark picks the join by size.
     A NULL keyword never matches and is always reported, as with the source's
     ``LEFT JOIN ... IS NULL``.
     """
-    if not isinstance(keywords, DataFrame):
-        keywords = list(keywords)
-    kw = _as_frame(perf, keywords)
-    # A driver-side list has a known length; only then is the broadcast proven
-    # small. A keyword frame (e.g. read from a file) is left to Spark's
-    # size-based join choice.
-    bounded = not isinstance(keywords, DataFrame) and len(keywords) <= P.BROADCAST_MAX_VALUES
+    kw = _as_frame(perf, keywords if isinstance(keywords, DataFrame) else list(keywords))
     wanted = kw.where(F.col("query").isNotNull()).distinct()
-    if bounded:
-        wanted = F.broadcast(wanted)
     matched = perf.select("query").join(wanted, "query", "left_semi").distinct()
-    if bounded:
-        matched = F.broadcast(matched)  # a subset of the list
     return kw.join(matched, "query", "left_anti")
 
 

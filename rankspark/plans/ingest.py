@@ -3,8 +3,7 @@
 The source walks dates one by one and checks a file per day. Here the plan is
 a DataFrame: a date spine per site generated by ``sequence`` + ``explode``
 (one generator row per site, no cross join), anti-joined with the units
-already stored. The stored side reads only the partition columns inside the
-window, so on a partitioned store it lists folders and reads no fact data.
+already stored, which a store knows from its manifest (``Store.units``).
 """
 
 from __future__ import annotations
@@ -40,33 +39,30 @@ def date_spine(sites: DataFrame, start: dt.date | str, end: dt.date | str) -> Da
         "site_url", F.col("d").cast("string").alias("date"))
 
 
-def plan_daily(daily: DataFrame, sites: Iterable[str] | DataFrame, as_of: dt.date | str,
+def plan_daily(units: DataFrame, sites: Iterable[str] | DataFrame, as_of: dt.date | str,
                history_days: int = DAILY_HISTORY_DAYS) -> DataFrame:
-    """ING-1: dates in [as_of - history_days, as_of - 1] not yet stored, per site.
+    """ING-1: dates in [as_of - history_days, as_of - 1] not yet stored, per site;
+    ``units`` has the stored (site_url, date).
 
     A day that returned no rows was never written, so it stays in the plan
     (ING-5). Order: site, then oldest date first.
     """
-    spark = daily.sparkSession
+    spark = units.sparkSession
     start = _d(as_of) - dt.timedelta(days=history_days)
     end = _d(as_of) - dt.timedelta(days=1)
     spine = date_spine(site_frame(spark, sites), start, end)
-    stored = daily.where(date_between(start, end)).select("site_url", "date").distinct()
+    stored = units.where(date_between(start, end)).select("site_url", "date").distinct()
     return spine.join(stored, ["site_url", "date"], "left_anti").orderBy("site_url", "date")
 
 
-def plan_hourly(hourly: DataFrame, sites: Iterable[str] | DataFrame, as_of: dt.date | str,
+def plan_hourly(units: DataFrame, sites: Iterable[str] | DataFrame, as_of: dt.date | str,
                 history_days: int = HOURLY_HISTORY_DAYS) -> DataFrame:
     """ING-2: dates in [as_of - (history_days - 1), as_of] whose stored hours do
-    not reach 23 (absent, empty or incomplete days are all re-fetched)."""
-    spark = hourly.sparkSession
+    not reach 23 (absent, empty or incomplete days are all re-fetched); ``units`` has
+    (site_url, date, max_hour)."""
+    spark = units.sparkSession
     start = _d(as_of) - dt.timedelta(days=history_days - 1)
     end = _d(as_of)
     spine = date_spine(site_frame(spark, sites), start, end)
-    complete = (
-        hourly.where(date_between(start, end))
-        .groupBy("site_url", "date").agg(F.max("hour").alias("max_hour"))
-        .where(F.col("max_hour") == LAST_HOUR)
-        .select("site_url", "date")
-    )
+    complete = units.where(date_between(start, end) & (F.col("max_hour") == LAST_HOUR)).select("site_url", "date").distinct()
     return spine.join(complete, ["site_url", "date"], "left_anti").orderBy("site_url", "date")

@@ -19,29 +19,22 @@ class Periods:
         return (min(self.period1_start, self.period2_start), max(self.period1_end, self.period2_end))
 
 
-def _d(x: dt.date | str) -> dt.date:
-    return dt.date.fromisoformat(x) if isinstance(x, str) else x
-
-
-def period_bounds(as_of: dt.date | str, period_type: str = "week",
-                  custom: dict | None = None) -> Periods:
-    """week: previous Monday-Sunday vs this Monday..as_of;
-    month: whole previous month vs the 1st..as_of;
-    custom: ``{"period1": {"start", "end"}, "period2": {...}}`` taken as given.
-    Period 2 is partial and period 1 whole, as in the source reports.
-    """
-    today = _d(as_of)
-    if period_type == "week":
-        this_monday = today - dt.timedelta(days=today.weekday())
-        last_monday = this_monday - dt.timedelta(days=7)
-        return Periods(last_monday.isoformat(), (this_monday - dt.timedelta(days=1)).isoformat(),
-                       this_monday.isoformat(), today.isoformat())
-    if period_type == "month":
-        this_start = today.replace(day=1)
-        last_end = this_start - dt.timedelta(days=1)
-        return Periods(last_end.replace(day=1).isoformat(), last_end.isoformat(),
-                       this_start.isoformat(), today.isoformat())
-    if period_type == "custom" and custom:
-        p1, p2 = custom["period1"], custom["period2"]
-        return Periods(p1["start"], p1["end"], p2["start"], p2["end"])
-    raise ValueError("Invalid period_type or missing custom_periods")
+def _period_start(day: dt.date, unit: str) -> dt.date:
+    """First day of the ISO week or calendar month that holds ``day``."""
+    return day - dt.timedelta(days=day.isoweekday() - 1 if unit == "week" else day.day - 1)
+
+
+def period_bounds(as_of: dt.date | str, period_type: str = "week", custom: dict | None = None) -> Periods:
+    """Period 2 runs from the start of the current week or month to ``as_of``; period 1 is the whole
+    week or month before it. ``custom`` gives both as ``{"period1": {"start", "end"}, "period2": {...}}``."""
+    if period_type == "custom":
+        if not custom:
+            raise ValueError("a custom comparison needs both periods")
+        return Periods(*(custom[p][edge] for p in ("period1", "period2") for edge in ("start", "end")))
+    if period_type not in ("week", "month"):
+        raise ValueError(f"unknown period type {period_type!r}")
+    day = dt.date.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+    current = _period_start(day, period_type)
+    before = current - dt.timedelta(days=1)
+    bounds = (_period_start(before, period_type), before, current, day)
+    return Periods(*(d.isoformat() for d in bounds))

@@ -1,6 +1,8 @@
 """Registered ad-hoc queries ADH-1..5, AGG-8, and the scans SRC-3/5."""
 
-from rankspark.functions.predicates import floor_date
+from pyspark.sql import functions as F
+
+from rankspark.functions.predicates import date_between, floor_date
 from rankspark.operators import adhoc as A
 from rankspark.queries.params import AS_OF, HOURLY_AS_OF, SITE, sql_str
 from rankspark.registry import register
@@ -15,13 +17,13 @@ _NEWEST = ("date DESC, clicks DESC, site_url ASC, query ASC, page ASC, device AS
 @register("top_rows", "ADH-1", f"""
 SELECT {_ALL_DAILY}
 FROM daily
-WHERE site_url = {sql_str(SITE)} AND clicks > 49 AND date BETWEEN '1998-01-01' AND '{AS_OF}'
+WHERE site_url = {sql_str(SITE)} AND clicks > 49
 ORDER BY {_NEWEST}
 LIMIT 10
 """)
 def q_top_rows(spark, sf_dir):
     perf = Store.fixtures(spark, sf_dir).daily(SITE)
-    return A.top_rows(perf, 49, limit=10, start="1998-01-01", end=AS_OF.isoformat())
+    return A.top_rows(perf, 49, limit=10)
 
 
 @register("find_rows_ilike", "ADH-2", f"""
@@ -45,10 +47,10 @@ def q_hour_profile(spark, sf_dir):
 
 
 @register("rows_at_hour", "ADH-4", """
-SELECT * FROM hourly WHERE hour = 9 AND date = '2024-01-15'
+SELECT * FROM hourly WHERE hour = 9
 """)
 def q_rows_at_hour(spark, sf_dir):
-    return A.rows_at_hour(Store.fixtures(spark, sf_dir).hourly(), 9, "2024-01-15")
+    return A.rows_at_hour(Store.fixtures(spark, sf_dir).hourly(), 9)
 
 
 @register("rows_on_date", "ADH-4", f"""
@@ -58,30 +60,55 @@ def q_rows_on_date(spark, sf_dir):
     return A.rows_on_date(Store.fixtures(spark, sf_dir).daily(), AS_OF.isoformat())
 
 
-@register("fresh_daily_totals", "ADH-5", f"""
-WITH h AS (
-    SELECT site_url, date, CAST(SUM(clicks) AS BIGINT) AS clicks,
-           CAST(SUM(impressions) AS BIGINT) AS impressions, AVG(position) AS avg_position
-    FROM hourly
-    WHERE date BETWEEN '{floor_date(HOURLY_AS_OF, 30)}' AND '{HOURLY_AS_OF}'
-    GROUP BY site_url, date
-),
-d AS (
-    SELECT site_url, date, CAST(SUM(clicks) AS BIGINT) AS clicks,
-           CAST(SUM(impressions) AS BIGINT) AS impressions, AVG(position) AS avg_position
-    FROM daily
-    GROUP BY site_url, date
-)
-SELECT d.*, 'daily' AS source FROM d
-WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.site_url = d.site_url AND h.date = d.date)
-UNION ALL
-SELECT h.*, 'hourly' AS source FROM h
-""")
+def _fresh_oracle(hourly_sql, as_of):
+    per_day = """SELECT site_url, date, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions,
+                        AVG(position) AS avg_position, '{source}' AS source, {rank} AS rank FROM {table} GROUP BY site_url, date"""
+    recent = f"(SELECT * FROM {hourly_sql} x WHERE date BETWEEN '{floor_date(as_of, 30)}' AND '{as_of}') h"
+    return f"""
+SELECT site_url, date, clicks, impressions, avg_position, source FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY site_url, date ORDER BY rank DESC) AS n FROM (
+        {per_day.format(source="daily", rank="2", table="daily")}
+        UNION ALL
+        {per_day.format(source="hourly", rank="CASE WHEN MAX(hour) = 23 THEN 3 ELSE 1 END", table=recent)}))
+WHERE n = 1"""
+
+
+@register("fresh_daily_totals", "ADH-5", _fresh_oracle("hourly", HOURLY_AS_OF))
 def q_fresh_daily_totals(spark, sf_dir):
     store = Store.fixtures(spark, sf_dir)
     return A.fresh_daily_totals(store.daily(), store.hourly(), HOURLY_AS_OF, recent_days=30)
 
 
+# One daily site with hourly rows on the same dates: even days reach hour 23, odd days stop
+# at 20, and dates two years on have hourly rows only.
+_SHARED_HOURS = f"""(
+    SELECT site_url, CASE WHEN clicks % 10 = 0 THEN concat('2000', substr(date, 5)) ELSE date END AS date,
+           CASE WHEN CAST(substr(date, 9, 2) AS INTEGER) % 2 = 0 THEN 23 ELSE 20 END AS hour,
+           clicks + 1 AS clicks, impressions, position
+    FROM daily WHERE site_url = {sql_str(SITE)} AND date BETWEEN '{floor_date(AS_OF, 60)}' AND '{AS_OF}')"""
+_SHARED_AS_OF = AS_OF.replace(year=2000)
+
+
+def _shared_hours(daily):
+    odd_day = F.substring("date", 9, 2).cast("int") % 2
+    date = F.when(F.col("clicks") % 10 == 0, F.concat(F.lit("2000"), F.substring("date", 5, 6))).otherwise(F.col("date"))
+    rows = daily.where((F.col("site_url") == SITE) & date_between(floor_date(AS_OF, 60), AS_OF))
+    return rows.select("site_url", date.alias("date"), F.when(odd_day == 0, 23).otherwise(20).alias("hour"),
+                       (F.col("clicks") + 1).alias("clicks"), "impressions", "position")
+
+
+@register("fresh_totals_shared", "ADH-5", _fresh_oracle(_SHARED_HOURS, AS_OF))
+def q_fresh_totals_shared(spark, sf_dir):
+    daily = Store.fixtures(spark, sf_dir).daily()
+    return A.fresh_daily_totals(daily, _shared_hours(daily), AS_OF, recent_days=30)
+
+
+@register("fresh_totals_hourly_only", "ADH-5", _fresh_oracle(_SHARED_HOURS, _SHARED_AS_OF))
+def q_fresh_totals_hourly_only(spark, sf_dir):
+    daily = Store.fixtures(spark, sf_dir).daily()
+    return A.fresh_daily_totals(daily, _shared_hours(daily), _SHARED_AS_OF, recent_days=30)
+
+
 @register("hourly_to_daily", "AGG-8", """
 SELECT site_url, date, query, page, device, country,
        CAST(SUM(clicks) AS BIGINT) AS clicks,

@@ -8,37 +8,21 @@ from rankspark.sources.store import Store
 
 
 def _oracle(p: Periods) -> str:
-    """Two scans and a 1x1 cross join, as the source report does it."""
-
-    def period(start, end):
-        return f"""SELECT CAST(SUM(clicks) AS BIGINT) AS clicks,
-                  CAST(SUM(impressions) AS BIGINT) AS impressions,
-                  AVG(position) AS avg_position,
-                  COUNT(DISTINCT query) AS unique_queries,
-                  COUNT(DISTINCT page) AS unique_pages
-           FROM daily WHERE site_url = {sql_str(SITE)} AND date BETWEEN '{start}' AND '{end}'"""
-
-    def pct(a, b):
-        return (f"CASE WHEN p1.{a} > 0 THEN CAST(p2.{b} - p1.{a} AS DOUBLE) / CAST(p1.{a} AS DOUBLE) * 100 "
-                f"ELSE 0.0 END")
-
-    return f"""
-WITH period1 AS ({period(p.period1_start, p.period1_end)}),
-     period2 AS ({period(p.period2_start, p.period2_end)})
-SELECT '{p.period1_start}' AS period1_start, '{p.period1_end}' AS period1_end,
-       '{p.period2_start}' AS period2_start, '{p.period2_end}' AS period2_end,
-       p1.clicks AS period1_clicks, p2.clicks AS period2_clicks,
-       p2.clicks - p1.clicks AS clicks_change,
-       {pct('clicks', 'clicks')} AS clicks_change_pct,
-       p1.impressions AS period1_impressions, p2.impressions AS period2_impressions,
-       p2.impressions - p1.impressions AS impressions_change,
-       {pct('impressions', 'impressions')} AS impressions_change_pct,
-       p1.avg_position AS period1_position, p2.avg_position AS period2_position,
-       p2.avg_position - p1.avg_position AS position_change,
-       p1.unique_queries AS period1_queries, p2.unique_queries AS period2_queries,
-       p1.unique_pages AS period1_pages, p2.unique_pages AS period2_pages
-FROM period1 p1, period2 p2
-"""
+    """One pass with a FILTER per period; the changes are derived from its single row."""
+    measures = {"clicks": "CAST(SUM(clicks){f} AS BIGINT)", "impressions": "CAST(SUM(impressions){f} AS BIGINT)",
+                "position": "AVG(position){f}", "queries": "COUNT(DISTINCT query){f}", "pages": "COUNT(DISTINCT page){f}"}
+    bounds = {1: (p.period1_start, p.period1_end), 2: (p.period2_start, p.period2_end)}
+    sums, out = [], []
+    for k, (start, end) in bounds.items():
+        inside = f" FILTER (date BETWEEN '{start}' AND '{end}')"
+        sums += [f"{sql.format(f=inside)} AS period{k}_{name}" for name, sql in measures.items()]
+        out += [f"'{start}' AS period{k}_start", f"'{end}' AS period{k}_end"]
+    for name in ("clicks", "impressions", "position"):
+        out.append(f"period2_{name} - period1_{name} AS {name}_change")
+    for name in ("clicks", "impressions"):
+        out.append(f"CASE WHEN period1_{name} > 0 THEN CAST(period2_{name} - period1_{name} AS DOUBLE) "
+                   f"/ CAST(period1_{name} AS DOUBLE) * 100 ELSE 0.0 END AS {name}_change_pct")
+    return f"SELECT *, {', '.join(out)} FROM (SELECT {', '.join(sums)} FROM daily WHERE site_url = {sql_str(SITE)}) t"
 
 
 CUSTOM = {"period1": {"start": "1998-01-01", "end": "1998-03-31"},

@@ -50,8 +50,9 @@ def q_kpi_summary(spark, sf_dir):
     return _r9(D.kpi_summary(D.daily_totals(_site(spark, sf_dir), AS_OF, DAYS)), "ctr", "position")
 
 
-@register("kpi_change", "DSH-3", f"""
-WITH t AS ({_DAILY_TOTALS_SQL.format(src="hourly")}),
+def _kpi_oracle(src):
+    return f"""
+WITH t AS ({_DAILY_TOTALS_SQL.format(src=src)}),
 r AS (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY site_url ORDER BY date DESC) AS rn,
            COUNT(*) OVER (PARTITION BY site_url) AS n_days
@@ -77,12 +78,21 @@ SELECT site_url,
        ROUND((cur_ctr - prev_ctr) / NULLIF(prev_ctr, 0) * 100, 9) AS ctr_change,
        ROUND((prev_position - cur_position) / NULLIF(cur_position, 0) * 100, 9) AS position_change
 FROM a
-""")
+"""
+
+
+@register("kpi_change", "DSH-3", _kpi_oracle("hourly"))
 def q_kpi_change(spark, sf_dir):
     totals = D.daily_totals(Store.fixtures(spark, sf_dir).hourly())
     return _r9(D.kpi_change(totals), "clicks_change", "impressions_change", "ctr_change", "position_change")
 
 
+@register("kpi_change_daily", "DSH-3", _kpi_oracle("daily"))
+def q_kpi_change_daily(spark, sf_dir):
+    totals = D.daily_totals(Store.fixtures(spark, sf_dir).daily())
+    return _r9(D.kpi_change(totals), "clicks_change", "impressions_change", "ctr_change", "position_change")
+
+
 @register("top_pages", "DSH-4", f"""
 SELECT page, CAST(SUM(clicks) AS BIGINT) AS clicks
 FROM {_SITE_RECENT} s
@@ -109,26 +119,32 @@ def q_query_table(spark, sf_dir):
     return D.query_table(_site(spark, sf_dir), AS_OF, DAYS, search="BOLT", sort="position", limit=50)
 
 
-@register("trend_7d", "TRD-1", f"""
-WITH daily_stats AS (
-    SELECT site_url, date,
-           CAST(SUM(clicks) AS BIGINT) AS total_clicks,
-           CAST(SUM(impressions) AS BIGINT) AS total_impressions,
-           AVG(position) AS avg_position,
-           COUNT(DISTINCT query) AS unique_queries
-    FROM {_SITE_RECENT} s
-    GROUP BY site_url, date
+def _trend_oracle(rows):
+    return f"""
+WITH day AS (
+    SELECT site_url, date, CAST(SUM(clicks) AS BIGINT) AS total_clicks, CAST(SUM(impressions) AS BIGINT) AS total_impressions,
+           AVG(position) AS avg_position, COUNT(DISTINCT query) AS unique_queries,
+           ROW_NUMBER() OVER (PARTITION BY site_url ORDER BY date) AS n
+    FROM {rows} s GROUP BY site_url, date
 )
-SELECT *,
-       ROUND(AVG(total_clicks) OVER (PARTITION BY site_url ORDER BY date
-                                     ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 9) AS clicks_7d_avg,
-       total_clicks - LAG(total_clicks, 7) OVER (PARTITION BY site_url ORDER BY date) AS clicks_wow_change
-FROM daily_stats
-""")
+SELECT d.site_url, d.date, d.total_clicks, d.total_impressions, d.avg_position, d.unique_queries,
+       ROUND(AVG(w.total_clicks), 9) AS clicks_7d_avg, ANY_VALUE(d.total_clicks) - MAX(b.total_clicks) AS clicks_wow_change
+FROM day d JOIN day w ON w.site_url = d.site_url AND w.n BETWEEN d.n - 6 AND d.n
+LEFT JOIN day b ON b.site_url = d.site_url AND b.n = d.n - 7
+GROUP BY ALL
+"""
+
+
+@register("trend_7d", "TRD-1", _trend_oracle(_SITE_RECENT))
 def q_trend(spark, sf_dir):
     return _r9(TR.trend(_site(spark, sf_dir), AS_OF, DAYS), "clicks_7d_avg")
 
 
+@register("trend_all_sites", "TRD-1", _trend_oracle(f"(SELECT * FROM daily WHERE date >= '{floor_date(AS_OF, DAYS)}')"))
+def q_trend_all_sites(spark, sf_dir):
+    return _r9(TR.trend(Store.fixtures(spark, sf_dir).daily(), AS_OF, DAYS), "clicks_7d_avg")
+
+
 @register("hour_vs_last_week", "TRD-2", """
 WITH h AS (
     SELECT site_url, date, hour, CAST(SUM(clicks) AS BIGINT) AS clicks

@@ -1,41 +1,45 @@
-"""Registered write round trips: hourly ingest (SRC-7, ING-4/6, SNK-2, STR-2/3),
-zstd archive (SNK-5) and CSV export (SNK-3).
-
-The stored facts are replayed as landed response pages (one fetch per day,
-25,000-row pages), ingested by the Structured Streaming job with
-``availableNow`` into a fresh store in the shared checkpoint folder, and read
-back. The oracle is the fact view itself: ingestion must reproduce every row.
-
-The daily twin (``round_trip(..., "daily")``) is not registered: the daily
-fixture spans ~7,500 (site, day) units of ~8 rows, and writing one folder per
-unit twice (staging, store) takes minutes at sf0.01 on a local disk. It runs
-in ``tests/test_ingest.py`` on a slice of the same stored facts.
+"""Registered write round trips: ingest (SRC-6/7, ING-4..6, SNK-1/2, STR-1..3), zstd archive (SNK-5) and
+CSV export (SNK-3).
+
+The facts are replayed as landed response pages, ingested by the Structured Streaming job with
+``availableNow`` into a fresh store in the shared checkpoint folder, and read back. Where a fetch is
+complete the store must hold every row of it; incomplete, late and superseded fetches must not show.
 """
 
+from pyspark.sql import functions as F
+
 from rankspark.functions.predicates import floor_date
 from rankspark.operators.dashboard import query_table
 from rankspark.queries.params import AS_OF, DAYS, SITE, sql_str
 from rankspark.registry import register
-from rankspark.schema import DAILY, DAILY_COLUMNS, HOURLY_COLUMNS
+from rankspark.schema import DAILY, DAILY_COLUMNS, HOURLY_COLUMNS, PAGE_ROW_LIMIT, RAW_PAGE
 from rankspark.session import scratch_path
-from rankspark.sinks.export import archive, export_csv
+from rankspark.sinks.export import archive, display, export_csv
 from rankspark.sources.landing import to_response_pages
 from rankspark.sources.store import Store
 from rankspark.streaming.ingest import stream_daily, stream_hourly
 
 
-def round_trip(spark, facts, kind):
-    """Replay ``facts`` as landed pages and stream them into a fresh store."""
-    work = scratch_path(spark, f"ingest-{kind}")
-    pages = to_response_pages(facts, kind, fetch_id=f"replay-{kind}", hour_offset="-07:00")
-    pages.write.json(f"{work}/landing")
+def _stream(spark, work, kind, page_limit=PAGE_ROW_LIMIT):
     start = stream_daily if kind == "daily" else stream_hourly
-    query = start(spark, f"{work}/landing", f"{work}/store", f"{work}/stream-checkpoint")
+    query = start(spark, f"{work}/landing", f"{work}/store", f"{work}/stream-checkpoint", page_limit=page_limit)
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
-    out = Store.at(spark, f"{work}/store")
-    return out.daily() if kind == "daily" else out.hourly()
+    return Store.at(spark, f"{work}/store").table(kind)
+
+
+def round_trip(spark, facts, kind, page_limit=PAGE_ROW_LIMIT):
+    """Replay ``facts`` as landed pages and stream them into a fresh store."""
+    work = scratch_path(spark, f"ingest-{kind}")
+    pages = to_response_pages(facts, kind, fetch_id=f"replay-{kind}", hour_offset="-07:00", page_limit=page_limit)
+    pages.write.json(f"{work}/landing")
+    return _stream(spark, work, kind, page_limit)
+
+
+@register("ingest_daily_roundtrip", "STR-1", f"SELECT {', '.join(DAILY_COLUMNS)} FROM daily", writes=True)
+def q_ingest_daily(spark, sf_dir):
+    return round_trip(spark, Store.fixtures(spark, sf_dir).daily(), "daily")
 
 
 @register("ingest_hourly_roundtrip", "STR-2", f"SELECT {', '.join(HOURLY_COLUMNS)} FROM hourly", writes=True)
@@ -43,6 +47,62 @@ def q_ingest_hourly(spark, sf_dir):
     return round_trip(spark, Store.fixtures(spark, sf_dir).hourly(), "hourly")
 
 
+SMALL_PAGE = 7
+
+
+@register("ingest_daily_pages", "ING-4", f"""
+SELECT {', '.join(DAILY_COLUMNS)} FROM daily WHERE date NOT LIKE '%-13' AND date NOT LIKE '%-14'
+""", writes=True)
+def q_ingest_daily_pages(spark, sf_dir):
+    """Days of many small pages, some delivered twice. The first page of every 13th is missing, and of
+    every 14th there is only an empty fetch: neither day is stored. A later fetch of stored days is ignored."""
+    work = scratch_path(spark, "ingest-pages")
+    facts = Store.fixtures(spark, sf_dir).daily()
+    pages = to_response_pages(facts.where(~F.col("date").like("%-14")), "daily", fetch_id="first", page_limit=SMALL_PAGE)
+    pages = pages.where(~(F.col("date").like("%-13") & (F.col("start_row") == 0)))
+    empty = facts.where(F.col("date").like("%-14")).select("site_url", "date").distinct().select(
+        "*", F.lit("empty").alias("fetch_id"), F.lit(0).cast("bigint").alias("start_row"),
+        F.lit("2000-01-01").cast("timestamp").alias("fetched_at"), F.array().cast(RAW_PAGE["rows"].dataType).alias("rows"))
+    again = pages.where(F.col("date").like("%-02"))
+    pages.unionByName(empty).unionByName(again).write.json(f"{work}/landing")
+    _stream(spark, work, "daily", SMALL_PAGE)
+    late = to_response_pages(facts.where(F.col("date").like("%-0_")).withColumn("clicks", F.col("clicks") + 1), "daily",
+                             fetch_id="late", fetched_at="2001-01-01 00:00:00", page_limit=SMALL_PAGE)
+    late.write.mode("append").json(f"{work}/landing")
+    return _stream(spark, work, "daily", SMALL_PAGE)
+
+
+@register("ingest_hourly_replaced", "STR-3", """
+SELECT site_url, date, hour, query, page, device, country,
+       CASE WHEN MAX(hour) OVER (PARTITION BY site_url, date) = 23 THEN clicks ELSE clicks + 100 END AS clicks,
+       impressions, ctr, position
+FROM hourly
+""", writes=True)
+def q_ingest_hourly_replaced(spark, sf_dir):
+    """Each day fetched three times: up to noon, whole, and later with other clicks. The second replaces
+    the first; the third replaces only days that had not reached hour 23."""
+    work = scratch_path(spark, "ingest-replaced")
+    facts = Store.fixtures(spark, sf_dir).hourly()
+    fetches = [("noon", facts.where("hour <= 12")), ("whole", facts), ("late", facts.withColumn("clicks", F.col("clicks") + 100))]
+    for i, (fetch, rows) in enumerate(fetches):
+        to_response_pages(rows, "hourly", fetch_id=fetch, fetched_at=f"2000-01-0{i + 1} 00:00:00").write.mode("append").json(f"{work}/landing")
+        out = _stream(spark, work, "hourly")
+    return out
+
+
+@register("display_table", "PRJ-9", f"""
+SELECT query, CASE WHEN n IS NULL THEN '-' ELSE format('{{:,}}', n) END AS n,
+       CASE WHEN share IS NULL OR isnan(share) THEN '-' ELSE printf('%.2f', round(share, 2)) END AS share
+FROM (SELECT query, NULLIF(CAST(SUM(impressions) AS BIGINT), 0) AS n,
+             CASE WHEN MAX(clicks) >= 45 THEN CAST('NaN' AS DOUBLE) WHEN MAX(clicks) >= 40 THEN NULL ELSE MAX(clicks) / 4.0 END AS share
+      FROM daily WHERE site_url = {sql_str(SITE)} GROUP BY query) t
+""")
+def q_display_table(spark, sf_dir):
+    t = Store.fixtures(spark, sf_dir).daily(SITE).groupBy("query").agg(F.sum("impressions").alias("n"), F.max("clicks").alias("top"))
+    share = F.when(F.col("top") >= 45, F.lit(float("nan"))).when(F.col("top") < 40, F.col("top") / 4.0)
+    return display(t.select("query", "n", share.alias("share")))
+
+
 @register("archive_site", "SNK-5", f"""
 SELECT {', '.join(DAILY_COLUMNS)} FROM daily WHERE site_url = {sql_str(SITE)}
 """, writes=True)
@@ -74,4 +134,4 @@ def q_export_csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "csv-export")
     table = query_table(Store.fixtures(spark, sf_dir).daily(SITE), AS_OF, DAYS, sort="clicks", limit=50)
     export_csv(table, path)
-    return spark.read.schema(_CSV_SCHEMA).option("header", True).csv(path)
+    return spark.read.schema(_CSV_SCHEMA).option("header", True).option("escape", '"').csv(path)

@@ -55,6 +55,29 @@ def q_sql_both(spark, sf_dir):
     )
 
 
+_TOP = "SELECT query, page, date, clicks, position FROM {site} ORDER BY clicks DESC, date, query, page, device, country, impressions, position"
+
+
+@register("sql_default_limit", "SRT-7", f"""
+{_TOP.replace("{site}", f"(SELECT * FROM daily WHERE site_url = {sql_str(SITE)}) s")} LIMIT 100
+""")
+def q_sql_default_limit(spark, sf_dir):
+    """A statement without a LIMIT of its own gets the endpoint's; a column or a text of that name is none."""
+    return Store.fixtures(spark, sf_dir).sql(f"-- LIMIT; none\n{_TOP}", site=SITE, default_limit=100)
+
+
+@register("sql_nan_to_null", "SNK-4", f"""
+SELECT query, SUM(clicks) FILTER (clicks >= 10) / NULLIF(CAST(COUNT(*) FILTER (clicks >= 10) AS DOUBLE), 0) AS mean_clicks, 'a;b' AS note
+FROM daily WHERE site_url = {sql_str(SITE)} GROUP BY query
+""")
+def q_sql_nan_to_null(spark, sf_dir):
+    """Queries without a large row have no mean: NaN in the statement, NULL in the result."""
+    return Store.fixtures(spark, sf_dir).sql(
+        """SELECT query, CASE WHEN count_if(clicks >= 10) = 0 THEN CAST('NaN' AS DOUBLE)
+                              ELSE SUM(CASE WHEN clicks >= 10 THEN clicks END) / CAST(count_if(clicks >= 10) AS DOUBLE) END AS mean_clicks, 'a;b' AS note
+           FROM {site} GROUP BY query""", site=SITE, nan_to_null=True)
+
+
 def _spine_sql(table_name: str, start: dt.date, end: dt.date) -> str:
     return f"""
     SELECT s.site_url, strftime(t.d, '%Y-%m-%d') AS date
@@ -71,7 +94,7 @@ ORDER BY site_url, date
 """)
 def q_plan_daily(spark, sf_dir):
     store = Store.fixtures(spark, sf_dir)
-    return plan_daily(store.daily(), store.daily().select("site_url"), DAILY_PLAN_AS_OF)
+    return plan_daily(store.units("daily"), store.units("daily"), DAILY_PLAN_AS_OF)
 
 
 @register("plan_hourly", "ING-2", f"""
@@ -84,7 +107,7 @@ ORDER BY 1, 2
 """)
 def q_plan_hourly(spark, sf_dir):
     store = Store.fixtures(spark, sf_dir)
-    return plan_hourly(store.hourly(), store.hourly().select("site_url"), HOURLY_PLAN_AS_OF)
+    return plan_hourly(store.units("hourly"), store.units("hourly"), HOURLY_PLAN_AS_OF)
 
 
 @register("display_pages", "PRJ-8", """

@@ -1,16 +1,16 @@
 """Session defaults and shared-folder helpers.
 
-Cluster settings always win: every default here is applied only when the
-key is still unset, so a job submitted with its own shuffle width, event log
-or checkpoint folder keeps them.
+Cluster settings win: a default here is applied only when the key is still
+unset, so a job submitted with its own shuffle width, event log or checkpoint
+folder keeps them. The one exception is the session time zone, which is set to
+UTC: stored dates and hours are UTC texts, and any other zone would shift them.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the package relies on, applied only where the session leaves them
 # unset. Dates are stored as strings, but the fixture views format timestamps,
@@ -35,8 +35,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "rankspark") -> SparkSession:
-    """A local session for tests and the benchmark (UI off, no server ports)."""
+                  app_name: str = "rankspark", checkpoint_dir: str | None = None) -> SparkSession:
+    """A local session for tests and the benchmark (UI off, no server ports).
+
+    ``checkpoint_dir`` plays the part of the shared folder a cluster would name.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
@@ -46,11 +49,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for key, value in REQUIRED_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return configure(spark)
 
 
@@ -69,33 +73,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def use_shared_checkpoint_dir(spark: SparkSession) -> str:
-    """Point ``Dataset.checkpoint()`` at the shared folder named by the session.
-
-    Needed when ``spark.checkpoint.dir`` was set as a session conf after the
-    context started; raises (via ``checkpoint_root``) when no folder is named.
-    """
-    root = checkpoint_root(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Local runs and tests only: name a scratch checkpoint folder when the
-    session names none. Cluster jobs never call this; they use the shared
-    folder from ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = jdir.get() if jdir.isDefined() else None
-    if not root:
-        root = tempfile.mkdtemp(prefix="rankspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return use_shared_checkpoint_dir(spark)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint folder."""
     root = checkpoint_root(spark)
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh folder under the shared checkpoint folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

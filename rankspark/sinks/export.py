@@ -37,12 +37,13 @@ def csv_frame(query_table: DataFrame) -> DataFrame:
 def export_csv(query_table: DataFrame, path: str) -> None:
     """SNK-3: write the query table as CSV with a header row.
 
-    Fields holding a comma are quoted (Spark also escapes embedded quotes,
-    which the browser export did not). Written as a folder of part files by
+    Fields holding a comma or quote are quoted, embedded quotes are doubled, and
+    white space at either end is kept. Written as a folder of part files by
     the executors; nothing passes through the driver.
     """
     (csv_frame(query_table).write.mode("overwrite")
-        .option("header", True).option("quoteAll", False).csv(path))
+        .option("header", True).option("quoteAll", False).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def archive(df: DataFrame, path: str) -> None:

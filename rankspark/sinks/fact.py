@@ -1,111 +1,69 @@
 """Fact-table writers (SNK-1, SNK-2).
 
-Daily units are written once and never touched again (append after an
-anti-join with the stored units). Hourly units are replaced whole until they
-are complete (dynamic partition overwrite), and a complete unit is frozen.
-
-Before a write, rows are hash-partitioned by (site_url, date, page) with an
-explicit width (``spark.sql.shuffle.partitions``; AQE does not collapse an
-explicit width), where page is the landed page a row came from (at most
-25,000 rows). A day of one page is one file, as in the source layout; a very
-large day spreads over as many writers as it has pages, so no day is ever
-funnelled through one task. Rows without a page column are spread by a hash
-of their dimensions into ~25,000-row slices per day instead. Spark's commit
-protocol makes the whole job all-or-nothing.
+A write is a *batch*: its rows go to ``<root>/<kind>/batch=<id>/date=<day>/``, a day in as many files as
+it has ROWS_PER_FILE rows (dealt by a hash of the row's dimensions, so a large day or site is split over
+tasks), sorted by site inside. Only then is one small manifest file appended to ``<root>/units/<kind>`` with a
+row per unit: (site_url, date, batch, n_rows, max_hour). Readers see the batches that a manifest file
+names, so a job lost half-way leaves rows that nobody reads, and running it again stores the unit whole.
+
+A daily unit is stored once and never replaced. An hourly unit is replaced by newer batches until its
+rows reach hour 23, then frozen; of several batches that hold a unit the newest counts.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.schema import DAILY_COLUMNS, DIMENSIONS, HOURLY_COLUMNS, LAST_HOUR, PAGE_ROW_LIMIT
-from rankspark.session import use_shared_checkpoint_dir
-from rankspark.sources.store import Store
+from rankspark.schema import DAILY_COLUMNS, HOURLY_COLUMNS, LAST_HOUR
+from rankspark.session import stored
+from rankspark.sources.store import MANIFEST, Store, batch_path, units_path
 
 UNIT = ["site_url", "date"]
+ROWS_PER_FILE = 4_000_000  # some 128-512 MB
 
 
-def by_unit(df: DataFrame, spread: str | None = None) -> DataFrame:
-    """Partition rows for a (site, date)-partitioned write.
-
-    ``spread`` names a column that splits a day into bounded slices (the page's
-    start row). Without it, a day is sliced by a dimension hash into as many
-    parts as it has ~25,000-row pages (from a per-day count).
-    """
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if spread is not None:
-        return df.repartition(width, *UNIT, spread)
-    sizes = df.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(PAGE_ROW_LIMIT))).cast("long")
-    dims = [c for c in ("hour", *DIMENSIONS) if c in df.columns]
-    sliced = df.join(sizes, UNIT).withColumn("_slice", F.pmod(F.xxhash64(*dims), parts))
-    return sliced.repartition(width, *UNIT, "_slice").drop("_n", "_slice")
-
-
-def within_dates(stored: DataFrame, units: DataFrame | None) -> DataFrame:
-    """Restrict a stored table to the dates spanned by ``units``.
-
-    The span is one small aggregate; as a literal range it becomes a partition
-    filter, so only those date folders are listed, not the whole history.
-    """
-    if units is None:
-        return stored
-    lo, hi = units.agg(F.min("date"), F.max("date")).first()
-    if lo is None:
-        return stored.where(F.lit(False))
-    return stored.where(F.col("date").between(F.lit(lo), F.lit(hi)))
-
-
-def stored_units(store: Store, table: str = "daily", units: DataFrame | None = None) -> DataFrame:
-    """(site_url, date) units present in a stored table, optionally only among
-    ``units`` (partition columns only; no data columns are read)."""
-    df = within_dates(store.daily() if table == "daily" else store.hourly(), units)
-    out = df.select(*UNIT)
-    if units is not None:
-        out = out.join(units, UNIT, "left_semi")
-    return out.distinct()
-
-
-def complete_hourly_units(store: Store, units: DataFrame | None = None) -> DataFrame:
-    """Hourly units whose latest stored hour is 23, optionally only among ``units``."""
-    df = within_dates(store.hourly(), units)
-    if units is not None:
-        df = df.join(units, UNIT, "left_semi")
-    return (df.groupBy(*UNIT).agg(F.max("hour").alias("max_hour"))
-            .where(F.col("max_hour") == LAST_HOUR).select(*UNIT))
-
-
-def write_daily(rows: DataFrame, root: str, compression: str = "snappy") -> DataFrame:
-    """SNK-1: append the rows of days not yet stored; returns the rows written (lazy).
-
-    Re-running with the same input writes nothing (idempotent). A ``start_row``
-    column, if present, spreads large days over writers and is not stored.
-    """
-    store = Store.at(rows.sparkSession, root)
-    spread = "start_row" if "start_row" in rows.columns else None
-    units = rows.select(*UNIT).distinct()
-    new = rows.select(*DAILY_COLUMNS, *([spread] if spread else [])).join(
-        stored_units(store, "daily", units), UNIT, "left_anti")
-    (by_unit(new, spread).select(*DAILY_COLUMNS).write.mode("append").option("compression", compression)
-        .partitionBy(*UNIT).parquet(f"{root.rstrip('/')}/daily"))
-    return new
+def closed_units(store: Store, kind: str) -> DataFrame:
+    """Units that are not to be written again: stored daily ones, hourly ones that reach hour 23."""
+    units = store.units(kind)
+    return (units if kind == "daily" else units.where(F.col("max_hour") == LAST_HOUR)).select(*UNIT)
 
 
-def write_hourly(rows: DataFrame, root: str, compression: str = "snappy") -> DataFrame:
-    """SNK-2 / STR-3: replace whole hourly units, except units already complete.
+def commit(rows: DataFrame, sizes: DataFrame, root: str, kind: str, compression: str = "snappy") -> int:
+    """Write ``rows`` as one batch and publish it; returns the number of units stored.
 
-    The set of complete units is checkpointed to the shared checkpoint folder
-    first, so the overwrite plan never reads the partitions it replaces.
+    ``sizes`` has the rows per day (date, n), one small row a day.
     """
-    spark = rows.sparkSession
-    store = Store.at(spark, root)
-    use_shared_checkpoint_dir(spark)
-    spread = "start_row" if "start_row" in rows.columns else None
-    units = rows.select(*UNIT).distinct()
-    frozen = complete_hourly_units(store, units).checkpoint(eager=True)
-    new = rows.select(*HOURLY_COLUMNS, *([spread] if spread else [])).join(frozen, UNIT, "left_anti")
-    (by_unit(new, spread).select(*HOURLY_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .option("compression", compression)
-        .partitionBy(*UNIT).parquet(f"{root.rstrip('/')}/hourly"))
-    return new
+    spark, columns = rows.sparkSession, DAILY_COLUMNS if kind == "daily" else HOURLY_COLUMNS
+    batch = f"{Store.at(spark, root).next_batch(kind):012d}-{uuid.uuid4().hex[:8]}"
+    path = batch_path(root, kind, batch)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = F.ceil(F.col("n") / ROWS_PER_FILE).cast("long")
+    dealt = rows.select(*columns).join(sizes.select("date", files.alias("files")), "date")
+    dealt = dealt.repartition(width, "date", F.pmod(F.xxhash64("site_url", "query", "page"), "files"))
+    (dealt.select(*columns).sortWithinPartitions("date", "site_url", "query", "page").write.option("compression", compression).partitionBy("date").parquet(path))
+    schema = rows.select(*columns).schema
+    hour = F.max("hour") if kind == "hourly" else F.lit(None).cast("int")
+    units = spark.read.schema(schema).parquet(path).groupBy(*UNIT).agg(F.count("*").alias("n_rows"), hour.alias("max_hour"))
+    units = stored(units.select(*UNIT, F.lit(batch).alias("batch"), "n_rows", "max_hour").select(*MANIFEST.names), "units")
+    units.coalesce(1).write.mode("append").parquet(units_path(root, kind))  # one file: published whole or not at all
+    return units.count()
+
+
+def write_daily(rows: DataFrame, root: str, compression: str = "snappy") -> int:
+    """SNK-1: store the days that are not stored yet; running again with the same rows stores nothing."""
+    return _write(rows, root, "daily", compression)
+
+
+def write_hourly(rows: DataFrame, root: str, compression: str = "snappy") -> int:
+    """SNK-2 / STR-3: store or replace whole hourly units, except those already complete."""
+    return _write(rows, root, "hourly", compression)
+
+
+def _write(rows: DataFrame, root: str, kind: str, compression: str) -> int:
+    closed = closed_units(Store.at(rows.sparkSession, root), kind)
+    new = rows.join(closed, UNIT, "left_anti")
+    sizes = stored(new.groupBy("date").agg(F.count("*").alias("n")), "day-sizes")
+    return commit(new, sizes, root, kind, compression)

@@ -9,17 +9,11 @@ rows; ``tests/test_fixtures.py`` checks it.
 
 from __future__ import annotations
 
-import hashlib
-import logging
-import threading
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankspark.schema import DAILY_COLUMNS, HOURLY_COLUMNS
 
-log = logging.getLogger(__name__)
-
 HOURLY_SITE = "sc-domain:events.example"
 
 
@@ -47,10 +41,7 @@ def _device_of_line(linenumber: Column) -> Column:
 def daily_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily fact over all sites, columns in ``schema.DAILY`` order.
 
-    ``nation`` has 25 rows by the TPC-H definition, so it is the only side
-    broadcast by hand; part and supplier grow with the data and are left to
-    AQE, which broadcasts them only when their runtime size is under the
-    threshold and sort-merge joins them otherwise.
+    Spark picks the joins by the sizes of the sides.
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -60,7 +51,7 @@ def daily_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     supp_nation = supplier.join(
-        F.broadcast(nation), supplier.s_nationkey == nation.n_nationkey
+        nation, supplier.s_nationkey == nation.n_nationkey
     ).select("s_suppkey", "n_name")
 
     joined = li.join(part, li.l_partkey == part.p_partkey).join(
@@ -102,55 +93,6 @@ def hourly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*HOURLY_COLUMNS)
 
 
-# Derived fact tables already written in this application, by input folder.
-_WRITTEN: dict[tuple[str, str], str] = {}
-_WRITE_LOCK = threading.Lock()
-
-
-def write_fact_tables(spark: SparkSession, sf_dir: str, root: str) -> str:
-    """Write both views as stored fact tables under ``root``.
-
-    Layout: partitioned by ``site_url``, rows range-partitioned and sorted by
-    (site_url, date, then every other column), so each file covers a contiguous
-    date range and a date predicate skips row groups by their min/max
-    statistics. The range key runs through all columns so a huge day, or a hot
-    query inside it, is split over several files instead of landing in one
-    task. (The ingest layout adds a ``date`` folder level; at test scale that
-    would mean ~80 rows per file.)
-    """
-    for name, view in (("daily", daily_view), ("hourly", hourly_view)):
-        df = view(spark, sf_dir)
-        order = ["site_url", "date"] + [c for c in df.columns if c not in ("site_url", "date")]
-        (df.repartitionByRange(*order).sortWithinPartitions(*order)
-           .write.mode("overwrite").option("compression", "snappy")
-           .partitionBy("site_url").parquet(f"{root}/{name}"))
-    return root
-
-
-def fact_root(spark: SparkSession, sf_dir: str) -> str | None:
-    """Root of the stored fact tables derived from ``sf_dir``, written on first use.
-
-    The tables are a written table in the shared checkpoint folder, once per
-    application; every later report reads them like a production store. Returns
-    None (callers then use the lazy views) when no folder can be written.
-    """
-    from rankspark.session import checkpoint_root
-
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    with _WRITE_LOCK:
-        if key in _WRITTEN:
-            return _WRITTEN[key]
-        try:
-            tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
-            root = f"{checkpoint_root(spark)}/fixture-facts/{key[0]}/{tag}"
-            write_fact_tables(spark, sf_dir, root)
-        except Exception as e:  # no shared folder, read-only storage, ...
-            log.warning("fact tables not written (%s); reading the views directly", e)
-            root = None
-        _WRITTEN[key] = root
-        return root
-
-
 # DuckDB text of the same two views, for the oracle. Table names are the
 # driver's pre-registered views.
 DAILY_VIEW_SQL = """

@@ -8,8 +8,9 @@ with bounded fan-out, and no operation here ever gathers a whole day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankspark.schema import DAILY_COLUMNS, DIMENSIONS, HOURLY_COLUMNS, PAGE_ROW_LIMIT, RAW_PAGE
 
@@ -17,9 +18,33 @@ UNIT = ["site_url", "date"]
 FETCH = ["site_url", "date", "fetch_id"]
 
 
+CORRUPT = "_corrupt_record"
+LANDED = T.StructType([*RAW_PAGE.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def landed_pages(read: DataFrame) -> DataFrame:
+    """Pages read with ``LANDED``, with a flag for records that did not parse as they should."""
+    return read.select(*RAW_PAGE.fieldNames(), F.col(CORRUPT).isNotNull().alias("malformed"))
+
+
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     """Batch read of landed pages with the fixed envelope schema."""
-    return spark.read.schema(RAW_PAGE).json(path)
+    return landed_pages(spark.read.schema(LANDED).option("columnNameOfCorruptRecord", CORRUPT).json(path))
+
+
+def _malformed(raw: DataFrame) -> Column:
+    """Whether a page did not parse, or holds a row without its keys or counts."""
+    holed = F.exists("rows", lambda r: r["keys"].isNull() | r["clicks"].isNull() | r["impressions"].isNull())
+    flag = F.coalesce(holed, F.lit(False))
+    return flag | F.col("malformed") if "malformed" in raw.columns else flag
+
+
+def _one_copy(raw: DataFrame) -> DataFrame:
+    """(fetch, start_row, fetched_at, n, bad) of the copy of each page that counts: the newest, then the largest."""
+    n = F.coalesce(F.size("rows"), F.lit(0)).alias("n")
+    sizes = raw.select(*FETCH, "start_row", F.struct("fetched_at", n, (~_malformed(raw)).alias("good")).alias("copy"))
+    return sizes.groupBy(*FETCH, "start_row").agg(F.max("copy").alias("copy")).select(
+        *FETCH, "start_row", "copy.fetched_at", "copy.n", (~F.col("copy.good")).alias("bad"))
 
 
 def _whole(c) -> F.Column:
@@ -32,22 +57,16 @@ def _flat_rows(raw: DataFrame, *envelope: str) -> DataFrame:
     return raw.select(*envelope, F.inline("rows"))
 
 
-def flatten_daily(raw: DataFrame, keep_start_row: bool = False) -> DataFrame:
-    """SRC-6: keys = [query, page, device, country] -> the daily schema.
-
-    ``keep_start_row`` carries the page's start row along (the writers use it
-    to spread a large day over several tasks).
-    """
-    extra = ["start_row"] if keep_start_row else []
-    r = _flat_rows(raw, "site_url", "date", *extra)
+def flatten_daily(raw: DataFrame) -> DataFrame:
+    """SRC-6: keys = [query, page, device, country] -> the daily schema."""
+    r = _flat_rows(raw, "site_url", "date")
     k = F.col("keys")
     return r.select(
         "site_url", "date",
         k[0].alias("query"), k[1].alias("page"), k[2].alias("device"), k[3].alias("country"),
         _whole(F.col("clicks")).alias("clicks"), _whole(F.col("impressions")).alias("impressions"),
         F.col("ctr").cast("double").alias("ctr"), F.col("position").cast("double").alias("position"),
-        *extra,
-    ).select(*DAILY_COLUMNS, *extra)
+    ).select(*DAILY_COLUMNS)
 
 
 def hour_of_key(key) -> F.Column:
@@ -59,33 +78,30 @@ def hour_of_key(key) -> F.Column:
     return F.split(F.split(key, "T")[1], ":")[0].cast("int")
 
 
-def flatten_hourly(raw: DataFrame, keep_start_row: bool = False) -> DataFrame:
+def flatten_hourly(raw: DataFrame) -> DataFrame:
     """SRC-7: keys = [hour key, query, page, device, country] -> the hourly schema.
 
     ``date`` is the requested date of the envelope, not the key's date.
     """
-    extra = ["start_row"] if keep_start_row else []
-    r = _flat_rows(raw, "site_url", "date", *extra)
+    r = _flat_rows(raw, "site_url", "date")
     k = F.col("keys")
     return r.select(
         "site_url", "date", hour_of_key(k[0]).alias("hour"),
         k[1].alias("query"), k[2].alias("page"), k[3].alias("device"), k[4].alias("country"),
         _whole(F.col("clicks")).alias("clicks"), _whole(F.col("impressions")).alias("impressions"),
         F.col("ctr").cast("double").alias("ctr"), F.col("position").cast("double").alias("position"),
-        *extra,
-    ).select(*HOURLY_COLUMNS, *extra)
+    ).select(*HOURLY_COLUMNS)
 
 
 def fetch_status(raw: DataFrame, page_limit: int = PAGE_ROW_LIMIT) -> DataFrame:
     """ING-4: one row per fetch with its completeness.
 
     A fetch is complete when its pages start at row 0, every page but the last
-    is full, the starts are contiguous, and the last page is short (possibly
-    empty). Re-delivered copies of a page count once. Only per-page sizes are
-    aggregated; the rows themselves never move here.
+    is full, the starts are contiguous, the last page is short (possibly empty)
+    and no page is malformed. Of re-delivered copies of a page one counts. Only
+    per-page sizes are aggregated; the rows themselves never move here.
     """
-    pages = raw.select(*FETCH, "start_row", "fetched_at", F.coalesce(F.size("rows"), F.lit(0)).alias("n"))
-    pages = pages.dropDuplicates([*FETCH, "start_row"])
+    pages = _one_copy(raw)
     stats = pages.groupBy(*FETCH).agg(
         F.count(F.lit(1)).alias("n_pages"),
         F.min("start_row").alias("first_start"),
@@ -94,9 +110,11 @@ def fetch_status(raw: DataFrame, page_limit: int = PAGE_ROW_LIMIT) -> DataFrame:
         F.max_by("n", "start_row").alias("last_size"),
         F.sum(F.when(F.col("n") == page_limit, 1).otherwise(0)).alias("full_pages"),
         F.max("fetched_at").alias("fetched_at"),
+        F.count_if("bad").alias("n_malformed"),
     )
     complete = (
         (F.col("first_start") == 0)
+        & (F.col("n_malformed") == 0)
         & (F.col("last_size") < page_limit)
         & (F.col("full_pages") == F.col("n_pages") - 1)
         & (F.col("last_start") == (F.col("n_pages") - 1) * page_limit)
@@ -114,15 +132,21 @@ def latest_complete_fetch(raw: DataFrame, page_limit: int = PAGE_ROW_LIMIT) -> D
         *UNIT, F.col("pick.fetch_id").alias("fetch_id"), F.col("pick.n_rows").alias("n_rows"))
 
 
-def assemble_pages(raw: DataFrame, page_limit: int = PAGE_ROW_LIMIT) -> DataFrame:
+def assemble_pages(raw: DataFrame, page_limit: int = PAGE_ROW_LIMIT, chosen: DataFrame | None = None) -> DataFrame:
     """ING-4: the pages of each (site, date)'s newest complete fetch, one copy each.
 
-    Days whose chosen fetch has zero rows yield no pages, so nothing is written
-    for them and they stay in the fetch plan (ING-5).
+    ``chosen`` restricts them to given fetches (site_url, date, fetch_id). Days whose
+    fetch has zero rows yield no pages, so nothing is written for them and they stay
+    in the fetch plan (ING-5).
     """
-    chosen = latest_complete_fetch(raw, page_limit).where(F.col("n_rows") > 0).select(*FETCH)
-    pages = raw.join(chosen, FETCH, "left_semi")
-    return pages.dropDuplicates([*FETCH, "start_row"])
+    if chosen is None:
+        chosen = latest_complete_fetch(raw, page_limit).where(F.col("n_rows") > 0)
+    copies = _one_copy(raw).join(chosen.select(*FETCH), FETCH, "left_semi").select(*FETCH, "start_row", "fetched_at", "n")
+    pages = raw.withColumn("n", F.coalesce(F.size("rows"), F.lit(0)))
+    same = pages["fetched_at"].eqNullSafe(copies["fetched_at"]) & (pages["n"] == copies["n"])
+    for c in (*FETCH, "start_row"):
+        same = same & (pages[c] == copies[c])
+    return pages.join(copies, same, "left_semi").where(~_malformed(raw)).dropDuplicates([*FETCH, "start_row"]).select(*RAW_PAGE.fieldNames())
 
 
 def to_response_pages(fact: DataFrame, kind: str = "daily", fetch_id: str = "replay",

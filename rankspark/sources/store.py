@@ -1,36 +1,74 @@
-"""The fact store: daily and hourly tables, partitioned by (site_url, date).
+"""The fact store: daily and hourly tables with a manifest of their units.
 
-On disk the layout is Hive-style, one folder per site and day::
+On disk a table is a set of committed batches, each partitioned by date alone, sites sorted inside::
 
-    <root>/daily/site_url=<escaped site>/date=YYYY-MM-DD/part-*.parquet
-    <root>/hourly/site_url=<escaped site>/date=YYYY-MM-DD/part-*.parquet
+    <root>/daily/batch=<id>/date=YYYY-MM-DD/part-*.parquet
+    <root>/hourly/batch=<id>/date=YYYY-MM-DD/part-*.parquet
+    <root>/units/<kind>/part-*.parquet     one file per commit: (site_url, date, batch, n_rows, max_hour)
 
-so a site or date predicate becomes a ``PartitionFilters`` entry and the scan
-lists only the matching folders. Daily and hourly are separate tables: a daily
-report never reads hourly files, so a day with both is never counted twice.
-A store can also wrap DataFrames already in memory (fixture views, tests).
+A reader lists the committed batches only, so the folders it opens grow with days, not with sites x
+days; a date predicate prunes folders and a site predicate row groups. Which units exist, and up to
+which hour, is read from the manifest, never from facts. Daily and hourly are separate tables: a daily
+report never reads hourly files, so a day with both is never counted twice. A store can also wrap
+DataFrames already in memory (fixture views, tests).
 """
 
 from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JError
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankspark.schema import DAILY, HOURLY
 
+MANIFEST = T.StructType([
+    T.StructField("site_url", T.StringType()),
+    T.StructField("date", T.StringType()),
+    T.StructField("batch", T.StringType()),
+    T.StructField("n_rows", T.LongType()),
+    T.StructField("max_hour", T.IntegerType()),
+])
 
-def _read_table(spark: SparkSession, path: str, schema) -> DataFrame:
-    # Explicit schema keeps `date` a string partition column and fixes the
-    # measure types, so per-file type drift can never reach a report.
-    return (
-        spark.read.schema(schema)
-        .option("basePath", path)
-        .option("mergeSchema", "false")
-        .parquet(path)
-        .select(*schema.fieldNames())
-    )
+
+def batch_path(root: str, kind: str, batch: str) -> str:
+    return f"{root.rstrip('/')}/{kind}/batch={batch}"
+
+
+def units_path(root: str, kind: str) -> str:
+    return f"{root.rstrip('/')}/units/{kind}"
+
+
+def _manifest(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """Every published unit; the ids of batches sort in the order of their commits."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(units_path(root, kind))
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(units_path(root, kind))
+
+
+def _newest(units: DataFrame) -> DataFrame:
+    """One row per unit, that of its newest batch."""
+    return units.groupBy("site_url", "date").agg(F.max_by(F.struct("batch", "n_rows", "max_hour"), "batch").alias("u")).select("site_url", "date", "u.*")
+
+
+def _facts(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    schema = DAILY if kind == "daily" else HOURLY
+    units = _manifest(spark, root, kind)
+    batches = [r.batch for r in units.select("batch").distinct().orderBy("batch").collect()]  # one per ingest run
+    if not batches:
+        return spark.createDataFrame([], schema)
+    # An explicit schema keeps `date` a string and fixes the measure types.
+    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
+    facts = spark.read.schema(with_batch).option("basePath", f"{root.rstrip('/')}/{kind}").parquet(*(batch_path(root, kind, b) for b in batches))
+    if kind == "hourly":  # units that a newer batch has replaced
+        newest = _newest(units).select("site_url", "date", F.col("batch").alias("newest"))
+        replaced = units.join(newest, ["site_url", "date"]).where("batch <> newest").select("site_url", "date", "batch")
+        facts = facts.join(replaced, ["site_url", "date", "batch"], "left_anti")
+    return facts.select(*schema.fieldNames())
 
 
 class Store:
@@ -56,10 +94,9 @@ class Store:
     # -- construction -------------------------------------------------------
     @classmethod
     def at(cls, spark: SparkSession, root: str) -> "Store":
-        """Open the partitioned tables under ``root`` (missing tables read empty)."""
+        """Open the tables under ``root`` (missing tables read empty)."""
         root = root.rstrip("/")
-        return cls(spark, lambda: _open_or_empty(spark, f"{root}/daily", DAILY),
-                   lambda: _open_or_empty(spark, f"{root}/hourly", HOURLY), root)
+        return cls(spark, lambda: _facts(spark, root, "daily"), lambda: _facts(spark, root, "hourly"), root)
 
     @classmethod
     def of(cls, spark: SparkSession, daily: DataFrame, hourly: DataFrame | None = None) -> "Store":
@@ -68,18 +105,11 @@ class Store:
         return cls(spark, daily, hourly)
 
     @classmethod
-    def fixtures(cls, spark: SparkSession, sf_dir: str, stored: bool = True) -> "Store":
-        """The fact tables derived from the driver's tables in ``sf_dir``.
+    def fixtures(cls, spark: SparkSession, sf_dir: str) -> "Store":
+        """The facts derived from the driver's tables in ``sf_dir``, as lazy views: nothing is written,
+        and a report's filters and columns reach the scans of those tables."""
+        from rankspark.sources.fixtures import daily_view, hourly_view
 
-        With ``stored`` they are written once per application to the shared
-        checkpoint folder and read back as a store; otherwise (or if that write
-        is impossible) each report re-derives them through the lazy views.
-        """
-        from rankspark.sources.fixtures import daily_view, fact_root, hourly_view
-
-        root = fact_root(spark, sf_dir) if stored else None
-        if root is not None:
-            return cls.at(spark, root)
         return cls(spark, lambda: daily_view(spark, sf_dir), lambda: hourly_view(spark, sf_dir))
 
     # -- scans (SRC-1..3) ---------------------------------------------------
@@ -103,13 +133,24 @@ class Store:
         return out
 
     # -- catalog (SRC-5) ----------------------------------------------------
-    def sites(self) -> DataFrame:
-        """Sorted distinct sites of the daily and hourly tables.
+    def units(self, kind: str = "daily") -> DataFrame:
+        """(site_url, date, n_rows, max_hour) of every stored unit; from the manifest where there is one."""
+        if self.root is not None:
+            return _newest(_manifest(self.spark, self.root, kind)).select("site_url", "date", "n_rows", "max_hour")
+        df = self.table(kind)
+        hour = F.max("hour") if kind == "hourly" else F.lit(None).cast("int")
+        return df.groupBy("site_url", "date").agg(F.count("*").alias("n_rows"), hour.alias("max_hour"))
+
+    def next_batch(self, kind: str) -> int:
+        last = _manifest(self.spark, self.root, kind).agg(F.max("batch")).first()[0]
+        return int(last.split("-")[0]) + 1 if last else 0
 
-        On a partitioned store this reads only partition values (no data
-        columns); the union is deduplicated by one small aggregate.
-        """
-        both = self.daily_df.select("site_url").unionByName(self.hourly_df.select("site_url"))
+    def sites(self) -> DataFrame:
+        """Sorted distinct sites of the daily and hourly tables."""
+        if self.root is None:
+            both = self.daily_df.select("site_url").unionByName(self.hourly_df.select("site_url"))
+        else:
+            both = self.units("daily").select("site_url").unionByName(self.units("hourly").select("site_url"))
         return both.distinct().orderBy(F.asc_nulls_last("site_url"))
 
     # -- templated SQL (SRC-4) ----------------------------------------------
@@ -128,10 +169,7 @@ class Store:
         if data_type not in ("daily", "hourly"):
             raise ValueError(f"data_type must be 'daily' or 'hourly', not {data_type!r}")
         text = sql.strip().rstrip(";").strip()
-        if not re.match(r"(?is)^\s*(select|with|\(|values|from)\b", text):
-            raise ValueError("only a single SELECT / WITH statement is accepted")
-        if ";" in _strip_literals(text):
-            raise ValueError("only one statement is accepted")
+        plan = self._select_plan(text)
         escaped = _escape_other_braces(text, ("site", "site_hourly"))
         used = set(_PLACEHOLDER.findall(escaped.replace("{{", "").replace("}}", "")))
         bound = {}
@@ -140,7 +178,7 @@ class Store:
         if "site_hourly" in used:
             bound["site_hourly"] = self.hourly(site)
         df = self.spark.sql(escaped, **bound)
-        if default_limit is not None and not _has_outer_limit(text):
+        if default_limit is not None and not _limited(plan):
             df = df.limit(default_limit)
         if nan_to_null:
             from rankspark.sinks.export import nan_to_null as _nan_to_null
@@ -148,13 +186,18 @@ class Store:
             df = _nan_to_null(df)
         return df
 
-
-def _open_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jvm_path):
-        return _read_table(spark, path, schema)
-    return spark.createDataFrame([], schema)
+    def _select_plan(self, text: str):
+        """The parsed statement, by Spark's own parser; raises ValueError unless it only reads."""
+        named = _PLACEHOLDER.sub(lambda m: f"__{m.group(1)}" if m.group(1) in ("site", "site_hourly") else m.group(0), text)
+        try:
+            plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(named)
+        except (ParseException, Py4JError) as e:
+            raise ValueError(f"not one valid SELECT / WITH statement: {str(e)[:300]}") from e
+        logical = "org.apache.spark.sql.catalyst.plans.logical."
+        writers = [self.spark._jvm.java.lang.Class.forName(logical + c) for c in ("Command", "ParsedStatement", "InsertIntoDir")]
+        if any(w.isInstance(node) for node in _walk(plan) for w in writers):
+            raise ValueError("only a single SELECT / WITH statement is accepted")
+        return plan
 
 
 _PLACEHOLDER = re.compile(r"\{([A-Za-z_][A-Za-z0-9_]*)\}")
@@ -171,19 +214,15 @@ def _escape_other_braces(text: str, names: tuple[str, ...]) -> str:
     return "".join(out)
 
 
-def _strip_literals(text: str) -> str:
-    return re.sub(r"'(?:[^']|'')*'", "''", text)
+def _walk(plan):
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _walk(children.apply(i))
 
 
-def _has_outer_limit(text: str) -> bool:
-    bare = _strip_literals(text)
-    depth = 0
-    tokens = re.findall(r"\(|\)|[A-Za-z_]+", bare)
-    for tok in tokens:
-        if tok == "(":
-            depth += 1
-        elif tok == ")":
-            depth -= 1
-        elif depth == 0 and tok.lower() == "limit":
-            return True
-    return False
+def _limited(plan) -> bool:
+    """Whether the outermost query of a parsed statement has a LIMIT."""
+    while plan.getClass().getSimpleName() in ("UnresolvedWith", "SubqueryAlias", "Offset"):
+        plan = plan.children().apply(0)
+    return plan.getClass().getSimpleName() in ("GlobalLimit", "LocalLimit")

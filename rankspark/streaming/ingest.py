@@ -1,69 +1,91 @@
 """Incremental ingest of landed response pages (STR-1..3).
 
-The source re-runs a scheduled loop that skips finished days. Here a
-Structured Streaming file source tracks which landed files were already seen
-(in the checkpoint), and ``trigger(availableNow=True)`` processes whatever is
-new and stops, which is the scheduled-batch shape of the source.
-
-A fetch's pages can land in different micro-batches, and a micro-batch sees
-only new files. So each micro-batch:
-
-1. appends its pages to a staging table partitioned by (site_url, date);
-2. re-reads, from staging, every page of the (site, date) units it touched
-   (a semi-join on the partition columns, so only those folders are read);
-3. keeps each unit's newest complete fetch (ING-4);
-4. writes it: daily units append-once (SNK-1), hourly units replace-until-
-   complete (SNK-2), complete hourly units frozen (STR-3).
-
-``foreachBatch`` is at-least-once: a replayed batch re-appends pages to
-staging, but page assembly counts each (fetch, start_row) once and both fact
-writers are idempotent, so a replay changes nothing. No watermark is needed:
-completeness is decided by page contiguity and hour 23, not by event time.
+The source re-runs a scheduled loop that skips finished days. Here a Structured Streaming file source
+tracks which landed files were already seen (in the checkpoint), and ``trigger(availableNow=True)``
+processes whatever is new and stops, which is the scheduled-batch shape of the source.
+
+A fetch's pages can land in different micro-batches, and a micro-batch sees only new files. So each
+micro-batch joins its pages with the *pending* ones, those of fetches not complete so far; stores each
+unit's newest complete fetch (daily once, hourly until hour 23); and writes what is still pending as a
+new version, after which older versions are removed. What is kept is bounded by the open fetches.
+
+``foreachBatch`` is at-least-once: a replayed batch finds its units stored and stores nothing (daily),
+or stores the same rows again (hourly). No watermark is needed: completeness is decided by page
+contiguity and hour 23, not by event time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rankspark.schema import RAW_PAGE
-from rankspark.session import checkpoint_root
-from rankspark.sinks.fact import by_unit, within_dates, write_daily, write_hourly
-from rankspark.sources.landing import UNIT, assemble_pages, flatten_daily, flatten_hourly
-
-
-def _staging_path(store_root: str, kind: str) -> str:
-    return f"{store_root.rstrip('/')}/_staging/{kind}"
-
-
-def process_pages(batch: DataFrame, store_root: str, kind: str) -> None:
-    """One micro-batch (or one batch job) of landed pages -> fact table."""
+from rankspark.schema import PAGE_ROW_LIMIT
+from rankspark.session import checkpoint_root, stored
+from rankspark.sinks.fact import UNIT, closed_units, commit
+from rankspark.sources.landing import (
+    CORRUPT, FETCH, LANDED, assemble_pages, fetch_status, flatten_daily, flatten_hourly, landed_pages, latest_complete_fetch, read_landing,
+)
+from rankspark.sources.store import Store
+
+
+def store_pages(pages: DataFrame, store_root: str, kind: str, page_limit: int = PAGE_ROW_LIMIT) -> int:
+    """Store the newest complete fetch of each open unit; returns the number of units stored."""
+    closed = closed_units(Store.at(pages.sparkSession, store_root), kind)
+    chosen = latest_complete_fetch(pages, page_limit).where(F.col("n_rows") > 0).join(closed, UNIT, "left_anti")
+    chosen = stored(chosen, f"ingest-units-{kind}")  # a row per unit, read by all that follows
+    if chosen.isEmpty():
+        return 0
+    flat = flatten_daily if kind == "daily" else flatten_hourly
+    sizes = stored(chosen.groupBy("date").agg(F.sum("n_rows").alias("n")), f"ingest-days-{kind}")
+    return commit(flat(assemble_pages(pages, page_limit, chosen)), sizes, store_root, kind)
+
+
+class _Pending:
+    """Versions of the pages of incomplete fetches under ``<root>/_pending/<kind>``; the last whole one counts."""
+
+    def __init__(self, spark: SparkSession, store_root: str, kind: str):
+        self.spark, self.root = spark, f"{store_root.rstrip('/')}/_pending/{kind}"
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        if not self.fs.exists(self.path(self.root)):
+            return []
+        found = [f.getPath() for f in self.fs.listStatus(self.path(self.root))]
+        return sorted(int(p.getName()) for p in found if self.fs.exists(self.path(p, "_SUCCESS")))
+
+    def read(self) -> DataFrame | None:
+        v = self.versions()
+        return self.spark.read.parquet(f"{self.root}/{v[-1]:012d}") if v else None
+
+    def write(self, pages: DataFrame) -> None:
+        old = self.versions()
+        pages.write.mode("overwrite").parquet(f"{self.root}/{(old[-1] + 1 if old else 0):012d}")
+        for v in old:
+            self.fs.delete(self.path(f"{self.root}/{v:012d}"), True)
+
+
+def process_pages(batch: DataFrame, store_root: str, kind: str, page_limit: int = PAGE_ROW_LIMIT) -> None:
+    """One micro-batch of landed pages -> fact table."""
     spark = batch.sparkSession
-    staging = _staging_path(store_root, kind)
-    by_unit(batch, "start_row").write.mode("append").partitionBy(*UNIT).parquet(staging)
-    touched = batch.select(*UNIT).distinct()
-    staged = spark.read.schema(RAW_PAGE).parquet(staging).select(*RAW_PAGE.fieldNames())
-    # Only the touched units' folders: a date-range partition filter, then the exact units.
-    pages = assemble_pages(within_dates(staged, touched).join(touched, UNIT, "left_semi"))
-    _write(pages, store_root, kind)
-
-
-def _write(pages: DataFrame, store_root: str, kind: str) -> None:
-    if kind == "daily":
-        write_daily(flatten_daily(pages, keep_start_row=True), store_root)
-    else:
-        write_hourly(flatten_hourly(pages, keep_start_row=True), store_root)
-
-
-def _start(spark: SparkSession, landing: str, store_root: str, kind: str,
-           checkpoint: str | None, max_files_per_trigger: int | None) -> StreamingQuery:
-    reader = spark.readStream.schema(RAW_PAGE)
+    pending = _Pending(spark, store_root, kind)
+    before = pending.read()
+    pages = stored(batch if before is None else before.unionByName(batch), f"ingest-pages-{kind}")
+    store_pages(pages, store_root, kind, page_limit)
+    open_fetches = fetch_status(pages, page_limit).where(~F.col("complete")).select(*FETCH)
+    closed = closed_units(Store.at(spark, store_root), kind)
+    pending.write(pages.join(open_fetches.join(closed, UNIT, "left_anti"), FETCH, "left_semi"))
+
+
+def _start(spark: SparkSession, landing: str, store_root: str, kind: str, checkpoint: str | None,
+           max_files_per_trigger: int | None, page_limit: int) -> StreamingQuery:
+    reader = spark.readStream.schema(LANDED).option("columnNameOfCorruptRecord", CORRUPT)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    stream = reader.json(landing)
     ckpt = checkpoint or f"{checkpoint_root(spark)}/stream-{kind}"
     return (
-        stream.writeStream.foreachBatch(lambda df, _epoch: process_pages(df, store_root, kind))
+        landed_pages(reader.json(landing)).writeStream.foreachBatch(lambda df, _epoch: process_pages(df, store_root, kind, page_limit))
         .option("checkpointLocation", ckpt)
         .trigger(availableNow=True)
         .start()
@@ -71,18 +93,17 @@ def _start(spark: SparkSession, landing: str, store_root: str, kind: str,
 
 
 def stream_daily(spark: SparkSession, landing: str, store_root: str, checkpoint: str | None = None,
-                 max_files_per_trigger: int | None = None) -> StreamingQuery:
+                 max_files_per_trigger: int | None = None, page_limit: int = PAGE_ROW_LIMIT) -> StreamingQuery:
     """STR-1: each (site, date) stored once, from its newest complete fetch."""
-    return _start(spark, landing, store_root, "daily", checkpoint, max_files_per_trigger)
+    return _start(spark, landing, store_root, "daily", checkpoint, max_files_per_trigger, page_limit)
 
 
 def stream_hourly(spark: SparkSession, landing: str, store_root: str, checkpoint: str | None = None,
-                  max_files_per_trigger: int | None = None) -> StreamingQuery:
+                  max_files_per_trigger: int | None = None, page_limit: int = PAGE_ROW_LIMIT) -> StreamingQuery:
     """STR-2/3: hourly units replaced until hour 23 is stored, then frozen."""
-    return _start(spark, landing, store_root, "hourly", checkpoint, max_files_per_trigger)
+    return _start(spark, landing, store_root, "hourly", checkpoint, max_files_per_trigger, page_limit)
 
 
-def ingest_batch(spark: SparkSession, landing: str, store_root: str, kind: str = "daily") -> None:
+def ingest_batch(spark: SparkSession, landing: str, store_root: str, kind: str = "daily", page_limit: int = PAGE_ROW_LIMIT) -> None:
     """Batch form of the same job over everything landed (re-runnable)."""
-    raw = spark.read.schema(RAW_PAGE).json(landing)
-    _write(assemble_pages(raw), store_root, kind)
+    store_pages(read_landing(spark, landing), store_root, kind, page_limit)

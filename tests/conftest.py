@@ -10,10 +10,11 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from rankspark.session import local_session
 
-    s = local_session("*", shuffle_partitions=8, app_name="rankspark-tests")
+    s = local_session("*", shuffle_partitions=8, app_name="rankspark-tests",
+                      checkpoint_dir=f"file://{tmp_path_factory.mktemp('checkpoint')}")
     yield s
     s.stop()
 

@@ -9,6 +9,7 @@ import pytest
 from rankspark.__main__ import main
 from rankspark.api import Reports
 from rankspark.schema import DAILY, HOURLY
+from rankspark.sinks.fact import write_daily, write_hourly
 from rankspark.sources.store import Store
 
 SITE = "sc-domain:t.example"
@@ -19,9 +20,9 @@ def root(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("api-store"))
     rows = [(SITE, f"2024-02-{d:02d}", f"q{q}", f"/p{q % 2}", "MOBILE", "twn", q + d, 10 * (q + d), 0.1, 1.0 + q)
             for d in range(1, 15) for q in range(4)]
-    spark.createDataFrame(rows, DAILY).write.partitionBy("site_url", "date").parquet(f"{root}/daily")
+    write_daily(spark.createDataFrame(rows, DAILY), root)
     hours = [(SITE, "2024-02-14", h, "q0", "/p0", "MOBILE", "twn", 1, 2, 0.5, 1.0) for h in range(24)]
-    spark.createDataFrame(hours, HOURLY).write.partitionBy("site_url", "date").parquet(f"{root}/hourly")
+    write_hourly(spark.createDataFrame(hours, HOURLY), root)
     return root
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rankspark.operators import adhoc as A
 from rankspark.operators import compare as C
@@ -150,10 +151,14 @@ def test_fresh_daily_totals_prefers_hourly_for_recent_dates(spark):
     ]), DAILY)
     hourly = spark.createDataFrame([
         (SITE, "2024-01-30", 3, "a", "/1", "MOBILE", "twn", 5, 50, 0.1, 2.0),
-        (SITE, "2024-01-30", 4, "a", "/1", "MOBILE", "twn", 6, 60, 0.1, 4.0),
+        (SITE, "2024-01-30", 23, "a", "/1", "MOBILE", "twn", 6, 60, 0.1, 4.0),
+        (SITE, "2024-01-01", 4, "a", "/1", "MOBILE", "twn", 9, 60, 0.1, 4.0),   # before the recent days
+        (SITE, "2024-01-29", 7, "a", "/1", "MOBILE", "twn", 4, 60, 0.1, 4.0),   # partial, no daily row
+        (SITE, "2024-01-28", 7, "a", "/1", "MOBILE", "twn", 4, 60, 0.1, 4.0),   # partial beside a daily row
     ], HOURLY)
+    daily = daily.unionByName(daily.limit(1).withColumn("date", F.lit("2024-01-28")).withColumn("clicks", F.lit(100).cast("long")))
     out = {r.date: (r.clicks, r.source) for r in A.fresh_daily_totals(daily, hourly, "2024-01-31", 10).collect()}
-    assert out == {"2024-01-01": (1, "daily"), "2024-01-30": (11, "hourly")}
+    assert out == {"2024-01-01": (1, "daily"), "2024-01-30": (11, "hourly"), "2024-01-29": (4, "hourly"), "2024-01-28": (100, "daily")}
 
 
 def test_kpi_change_needs_two_windows(spark):

@@ -110,10 +110,32 @@ def test_plan_daily_and_spine(spark, store):
 
 
 def test_plan_hourly_refetches_incomplete(spark, store):
-    plan = plan_hourly(store.hourly(), ["s1"], "2024-01-03", history_days=3)
+    plan = plan_hourly(store.units("hourly"), ["s1"], "2024-01-03", history_days=3)
     assert [r.date for r in plan.collect()] == ["2024-01-01", "2024-01-03"]
 
 
 def test_sql_nan_to_null(store):
     df = store.sql("SELECT CAST('NaN' AS DOUBLE) AS x, 1 AS y FROM {site} LIMIT 1", site="s1", nan_to_null=True)
     assert tuple(df.first()) == (None, 1)
+
+
+@pytest.mark.parametrize("text", [
+    "WITH q AS (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '/tmp/never' USING parquet SELECT * FROM q",
+    "FROM {site} INSERT OVERWRITE DIRECTORY '/tmp/never' USING parquet SELECT *",
+    "INSERT INTO t SELECT * FROM {site}", "CREATE TABLE t AS SELECT 1", "SET x = 1", "SELEC 1",
+])
+def test_sql_refuses_writes(store, text):
+    with pytest.raises(ValueError):
+        store.sql(text, site="s1")
+
+
+def test_sql_accepts_comments_quoted_semicolons_and_a_column_called_limit(store):
+    assert store.sql("-- a; comment\nSELECT 'a;b' AS x FROM {site}", site="s1").first().x == "a;b"
+    assert store.sql("SELECT clicks AS `limit` FROM {site}", site="s1", default_limit=1).count() == 1
+    assert store.sql("WITH q AS (SELECT * FROM {site}) SELECT * FROM q LIMIT 2", site="s1", default_limit=1).count() == 2
+
+
+def test_keyword_file_doubled_quotes(spark, tmp_path):
+    p = tmp_path / "kw.txt"
+    p.write_text("('a'),('women''s shoes'),('b')", encoding="utf-8")
+    assert [r.query for r in read_keywords(spark, str(p)).collect()] == ["a", "women's shoes", "b"]

@@ -6,6 +6,7 @@ from rankspark.operators import compare as C
 from rankspark.operators import keywords as K
 from rankspark.operators import reports as R
 from rankspark.schema import DAILY
+from rankspark.sinks.fact import write_daily
 from rankspark.sources.store import Store
 
 
@@ -19,7 +20,7 @@ def store(spark, tmp_path_factory):
                 rows.append((site, f"2024-02-{d:02d}", f"q{q}", f"/p{q % 3}", "MOBILE", "twn",
                              q + d, 10 * (q + d), 0.1, 1.0 + q / 4))
     df = spark.createDataFrame(rows, DAILY)
-    df.write.partitionBy("site_url", "date").parquet(f"{root}/daily")
+    write_daily(df, root)
     return Store.at(spark, root)
 
 
@@ -39,7 +40,7 @@ def test_site_and_date_filters_prune_partitions(store):
     df = R.best_pages(store.daily("sc-domain:a.example"), "2024-02-20", days=5)
     plan = _plan(df)
     pf = _partition_filters(plan)
-    assert "(site_url#" in pf and "(date#" in pf
+    assert "(date#" in pf and "EqualTo(site_url" in plan.split("PushedFilters")[1]
     assert "TakeOrderedAndProject" in plan
     assert " Sort " not in plan and "+- Sort" not in plan
     assert df.count() == 3
@@ -72,3 +73,29 @@ def test_projection_is_pruned(store):
     plan = _plan(df)
     read_schema = plan.split("ReadSchema: ")[1].split(">")[0]
     assert "country" not in read_schema and "ctr" not in read_schema and "device" not in read_schema
+
+
+def test_year_over_year_reads_the_two_periods_only(store):
+    custom = {"period1": {"start": "2024-02-01", "end": "2024-02-02"}, "period2": {"start": "2024-02-26", "end": "2024-02-28"}}
+    df = C.compare_periods(store.daily("sc-domain:a.example"), "2024-02-28", "custom", custom)
+    df.collect()
+    scan = df._jdf.queryExecution().executedPlan()
+    pf = _partition_filters(scan.toString())
+    assert "OR" in pf and "2024-02-02" in pf and "2024-02-26" in pf
+    assert df.first().period1_clicks == sum(q + d for q in range(5) for d in (1, 2))
+
+
+def test_planning_does_not_grow_with_units(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = spark.range(4000).selectExpr(
+        "concat('s', id div 20) site_url", "date_format(date_add(date'2024-01-01', cast(id % 20 as int)), 'yyyy-MM-dd') date", "'q' query", "'/p' page",
+        "'M' device", "'x' country", "1L clicks", "2L impressions", "0.5D ctr", "1D position")
+    write_daily(rows, root)
+    store = Store.at(spark, root)
+    assert store.units("daily").count() == 4000
+    folders = {f.split("/date=")[1].split("/")[0] for f in store.daily().inputFiles()}
+    assert len(folders) == 20 and len(store.daily().inputFiles()) < 200
+    plan = _plan(store.daily("s7").where("date = '2024-01-05'"))
+    assert "(date#" in _partition_filters(plan)
+    assert store.daily("s7").where("date = '2024-01-05'").count() == 1
+    assert all("/units/" in f for f in store.units("daily").inputFiles())

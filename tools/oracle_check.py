@@ -13,6 +13,7 @@ import argparse
 import math
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -84,7 +85,7 @@ def main(argv=None):
     from rankspark.registry import load_all
     from rankspark.session import local_session
 
-    spark = local_session(8)
+    spark = local_session(8, checkpoint_dir="file://" + tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     con = duck_conn(args.sf)
     reg = load_all()
     names = args.names or list(reg)

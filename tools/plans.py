@@ -15,6 +15,7 @@ import argparse
 import os
 import re
 import sys
+import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -70,12 +71,12 @@ def main(argv=None):
     from rankspark.registry import load_all
     from rankspark.session import local_session
 
-    spark = local_session(8)
+    spark = local_session(8, checkpoint_dir="file://" + tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     spark.conf.set("spark.sql.maxMetadataStringLength", "4000")  # untruncated Location / ReadSchema
     lines = [
         "# PLANS — physical plan shape of every registered query",
         "",
-        f"Generated by `python tools/plans.py --sf {args.sf}` (initial adaptive plans, fact tables stored).",
+        f"Generated by `python tools/plans.py --sf {args.sf}` (initial adaptive plans, over the lazy fact views).",
         "Scans list the partition filters and the filters pushed into Parquet; `cols` is the read schema.",
         "",
     ]
