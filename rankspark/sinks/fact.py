@@ -31,10 +31,12 @@ def closed_units(store: Store, kind: str) -> DataFrame:
     return (units if kind == "daily" else units.where(F.col("max_hour") == LAST_HOUR)).select(*UNIT)
 
 
-def commit(rows: DataFrame, sizes: DataFrame, root: str, kind: str, compression: str = "snappy") -> int:
+def commit(rows: DataFrame, sizes: DataFrame, root: str, kind: str, compression: str = "snappy",
+           units: DataFrame | None = None) -> int:
     """Write ``rows`` as one batch and publish it; returns the number of units stored.
 
-    ``sizes`` has the rows per day (date, n), one small row a day.
+    ``sizes`` has the rows per day (date, n), one small row a day; ``units``, if they are known already,
+    the rows per unit (site_url, date, n_rows). Otherwise the batch just written is read for them.
     """
     spark, columns = rows.sparkSession, DAILY_COLUMNS if kind == "daily" else HOURLY_COLUMNS
     batch = f"{Store.at(spark, root).next_batch(kind):012d}-{uuid.uuid4().hex[:8]}"
@@ -43,10 +45,13 @@ def commit(rows: DataFrame, sizes: DataFrame, root: str, kind: str, compression:
     files = F.ceil(F.col("n") / ROWS_PER_FILE).cast("long")
     dealt = rows.select(*columns).join(sizes.select("date", files.alias("files")), "date")
     dealt = dealt.repartition(width, "date", F.pmod(F.xxhash64("site_url", "query", "page"), "files"))
-    (dealt.select(*columns).sortWithinPartitions("date", "site_url", "query", "page").write.option("compression", compression).partitionBy("date").parquet(path))
-    schema = rows.select(*columns).schema
-    hour = F.max("hour") if kind == "hourly" else F.lit(None).cast("int")
-    units = spark.read.schema(schema).parquet(path).groupBy(*UNIT).agg(F.count("*").alias("n_rows"), hour.alias("max_hour"))
+    ordered = dealt.select(*columns).sortWithinPartitions("date", "site_url", "query", "page")
+    ordered.write.option("compression", compression).partitionBy("date").parquet(path)
+    if units is None:
+        hour = F.max("hour") if kind == "hourly" else F.lit(None).cast("int")
+        units = spark.read.schema(ordered.schema).parquet(path).groupBy(*UNIT).agg(F.count("*").alias("n_rows"), hour.alias("max_hour"))
+    else:
+        units = units.select(*UNIT, "n_rows", F.lit(None).cast("int").alias("max_hour"))
     units = stored(units.select(*UNIT, F.lit(batch).alias("batch"), "n_rows", "max_hour").select(*MANIFEST.names), "units")
     units.coalesce(1).write.mode("append").parquet(units_path(root, kind))  # one file: published whole or not at all
     return units.count()

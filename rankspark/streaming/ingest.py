@@ -38,7 +38,8 @@ def store_pages(pages: DataFrame, store_root: str, kind: str, page_limit: int =
         return 0
     flat = flatten_daily if kind == "daily" else flatten_hourly
     sizes = stored(chosen.groupBy("date").agg(F.sum("n_rows").alias("n")), f"ingest-days-{kind}")
-    return commit(flat(assemble_pages(pages, page_limit, chosen)), sizes, store_root, kind)
+    rows = flat(assemble_pages(pages, page_limit, chosen))
+    return commit(rows, sizes, store_root, kind, units=chosen if kind == "daily" else None)
 
 
 class _Pending:
