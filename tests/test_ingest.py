@@ -215,7 +215,7 @@ def test_half_written_day_is_repaired(spark, tmp_path, monkeypatch):
     rows = [("s", "2024-01-01", f"q{i}", "/p", "M", "twn", i, 10, 0.1, 1.0) for i in range(50)]
     df, root = spark.createDataFrame(rows, DAILY), str(tmp_path / "store")
     with monkeypatch.context() as m:
-        m.setattr(fact, "stored", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        m.setattr(fact, "units_path", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
         with pytest.raises(RuntimeError):
             fact.write_daily(df.limit(20), root)
     assert os.path.isdir(os.path.join(root, "daily")) and Store.at(spark, root).daily().count() == 0
