@@ -6,6 +6,7 @@ import bz2
 import collections
 import gzip
 import hashlib
+import math
 import random
 import re
 import string
@@ -266,6 +267,49 @@ def test_simhash_documents(spark):
 
 # -- language models ----------------------------------------------------------
 
+def plain_scores(texts, targets, word_share, pair_share):
+    """Losses per token of each text under the target and the corpus model, by dictionaries."""
+    ws = [(t or "").encode().lower().split() for t in texts]
+    total = sum(map(len, ws))
+    n = collections.Counter(w for x in ws for w in x)
+    ws = [[w if n[w] * word_share >= total else None for w in x] for x in ws]
+    size = len({w for w in n if n[w] * word_share >= total}) + 1
+    all_pairs = collections.Counter(p for x in ws for p in zip(x, x[1:]))
+    losses = []
+    for of in (targets, range(len(ws))):
+        one = collections.Counter(w for i in of for w in ws[i])
+        two = collections.Counter(p for i in of for p in zip(ws[i], ws[i][1:]))
+        two = {p: two[p] for p in all_pairs if all_pairs[p] * pair_share >= total}
+        uni = {w: (one[w] + lm.FLOOR) / (sum(one.values()) + lm.FLOOR * size) for x in ws for w in x}
+        told = collections.Counter()
+        for (v, _), c in two.items():
+            told[v] += c
+        p = lambda v, w: (two.get((v, w), 0) + (one[v] - told[v] + lm.PRIOR) * uni[w]) / (one[v] + lm.PRIOR)
+        losses.append([-sum(math.log(uni[w] if i == 0 else p(x[i - 1], w)) for i, w in enumerate(x)) / len(x) if x else None for x in ws])
+    return losses
+
+
+@pytest.mark.parametrize("word_share, pair_share", [(lm.WORD_SHARE, lm.PAIR_SHARE), (60, 150)])
+def test_lm_scores_equal_plain_models(spark, monkeypatch, word_share, pair_share):
+    monkeypatch.setattr(lm, "LOT", 50)
+    monkeypatch.setattr(lm, "HELD_WORDS", 20)
+    r = random.Random(5)
+    texts = [None, "", " \n", "one", "é É 漢"] + [" ".join(r.choices("aAbcdefghij", [9, 9, 5, 5, 3, 2, 2, 1, 1, 1, 1], k=r.randint(1, 60))) for _ in range(40)]
+    texts += texts[10:14] + [prose(3, 3000)]
+    targets = [7, 9, 11, 30]
+    target_loss, corpus_loss = plain_scores(texts, targets, word_share, pair_share)
+    t = spark.createDataFrame([(i,) for i in targets + targets], "doc_id long")
+    got = {x.doc_id: x for x in lm.score(docs_of(spark, texts), t, word_share, pair_share).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        assert got[i].n_tokens == len((text or "").split())
+        if not got[i].n_tokens:
+            assert (got[i].target_loss, got[i].corpus_loss, got[i].score) == (None, None, None)
+            continue
+        assert got[i].target_loss == pytest.approx(target_loss[i]) and got[i].corpus_loss == pytest.approx(corpus_loss[i])
+        assert got[i].score == pytest.approx(target_loss[i] - corpus_loss[i])
+
+
 def test_lm_scores(spark):
     good, bad = ["the cat sat on the mat"] * 6, ["zq xw zq vv"] * 6
     d = docs_of(spark, [None, "", *good, *bad, "the cat sat on a mat"])
@@ -273,14 +317,22 @@ def test_lm_scores(spark):
     got = {r.doc_id: r for r in lm.score(d, t).collect()}
     assert len(got) == 15 and got[0].n_tokens == 0 and got[0].score is None and got[1].score is None
     assert got[5].score < got[14].score < got[10].score and got[2].score == got[7].score
-    for r in got.values():
-        assert r.score is None or r.score == pytest.approx(r.target_loss - r.corpus_loss)
-    total = {r.bucket: r for r in lm.count(d, t).collect()}
-    words = [r for b, r in total.items() if b >= 1 << lm.PAIR_BITS]
+    words = lm.count_words(lm.marked(d, t)).collect()
     assert sum(r.corpus for r in words) == 6 * 6 + 6 * 4 + 6 and sum(r.target for r in words) == 12
+    assert lm.score(d, t.limit(0)).count() == 15
     assert lm.score(d.limit(0), t.limit(0)).count() == 0
 
 
+def test_lm_scores_tell_held_out_documents_apart(spark):
+    """Trained on the good documents with even ids, judged by the labelled ones with odd ids."""
+    read = lambda name: spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{name}.parquet")
+    labels = {r.doc_id: r.quality for r in read("labels").collect()}
+    t = spark.createDataFrame([(i,) for i, q in labels.items() if q == 1 and i % 2 == 0], "doc_id long")
+    rows = [(r.score, labels[r.doc_id]) for r in lm.score(read("documents"), t).collect() if r.score is not None and r.doc_id % 2 and r.doc_id in labels]
+    good, bad = ([s for s, q in rows if q == k] for k in (1, 0))
+    assert sum(g < b for g in good for b in bad) / (len(good) * len(bad)) > 0.9
+
+
 # -- decontamination ----------------------------------------------------------
 
 def test_decontamination(spark):
