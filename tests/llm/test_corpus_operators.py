@@ -14,6 +14,7 @@ import zlib
 
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from rankspark.llm import bpe, decontam, html, lines, lm, quality, queries, secrets, simhash, suffix, urls
@@ -364,6 +365,15 @@ def test_decontamination(spark):
 
 # -- secrets ------------------------------------------------------------------
 
+def test_secret_scan_of_deeply_mixed_escapes_and_bombs():
+    """Two kinds of escape, 15 deep each, have 155 million orders of undoing; a bomb stays packed."""
+    text = "secret%" + "25" * 15 + "3Dabcdefgh1 \\u005c" + "u005c" * 15 + "u0041"
+    base, found = secrets.find(text)
+    assert base == [] and found == [("assign", 0, text.index(" "))]
+    assert secrets._unfold(zstandard.ZstdCompressor().compress(bytes(secrets.MAX_UNFOLDED + 1))) is None
+    assert secrets._unfold(zstandard.ZstdCompressor().compress(b"token: abcdefgh1")) == b"token: abcdefgh1"
+
+
 def test_secret_scan(spark):
     plain = "password=hunter22"
     b64 = lambda x: base64.b64encode(x).decode()
