@@ -101,8 +101,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     laid = stored(laid.withColumnsRenamed({"doc": "of_doc", "version": "of_version"}), "decontam-windows")
     on = F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("version") == F.col("of_version"))
     w = d.join(laid, on).select("doc", "version", _hashes(_words(F.col("t"))).alias("ws"), "laid").dropDuplicates(["doc", "version"])
-    w = w.select("doc", "version", "ws", F.inline("laid"))
-    w = w.select("doc", "version", "m", "start", F.slice("ws", F.col("start") + 1, F.col("m")).alias("own"), "k")
+    cut = lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), x["start"].alias("start"), F.slice("ws", x["start"] + 1, x["m"]).alias("own"))
+    w = w.select("doc", "version", F.inline(F.transform("laid", cut)))  # the whole text stays out of the windows' rows
     w = w.select("doc", "version", "m", "start", F.size("own").alias("n_words"), _shingles(F.col("own"), F.col("k")).alias("h"))
     w = stored(w.where(F.size("h") > 0).select("*", _simhash(F.col("h")).alias("fp")), "decontam-prints")
 
