@@ -1,8 +1,9 @@
 """Benchmark decontamination: item-sized windows by SimHash, verified by weighted shingles.
 
 Words are runs of letters and digits in lower case; shingles take five of them (an item with fewer
-words is one shingle of all its words). A window that resembles an item shares a shingle with it, so
-windows as long as the item are laid where one of its shingles occurs, in line with the item. They are
+words is one shingle of all its words). A window that reaches the similarity shares a certain number of
+shingles with its item, in whatever order, so windows as long as the item are laid at every place where
+that many of their shingles occur in items of this length: no other window can match. They are
 fingerprinted, and the fingerprints looked up in a multi-index: eight blocks of eight bits, the items'
 side holding every value within ``RADIUS // 8`` bits of its block. Two fingerprints within RADIUS bits
 must agree that closely in one block, so none is missed. Candidates are verified by the exact weighted
@@ -70,21 +71,43 @@ def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return i.select("*", _simhash(F.col("h")).alias("fp"))
 
 
-def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc, version, m, k, start): windows of ``docs`` (doc, version, t) laid in line with shingles of items."""
-    places = items.select("m", "k", F.posexplode("h").alias("q", "h"))
-    places = stored(places.groupBy("h", "m", "k").agg(F.collect_set("q").alias("qs")), "decontam-shingles")
+def _ranges(ps: Column, similarity: float) -> Column:
+    """Ranges (m, k, first, last) of the starts of windows that hold enough of the places ``ps`` (sorted, distinct)
+    of shingles of items with ``m`` words; no start is in two of them.
+
+    Equal places count once and each for any item, so this is never less than what the window shares with one item.
+    """
+    width = F.least("n", "m")
+    own, of_item = width - F.col("k") + 1, F.col("m") - F.col("k") + 1
+    need = F.greatest(F.ceil(F.lit(similarity / (1 + similarity)) * (own + of_item) - 1e-6).cast("int"), F.lit(1))
+
+    def laid(ps: Column, need: Column) -> Column:
+        def of(i: Column) -> Column:  # the windows whose first place is the i-th, and that hold need - 1 more
+            after = F.coalesce(F.get(ps, i - 1) + 1, F.lit(0))
+            first = F.greatest(F.get(ps, i + need - 1) - own + 1, after)
+            last = F.least(F.get(ps, i), F.col("n") - width)
+            return F.struct(F.col("m").alias("m"), F.col("k").alias("k"), first.alias("first"), last.alias("last"))
+
+        firsts = F.when(F.size(ps) >= need, F.sequence(F.lit(0), F.size(ps) - need)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(firsts, of), lambda r: r["first"] <= r["last"])
+
+    return let(ps, lambda ps: let(need, lambda need: laid(ps, need)))
+
+
+def windows(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
+    """(doc, version, laid): ranges of the windows of ``docs`` (doc, version, t) that can reach the similarity to an item."""
+    places = items.select("m", "k", F.explode("h").alias("h")).distinct()
+    places = stored(places, "decontam-shingles")
     if places.count() <= BROADCAST_SHINGLES:
         places = F.broadcast(places)
     laid = None
     for (k,) in items.select("k").distinct().collect():  # at most SHINGLE values
         d = docs.select("doc", "version", _hashes(_words(F.col("t"))).alias("ws"))
         d = d.select("doc", "version", F.size("ws").alias("n"), F.posexplode(_shingles(F.col("ws"), F.lit(k))).alias("p", "h"))
-        d = d.join(places.where(F.col("k") == k), "h").select("doc", "version", "n", "p", "m", "k", F.explode("qs").alias("q"))
-        start = F.greatest(F.least(F.col("p") - F.col("q"), F.col("n") - F.col("m")), F.lit(0))
-        d = d.select("doc", "version", "m", "k", start.alias("start"))
+        d = d.join(places.where(F.col("k") == k), "h").groupBy("doc", "version", "n", "m", "k").agg(F.collect_set("p").alias("ps"))
+        d = d.select("doc", "version", _ranges(F.sort_array("ps"), similarity).alias("laid")).where(F.size("laid") > 0)
         laid = d if laid is None else laid.unionByName(d)
-    return None if laid is None else laid.distinct()
+    return None if laid is None else laid.groupBy("doc", "version").agg(F.flatten(F.collect_list("laid")).alias("laid"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -93,16 +116,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     that it holds; version is the hash of the text."""
     d = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("version"), F.col(text).alias("t"))
     items = stored(items_of(benchmark, item_id, item_text), "decontam-items")
-    laid = windows(d, items)
+    laid = windows(d, items, similarity)
     if laid is None:
         of = lambda df, c: df.schema[c].dataType.simpleString()
         return docs.sparkSession.createDataFrame([], f"doc {of(d, 'doc')}, version long, item_id {of(items, 'item_id')}, start int, n_words int, similarity double")
-    laid = laid.groupBy("doc", "version").agg(F.collect_list(F.struct("m", "k", "start")).alias("laid"))
     laid = stored(laid.withColumnsRenamed({"doc": "of_doc", "version": "of_version"}), "decontam-windows")
     on = F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("version") == F.col("of_version"))
     w = d.join(laid, on).select("doc", "version", _hashes(_words(F.col("t"))).alias("ws"), "laid").dropDuplicates(["doc", "version"])
-    cut = lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), x["start"].alias("start"), F.slice("ws", x["start"] + 1, x["m"]).alias("own"))
+    cut = lambda x: F.struct(*(x[c].alias(c) for c in ("m", "k", "first", "last")),
+                             F.slice("ws", x["first"] + 1, x["last"] - x["first"] + x["m"]).alias("ws"))
     w = w.select("doc", "version", F.inline(F.transform("laid", cut)))  # the whole text stays out of the windows' rows
+    w = w.select("doc", "version", "m", "k", "first", "ws", F.explode(F.sequence("first", "last")).alias("start"))
+    w = w.select("doc", "version", "m", "k", "start", F.slice("ws", F.col("start") - F.col("first") + 1, F.col("m")).alias("own"))
     w = w.select("doc", "version", "m", "start", F.size("own").alias("n_words"), _shingles(F.col("own"), F.col("k")).alias("h"))
     w = stored(w.where(F.size("h") > 0).select("*", _simhash(F.col("h")).alias("fp")), "decontam-prints")
 

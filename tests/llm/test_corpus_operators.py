@@ -363,6 +363,33 @@ def test_decontamination(spark):
     assert decontam.clean(d, b.limit(0)).count() == len(texts) and decontam.clean(d.limit(0), b).count() == 0
 
 
+def test_decontamination_finds_items_in_another_order(spark):
+    """Rotated items, swapped halves and cut-off ones against every window of the text."""
+    items = [prose(150 + k, n) for k, n in enumerate((59, 59, 45, 40, 59, 12))]
+    texts = []
+    for k, x in enumerate(items):
+        a = x.split()
+        for at in (len(a) * 3 // 4, len(a) // 2, 3):
+            texts.append(" ".join([prose(160 + k, 30), *a[at:], *a[:at], prose(170 + k, 30)]))
+            texts.append(" ".join([*a[at:], *a[:at]]))
+        texts.append(" ".join(a[2:] + a[:1]))
+    texts += [texts[0] + " " + texts[7], " ".join(items[0].split()[:57] + ["x"] + items[1].split()), None, ""]
+    shingles = lambda w, k: collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    want = {}
+    for i, t in enumerate(texts):
+        for j, x in enumerate(items):
+            a, b = (t or "").split(), x.split()
+            for s in range(max(1, len(a) - len(b) + 1)):
+                p, q = shingles(a[s : s + len(b)], 5), shingles(b, 5)
+                v = sum((p & q).values()) / sum((p | q).values())
+                if v >= 0.8 and v > want.get((i, j), (0,))[0]:
+                    want[i, j] = (v, s)
+    got = decontam.contaminated(docs_of(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {(r.doc, r.item_id): (r.similarity, r.start) for r in got.collect()}
+    assert {(0, 0), (7, 1)} <= set(want) and got.keys() == want.keys()
+    assert all(got[x] == (pytest.approx(want[x][0]), want[x][1]) for x in want)
+
+
 # -- secrets ------------------------------------------------------------------
 
 def test_secret_scan_of_deeply_mixed_escapes_and_bombs():
