@@ -5,7 +5,9 @@ subdomains when the path starts with its path, and the longest fitting rule wins
 list given as a parameter. For the other pages two personalised PageRanks run over the host graph:
 trust flows along links from hosts with allowed pages, distrust flows against links from hosts with
 blocked pages (a host that links to blocked hosts inherits their distrust). Seeds are the shares of
-a host's own pages that rules allow or block. A host is blocked where distrust exceeds trust.
+a host's own pages that rules allow or block. Both run until no score changes by more than its
+``SETTLED``-th part, however far the graph reaches. A host is blocked where distrust exceeds trust by
+more than its ``TOLERANCE``-th part: scores shrink with the degrees on their way, so only their ratio counts.
 
 Cases: a null url or one without ``://`` has an empty host and path; relative links, links to the
 own host and links in null html add no edges; repeated pages count as often as they occur; ties
@@ -29,9 +31,9 @@ RULES = [  # fixed values: rule, verdict
     ("com/de/", "block"),
 ]
 DAMPING = 0.85
-ITERATIONS = 20
 SETTLED = 1e-9
-DECIMALS = 6  # scores are compared after rounding, so summation order cannot decide
+TOLERANCE = 1e-9  # so that summation order cannot decide
+ITERATIONS, DECIMALS = 20, 6  # of the SQL twin only, which cannot loop: enough for the given pages, which have no host links
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
 
 
@@ -77,27 +79,28 @@ def _flows(edges: DataFrame) -> DataFrame:
     return both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS,
-              settled: float = SETTLED) -> DataFrame:
-    """Personalised PageRank: ``seeds`` (kind, host, seed) to (kind, host, score), stopped once it has settled."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
+    """Personalised PageRank: ``seeds`` (kind, host, seed) to (kind, host, score), run until it has settled.
+
+    Scores only grow from round to round. Where each grows by at most a share of itself, all later rounds
+    do so too, and shrink by ``damping``: no score that is still to come is missed, not even a tiny one.
+    """
     flows = stored(_flows(edges), "url-flows")
     start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
     state = stored(start, "url-rank")
-    for _ in range(iterations):
+    none = F.lit(0.0)
+    while True:
         moved = (
             state.join(flows, (state["kind"] == flows["kind"]) & (state["host"] == flows["src"]))
-            .select(state["kind"], F.col("dst").alias("host"), (damping * F.col("score") * F.col("w")).alias("score"))
-        )
-        new = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        new = stored(new, "url-rank")
-        change = (
-            new.unionByName(state.withColumn("score", -F.col("score")))
-            .groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("by")).agg(F.max("by")).first()[0]
+            .select(state["kind"], F.col("dst").alias("host"), (damping * F.col("score") * F.col("w")).alias("score"), none.alias("was"))
         )
-        state = new
-        if change is None or change < settled:
-            break
-    return state
+        kept = state.select("kind", "host", none.alias("score"), F.col("score").alias("was"))
+        new = moved.unionByName(start.withColumn("was", none)).unionByName(kept)
+        new = stored(new.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")), "url-rank")
+        moving = new.where(F.abs(F.col("score") - F.col("was")) > settled * F.col("score"))
+        state = new.drop("was")
+        if moving.isEmpty():
+            return state
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, page_id: str = "page_id", url: str = "url",
@@ -109,10 +112,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, page_id: str =
     hosts = stored(p.where(F.col("host") != "").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "url-hosts")
     seeds = hosts.unpivot(["host"], ["trust", "distrust"], "kind", "seed").where(F.col("seed") > 0)
     scores = propagate(host_edges(pages, url, html), seeds).groupBy("host").agg(
-        *(F.coalesce(F.round(F.sum(F.when(F.col("kind") == k, F.col("score"))), DECIMALS), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
+        *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
     scores = stored(scores, "url-scores").withColumnRenamed("host", "of_host")
     none = F.lit(0.0)
-    verdict = F.when(F.coalesce(F.col("distrust"), none) > F.coalesce(F.col("trust"), none), "block").otherwise("allow")
+    verdict = F.when(F.coalesce(F.col("distrust"), none) > F.coalesce(F.col("trust"), none) * (1 + TOLERANCE), "block").otherwise("allow")
     return p.join(scores, F.col("host") == F.col("of_host"), "left").select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), verdict).alias("verdict"),
         F.coalesce("trust", none).alias("trust"), F.coalesce("distrust", none).alias("distrust"))

@@ -122,6 +122,22 @@ def test_distrust_flows_against_links_and_trust_along(spark):
         assert r.distrust == pytest.approx(score.get(r.host, 0), abs=1e-6)
 
 
+def test_small_and_far_distrust_counts(spark):
+    """Two hops against links at 500 each leave less than 5e-7; the end of a chain is 30 links from its blocked host."""
+    link = lambda h: f'<a href="https://{h}/en/">y</a>'
+    pages = [("bad.com/de/1", ""), ("end.com/de/1", "")]
+    pages += [(f"near{i}.net/en/", link("bad.com")) for i in range(500)] + [(f"far{i}.net/en/", link("near0.net")) for i in range(500)]
+    pages += [(f"chain{i}.net/en/", link("end.com" if i == 0 else f"chain{i - 1}.net")) for i in range(30)]
+    pages += [("good.com/fr/1", link("free.net")), ("free.net/en/", link("good.com"))]  # a cycle: settles by damping only
+    rows = [(i, f"https://{u}", h) for i, (u, h) in enumerate(pages)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = {r.host: r for r in got}
+    assert {h for h, r in got.items() if r.verdict == "allow"} == {"good.com", "free.net"}
+    assert got["far7.net"].distrust == pytest.approx(0.15 * 0.85**2 / 500**2)
+    assert got["chain29.net"].distrust == pytest.approx(0.15 * 0.85**30)
+    assert got["good.com"].trust == pytest.approx(0.15 / (1 - 0.85**2)) and got["free.net"].trust == pytest.approx(0.85 * 0.15 / (1 - 0.85**2))
+
+
 # -- BPE ----------------------------------------------------------------------
 
 def test_bpe_equals_the_library(spark):
