@@ -37,12 +37,19 @@ def _as_frame(perf: DataFrame, keywords) -> DataFrame:
 
 # -- analyses ------------------------------------------------------------------
 
-def keyword_coverage(perf: DataFrame, keywords: Iterable[str],
+def keyword_coverage(perf: DataFrame, keywords: Iterable[str] | DataFrame,
                      exclude: Iterable[str] = ("%#%", "%tag%")) -> DataFrame:
     """KWD-1: for the given keywords, each ranking page outside the excluded
-    patterns, with clicks, impressions, mean CTR and mean position."""
-    rows = P.filter_in(perf, "query", keywords).where(P.not_like("page", *exclude))
-    return rows.groupBy("query", "page").agg(
+    patterns, with clicks, impressions, mean CTR and mean position.
+
+    Keywords in a frame (a keyword file) stay in Spark: the fact is semi-joined with
+    the distinct ones. NULLs match nothing, and an empty frame gives no rows.
+    """
+    if isinstance(keywords, DataFrame):
+        rows = perf.join(_as_frame(perf, keywords).distinct(), "query", "left_semi").select(*perf.columns)
+    else:
+        rows = P.filter_in(perf, "query", keywords)
+    return rows.where(P.not_like("page", *exclude)).groupBy("query", "page").agg(
         X.total("clicks", "total_clicks"),
         X.total("impressions", "total_impressions"),
         X.mean("ctr", "average_ctr"),

@@ -81,6 +81,13 @@ def test_keyword_coverage_excludes(perf):
     assert sorted((r.query, r.page, r.total_clicks) for r in out) == [("a", "/p1", 15), ("a", "/p3", 100), ("b", "/p1", 7)]
 
 
+def test_keyword_coverage_takes_a_frame(spark, perf):
+    listed = spark.createDataFrame([("a",), ("b",), ("a",), (None,), ("zz",)], "keyword string")
+    out = K.keyword_coverage(perf, listed, exclude=("%2%",))
+    assert sorted(out.collect()) == sorted(K.keyword_coverage(perf, ["a", "b"], exclude=("%2%",)).collect())
+    assert K.keyword_coverage(perf, listed.limit(0)).count() == 0
+
+
 def test_traffic_loss_matches_join_semantics(spark):
     rows = daily_rows([
         ("2025-03-05", "q1", "/a", 10, 10, 1.0),
