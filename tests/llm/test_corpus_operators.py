@@ -6,6 +6,7 @@ import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import math
 import random
 import re
@@ -441,6 +442,31 @@ def test_secret_scan(spark):
     assert secrets.scan_documents(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_secret_scan_of_wrapped_and_embedded_base64(monkeypatch):
+    plain = "password=hunter22hunter22"
+    b64 = lambda x: base64.b64encode(x).decode()
+    spans = lambda t: {(k, t[a:b]) for k, a, b in secrets.find(t)[1]}
+    mime = base64.encodebytes(b"x" * 44 + plain.encode() + b" " * 60).decode()
+    assert any(k == "assign" and "\n" in s for k, s in spans("see\n" + mime))
+    crlf = mime.replace("\n", "\r\n ")
+    assert any(k == "assign" and "\r\n" in s for k, s in spans("see:\r\n " + crlf))
+    r = random.Random(3)
+    noise = " ".join(str(r.random()) for _ in range(20))
+    assert any(k == "assign" for k, _ in spans(base64.encodebytes(gzip.compress(f"{noise} {plain}".encode())).decode()))
+    for before in ("https://h.example/d/", "key_", "k_", "a-b", "é/"):
+        t = f"{before}{b64(plain.encode())} end"
+        assert [k for k, _, _ in secrets.find(t)[1]] == ["assign"], before
+        a, b = secrets.find(t)[1][0][1:]
+        assert len(before) <= a < b <= len(t) - 4
+    assert spans("x/" + b64(gzip.compress(plain.encode())))
+    assert spans(b64(b"ustar\0\0\xff" + plain.encode() + b"\0\0")) and spans(b64(gzip.compress(bytes(64) + plain.encode() + bytes(64))))
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstandard.ZstdCompressor().compress):
+        assert spans(b64(pack(b"first") + pack(plain.encode()))), pack
+    monkeypatch.setattr(secrets, "MAX_UNFOLDED", 3 << 20)
+    for at in (0, (3 << 20) - 9, 7 << 20):
+        assert spans(b64(gzip.compress(bytes(at) + plain.encode() + bytes(1 << 20)))), at
+
+
 # -- suffix arrays ------------------------------------------------------------
 
 def plain_cut(texts, length):
