@@ -32,10 +32,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of every document's token ids and of the bytes they decode to."""
+    """Every document's token ids, their number, and digests of them and of the bytes they decode to."""
     import public_tokenizers
 
-    return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [

@@ -153,21 +153,25 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     return rows.mapInPandas(run, f"k {kind}, ids array<int>, decoded binary").withColumnRenamed("k", key)
 
 
-def digests(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, n_tokens and digests of the ids and of the decoded bytes; the ids stay in the task."""
+def digests(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text",
+            with_ids: bool = False) -> DataFrame:
+    """``key``, n_tokens and digests of the ids and of the decoded bytes; the ``ids`` too or they stay in the task."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(ranks, pattern)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for b in batches:
-            n, ids_sha, decoded_sha = [], [], []
+            n, ids_sha, decoded_sha, kept = [], [], [], []
             for t in b["t"]:
                 ids = c.encode(t or "")
                 n.append(len(ids))
+                if with_ids:
+                    kept.append(ids)
                 ids_sha.append(sha(" ".join(map(c.text.__getitem__, ids)).encode()))
                 decoded_sha.append(sha(c.decode(ids)))
-            yield pd.DataFrame({"k": b["k"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha})
+            yield pd.DataFrame({"k": b["k"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha} | ({"ids": kept} if with_ids else {}))
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInPandas(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)
+    schema = f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return rows.mapInPandas(run, schema).withColumnRenamed("k", key)

@@ -547,3 +547,17 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in out} == ids and len(out) == len(ids) < before.count()
     good = {r.doc_id for r in quality.judge(before).where("kept").select("row.doc_id").collect()}
     assert ids <= good
+
+
+def test_pipeline_keeps_the_token_ids(spark):
+    import corpus_pipeline as p
+    import public_tokenizers as P
+
+    texts = edge_texts()
+    c = bpe.codec(P.path(queries.RANKS), P.PATTERN)
+    out = p.STAGES[-1][1](spark, docs_of(spark, texts), SF).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        assert r.ids == c.encode(texts[r.doc_id] or "") and r.n_tokens == len(r.ids)
+        assert c.decode(r.ids) == (texts[r.doc_id] or "").encode()
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest()
