@@ -99,3 +99,22 @@ SELECT raw.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(cnt.c, 0)::
        CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept.t, '')) END AS kept_sha256
 FROM raw LEFT JOIN kept ON kept.doc_id = raw.doc_id LEFT JOIN cnt ON cnt.doc_id = raw.doc_id
 """
+
+
+def ranked_search() -> str:
+    terms = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {terms} AS ts FROM documents),
+q AS (SELECT row_number() OVER () AS qn, item_id, {terms} AS ts FROM benchmark),
+t AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+qt AS (SELECT qn, term, count(*) AS c FROM (SELECT qn, unnest(ts) AS term FROM q) GROUP BY ALL),
+p AS (SELECT rn, n, term, count(*) AS tf FROM (SELECT rn, len(ts) AS n, unnest(ts) AS term FROM d)
+      WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, t GROUP BY term),
+s AS (SELECT qn, rn, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM p JOIN qt USING (term) JOIN w USING (term), t GROUP BY qn, rn),
+r AS (SELECT qn, doc_id, score, row_number() OVER (PARTITION BY qn ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM s JOIN d USING (rn) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r JOIN q USING (qn) WHERE rank <= 20
+"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.llm import bpe, decontam, html, lines, lm, oracles, quality, secrets, simhash, suffix, urls
-from rankspark.llm.common import table
+from rankspark.llm import bpe, decontam, html, langid, lines, lm, oracles, quality, runs, search, secrets, simhash, suffix, urls
+from rankspark.llm.common import let, table, words
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -60,14 +60,54 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(table(spark, sf_dir, "documents"))
 
 
+def _periodic(docs: DataFrame) -> DataFrame:
+    """Texts of the ids whose hash ends in 0 repeat a stretch of their words from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(ws):
+        n = F.size(ws)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        return F.array_join(F.transform(ws, lambda w, i: F.when(i < a, w).otherwise(F.get(ws, (a + (i - a) % p).cast("int")))), " ")
+
+    text = F.when((h % 10 == 0) & (F.size(words(F.col("text"))) > 0), let(words(F.col("text")), repeated)).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(_periodic(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.s")).alias("start"), F.col("top.n").alias("length"),
+        (-F.col("top.p")).alias("period"), F.floor(1000 * F.col("top.n") / -F.col("top.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = langid.fit(docs.where(~held_out & F.col("lang").isNotNull()))
+    said = langid.predict(spark, docs, model)
+    return said.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_quality_rules, op2_url_filters, op3_bpe, op4_line_dedup, op5_html_extraction, op6_simhash,
-              op7_lm_scoring, op8_decontamination, op9_secret_scan, op10_suffix_dedup)
+              op7_lm_scoring, op8_decontamination, op9_secret_scan, op10_suffix_dedup, op11_periodic_runs, op12_language_id, op13_ranked_search)
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": oracles.quality_rules(),
     "op2_url_filters": oracles.url_filters(),
     "op4_line_dedup": oracles.line_dedup(),
+    "op13_ranked_search": oracles.ranked_search(),
 }
