@@ -69,8 +69,13 @@ def terms_of(text: str) -> list[bytes]:
 
 def statistics(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """N, the documents with a term, and L, all their terms."""
-    got = docs.select(F.regexp_count(text, F.lit(TERM)).cast("long").alias("n")).where("n > 0").agg(F.count("*"), F.sum("n")).first()
-    return got[0], got[1] or 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = [len(terms_of(t.as_py())) for t in b.column(0)]
+            yield pa.RecordBatch.from_pydict({"n": [sum(map(bool, sizes))], "l": [sum(sizes)]})
+
+    got = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "n long, l long").agg(F.sum("n"), F.sum("l")).first()
+    return got[0] or 0, got[1] or 0
 
 
 def mass(n, total: tuple[int, int]):
