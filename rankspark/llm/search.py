@@ -44,6 +44,7 @@ BLOCK = 128  # postings of a block
 WINDOW = 4096  # documents scored at a time
 FILTER = 1 << 20  # bits of the term filter
 LOT = 1 << 16  # terms of the items that are sent out at once
+TASKS = 20_000  # of the search stage, at most; a task takes one shard after the other
 
 INDEX = "shard string, term string, df long, top long, lasts binary, tops binary, cuts binary, data binary"
 
@@ -315,6 +316,8 @@ def search(index: DataFrame, total: tuple[int, int], items: DataFrame, k: int =
     kind = index.schema["keys"].dataType.elementType.simpleString()
     numbered = stored(items.select(
         F.monotonically_increasing_id().alias("number"), F.col(item).alias("item"), _terms(F.col(text)).alias("terms")), "search-items")
+    heads = index.where("term IS NULL")
+    tasks = max(1, min(heads.count(), TASKS))  # said in so many words, as small inputs with much work would be put together
     hits = None
     for lot in _lots(numbered.select("number", "terms")):
         names = spark.createDataFrame(pa.table({"term": pa.array(sorted({t for _, r in lot for t in r}), pa.string())}))
@@ -322,7 +325,7 @@ def search(index: DataFrame, total: tuple[int, int], items: DataFrame, k: int =
         dfs = dict(lists.groupBy("term").agg(F.sum("df")).collect())
         terms = {t: weight(total[0], df) for t, df in dfs.items()}
         queries = [(n, [(t, c * terms[t]) for t, c in r.items() if t in terms]) for n, r in lot]
-        found = _search_lot(lists.unionByName(index.where("term IS NULL")), total, [q for q in queries if q[1]], k, kind)
+        found = _search_lot(lists.unionByName(heads).repartition(tasks, "shard"), total, [q for q in queries if q[1]], k, kind)
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         hits = spark.createDataFrame([], f"number long, doc {kind}, score long")
