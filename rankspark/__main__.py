@@ -5,6 +5,9 @@
     python -m rankspark sql     --store ROOT --site S "SELECT * FROM {site} WHERE clicks > 100"
     python -m rankspark plan    --store ROOT --kind daily site=S [site=...] [--as-of D]
     python -m rankspark ingest  --store ROOT --landing DIR --kind daily|hourly [--checkpoint DIR]
+    python -m rankspark fetches --store ROOT --kind daily|hourly [open|dropped]
+    python -m rankspark compact --store ROOT --kind daily|hourly
+    python -m rankspark vacuum  --store ROOT --kind daily|hourly [hours=24]
 
 Results print as a table (``--rows`` rows) or are written with ``--out PATH``
 (format by extension: .csv, .json, else Parquet) by the executors. The
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rankspark.api import Reports
 from rankspark.plans.ingest import plan_daily, plan_hourly
 from rankspark.session import configure
+from rankspark.sinks.fact import compact, vacuum
 from rankspark.sources.store import Store
 
 
@@ -52,7 +56,7 @@ def _emit(df: DataFrame, args) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="rankspark")
-    ap.add_argument("command", choices=["sites", "report", "sql", "plan", "ingest"])
+    ap.add_argument("command", choices=["sites", "report", "sql", "plan", "ingest", "fetches", "compact", "vacuum"])
     ap.add_argument("args", nargs="*")
     ap.add_argument("--store", required=True)
     ap.add_argument("--as-of", default=None)
@@ -90,6 +94,15 @@ def main(argv: list[str] | None = None) -> int:
         if q.exception() is not None:
             print(q.exception(), file=sys.stderr)
             return 1
+    elif args.command == "fetches":
+        from rankspark.streaming.ingest import dropped_fetches, open_fetches
+
+        fetches = dropped_fetches if args.args == ["dropped"] else open_fetches
+        _emit(fetches(spark, args.store, args.kind), args)
+    elif args.command == "compact":
+        print(compact(spark, args.store, args.kind), "files rewritten")
+    elif args.command == "vacuum":
+        print(vacuum(spark, args.store, args.kind, float(_params(args.args).get("hours", 24))), "deleted")
     return 0
 
 

@@ -15,7 +15,9 @@ from rankspark.registry import register
 from rankspark.schema import DAILY, DAILY_COLUMNS, HOURLY_COLUMNS, PAGE_ROW_LIMIT, RAW_PAGE
 from rankspark.session import scratch_path
 from rankspark.sinks.export import archive, display, export_csv
+from rankspark.sinks.fact import compact, publish, write_batch, write_hourly
 from rankspark.sources.landing import to_response_pages
+from rankspark.sources.log import CommitLog
 from rankspark.sources.store import Store
 from rankspark.streaming.ingest import stream_daily, stream_hourly
 
@@ -90,6 +92,41 @@ def q_ingest_hourly_replaced(spark, sf_dir):
     return out
 
 
+def _days(rows):
+    return rows.groupBy("date").agg(F.count("*").alias("n"))
+
+
+@register("ingest_two_writers", "SNK-1", f"""
+SELECT {', '.join(DAILY_COLUMNS)} FROM (SELECT * REPLACE (CASE WHEN site_url = {sql_str(SITE)} THEN clicks + 1 ELSE clicks END AS clicks) FROM daily) t
+""", writes=True)
+def q_ingest_two_writers(spark, sf_dir):
+    """Two writers plan and write from the same (empty) state; one has all sites but one, the other all, with other
+    clicks. The first to commit wins its units, the second keeps the site that is left."""
+    log = CommitLog(spark, scratch_path(spark, "two-writers"), "daily")
+    facts = Store.fixtures(spark, sf_dir).daily()
+    most, all_sites = facts.where(F.col("site_url") != SITE), facts.withColumn("clicks", F.col("clicks") + 1)
+    written = [write_batch(log, rows, _days(rows)) for rows in (most, all_sites)]
+    for parts in written:
+        publish(log, parts)
+    return Store.at(spark, log.base.rsplit("/", 1)[0]).daily()
+
+
+@register("ingest_compacted", "SNK-2", """
+SELECT site_url, date, hour, query, page, device, country, CASE WHEN date LIKE '%0' THEN clicks + 100 ELSE clicks END AS clicks, impressions, ctr, position
+FROM hourly WHERE hour <= 12 OR date LIKE '%0'
+""", writes=True)
+def q_ingest_compacted(spark, sf_dir):
+    """Days stored up to noon in three batches, some then replaced by whole ones; small files and replaced hours are merged."""
+    root = scratch_path(spark, "compacted")
+    facts = Store.fixtures(spark, sf_dir).hourly()
+    for k in range(3):
+        write_hourly(facts.where((F.col("hour") <= 12) & (F.crc32("date") % 3 == k)), root)
+    compact(spark, root, "hourly")
+    write_hourly(facts.where(F.col("date").like("%0")).withColumn("clicks", F.col("clicks") + 100), root)
+    compact(spark, root, "hourly")
+    return Store.at(spark, root).hourly()
+
+
 @register("display_table", "PRJ-9", f"""
 SELECT query, CASE WHEN n IS NULL THEN '-' ELSE format('{{:,}}', n) END AS n,
        CASE WHEN share IS NULL OR isnan(share) THEN '-' ELSE printf('%.2f', round(share, 2)) END AS share

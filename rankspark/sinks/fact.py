@@ -1,28 +1,33 @@
-"""Fact-table writers (SNK-1, SNK-2).
-
-A write is a *batch*: its rows go to ``<root>/<kind>/batch=<id>/date=<day>/``, a day in as many files as
-it has ROWS_PER_FILE rows (dealt by a hash of the row's dimensions, so a large day or site is split over
-tasks), sorted by site inside. Only then is one small manifest file appended to ``<root>/units/<kind>`` with a
-row per unit: (site_url, date, batch, n_rows, max_hour). Readers see the batches that a manifest file
-names, so a job lost half-way leaves rows that nobody reads, and running it again stores the unit whole.
-
-A daily unit is stored once and never replaced. An hourly unit is replaced by newer batches until its
-rows reach hour 23, then frozen; of several batches that hold a unit the newest counts.
+"""Fact-table writers (SNK-1, SNK-2), compaction and clean-up.
+
+A write is a *batch* of files. Rows are dealt to files by their place in the order of dates: a file has
+about ROWS_PER_FILE rows, holds a range of dates (many thin days, or a hash share of one large day) and is sorted by
+site, date, query and page, with Bloom filters on query and page. Then the batch is committed to the
+table's log (``sources.log``): a job lost half-way leaves files that nobody reads, and running it again stores the
+unit whole.
+
+A daily unit is stored once and never replaced. An hourly unit is replaced by newer commits until its rows
+reach hour 23, then frozen. Both rules are applied when the commit is put, against the version it follows:
+if another writer was first, the units are looked at again, so two writers that planned from the same state
+never store a unit twice, whichever is first.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankspark.schema import DAILY_COLUMNS, HOURLY_COLUMNS, LAST_HOUR
+from rankspark.schema import DAILY, DAILY_COLUMNS, HOURLY, HOURLY_COLUMNS, LAST_HOUR
 from rankspark.session import stored
-from rankspark.sources.store import MANIFEST, Store, batch_path, units_path
+from rankspark.sources.log import OF_BATCH, UNIT, CommitLog, Snapshot
+from rankspark.sources.store import Store, facts_of
 
-UNIT = ["site_url", "date"]
 ROWS_PER_FILE = 4_000_000  # some 128-512 MB
+CHECKPOINT_EVERY = 16  # versions that a reader may have to put together
+BLOOM = {f"parquet.bloom.filter.{k}#{c}": "true" for c in ("query", "page") for k in ("enabled", "adaptive.enabled")}
 
 
 def closed_units(store: Store, kind: str) -> DataFrame:
@@ -31,44 +36,147 @@ def closed_units(store: Store, kind: str) -> DataFrame:
     return (units if kind == "daily" else units.where(F.col("max_hour") == LAST_HOUR)).select(*UNIT)
 
 
-def commit(rows: DataFrame, sizes: DataFrame, root: str, kind: str, compression: str = "snappy",
-           units: DataFrame | None = None) -> int:
+def write_batch(log: CommitLog, rows: DataFrame, sizes: DataFrame, compression: str = "snappy", rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Write one batch that no reader sees yet; its parts, (site_url, date, batch, file, n_rows, max_hour), as a stored table.
+
+    ``sizes`` has the rows per day (date, n), one small row a day; only it is put in order of dates in one task.
+    """
+    schema = DAILY if log.kind == "daily" else HOURLY
+    dims = [F.col(c) for c in ("site_url", "query", "page", "device", "country")]
+    before = F.coalesce(F.sum("n").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = stored(sizes.select("date", "n", before.alias("before")), "day-sizes")
+    total = days.agg(F.sum("n")).first()[0] or 0
+    n_files = max(1, -(-total // rows_per_file))
+    place = F.col("before") + F.pmod(F.xxhash64(*dims), F.col("n"))
+    dealt = rows.join(days, "date").withColumn("_file", F.floor(place / rows_per_file).cast("int"))
+    dealt = dealt.repartitionById(n_files, "_file").select(*schema.fieldNames())
+    batch = uuid.uuid4().hex
+    ordered = dealt.sortWithinPartitions("site_url", "date", "query", "page")
+    ordered.write.options(**BLOOM).option("compression", compression).parquet(log.data(batch))
+    hour = F.max("hour") if log.kind == "hourly" else F.lit(None).cast("int")
+    back = rows.sparkSession.read.schema(schema).parquet(log.data(batch))
+    return stored(back.groupBy(*UNIT, F.col("_metadata.file_name").alias("file")).agg(
+        F.count("*").alias("n_rows"), hour.alias("max_hour")).withColumn("batch", F.lit(batch)), "batch-parts")
+
+
+def commit(rows: DataFrame, sizes: DataFrame, root: str, kind: str, compression: str = "snappy") -> int:
     """Write ``rows`` as one batch and publish it; returns the number of units stored.
 
-    ``sizes`` has the rows per day (date, n), one small row a day; ``units``, if they are known already,
-    the rows per unit (site_url, date, n_rows). Otherwise the batch just written is read for them.
+    ``sizes`` has the rows per day (date, n).
+    """
+    log = CommitLog(rows.sparkSession, root, kind)
+    return publish(log, write_batch(log, rows, sizes, compression))
+
+
+def publish(log: CommitLog, parts: DataFrame) -> int:
+    """Make a written batch visible, but for units that the version before holds for good."""
+    mine = parts.select(*OF_BATCH).distinct()
+    while True:
+        seen = log.snapshot()
+        held = seen.parts().select(*OF_BATCH, "max_hour")
+        closed = held.select(*UNIT) if log.kind == "daily" else held.where(F.col("max_hour") == LAST_HOUR).select(*UNIT)
+        lost = mine.join(closed.distinct(), UNIT, "left_semi")
+        replaced = held.join(mine.select(*UNIT), UNIT, "left_semi").select(*OF_BATCH).join(closed.distinct(), UNIT, "left_anti").distinct()
+        dead = stored(lost.unionByName(replaced), "dead-units")
+        live = parts.join(lost, OF_BATCH, "left_anti")
+        manifest, n = log.write(_entries("part", live), _entries("dead", dead))
+        if not n.get("part"):
+            return 0
+        if log.publish(seen, manifest, n.get("dead", 0)):
+            stored_units = log.spark.read.parquet(log.manifest(manifest)).where("what = 'part'").select(*UNIT).distinct().count()
+            if seen.version + 1 - seen.checkpoint >= CHECKPOINT_EVERY:
+                checkpoint(log)
+            return stored_units
+
+
+def _entries(what: str, rows: DataFrame) -> DataFrame:
+    missing = {"file": "string", "n_rows": "long", "max_hour": "int"}
+    return rows.select(F.lit(what).alias("what"), *OF_BATCH, *(
+        F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in missing.items()))
+
+
+def checkpoint(log: CommitLog) -> bool:
+    """Put the whole state into one manifest, so that readers need not put versions together; False if a writer was first."""
+    seen = log.snapshot()
+    manifest, n = log.write(_entries("part", seen.parts()), _entries("dead", seen.dead()))
+    return log.publish(seen, manifest, n.get("dead", 0), checkpoint=True)
+
+
+def compact(spark, root: str, kind: str, rows_per_file: int = ROWS_PER_FILE, compression: str = "snappy") -> int:
+    """Rewrite small files, and files of batches with replaced units, into files of about ``rows_per_file`` rows.
+
+    Facts are the same before and after; the new version is a checkpoint that names the new files in place of
+    the old ones, which stay until ``vacuum``. Writers go on meanwhile: units that they replace while the files
+    are rewritten are replaced in the new files, too. Returns the number of files rewritten.
     """
-    spark, columns = rows.sparkSession, DAILY_COLUMNS if kind == "daily" else HOURLY_COLUMNS
-    batch = f"{Store.at(spark, root).next_batch(kind):012d}-{uuid.uuid4().hex[:8]}"
-    path = batch_path(root, kind, batch)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = F.ceil(F.col("n") / ROWS_PER_FILE).cast("long")
-    dealt = rows.select(*columns).join(sizes.select("date", files.alias("files")), "date")
-    dealt = dealt.repartition(width, "date", F.pmod(F.xxhash64("site_url", "query", "page"), "files"))
-    ordered = dealt.select(*columns).sortWithinPartitions("date", "site_url", "query", "page")
-    ordered.write.option("compression", compression).partitionBy("date").parquet(path)
-    if units is None:
-        hour = F.max("hour") if kind == "hourly" else F.lit(None).cast("int")
-        units = spark.read.schema(ordered.schema).parquet(path).groupBy(*UNIT).agg(F.count("*").alias("n_rows"), hour.alias("max_hour"))
-    else:
-        units = units.select(*UNIT, "n_rows", F.lit(None).cast("int").alias("max_hour"))
-    units = stored(units.select(*UNIT, F.lit(batch).alias("batch"), "n_rows", "max_hour").select(*MANIFEST.names), "units")
-    units.coalesce(1).write.mode("append").parquet(units_path(root, kind))  # one file: published whole or not at all
-    return units.count()
+    log = CommitLog(spark, root, kind)
+    seen = log.snapshot()
+    if not seen.manifests:
+        return 0
+    parts = stored(seen.parts(), "live-parts")
+    size = parts.groupBy("batch", "file").agg(F.sum("n_rows").alias("n"))
+    old = stored(size.join(seen.dead().select("batch").distinct().withColumn("holed", F.lit(True)), "batch", "left").where(
+        (F.col("n") < rows_per_file / 2) | F.col("holed")).select("batch", "file", "n", "holed"), "old-files")
+    n_old = old.count()
+    if n_old < 2 and old.where("holed").isEmpty():
+        return 0
+    of_file = ["batch", "file"]
+    moved = parts.join(old.select(*of_file), of_file, "left_semi")
+    sizes = moved.groupBy("date").agg(F.sum("n_rows").alias("n"))
+    new = write_batch(log, facts_of(seen, old), sizes, compression, rows_per_file)
+    known = stored(seen.dead(), "dead-units")
+    fresh = new.select("batch").first()  # no row if nothing of the old files is live
+    while True:
+        now = log.snapshot()
+        if now.checkpoint > seen.checkpoint and not _still_there(now, moved):
+            return 0  # another compaction has moved these files
+        late = now.dead().join(known, OF_BATCH, "left_anti").join(moved.select(*OF_BATCH).distinct(), OF_BATCH, "left_semi")
+        remapped = late.select(*UNIT).distinct().withColumn("batch", F.lit(fresh.batch if fresh else None).cast("string"))
+        left = now.entries("part").join(old.select(*of_file), of_file, "left_anti")
+        dead = now.dead().join(left.select("batch").distinct(), "batch", "left_semi").select(*OF_BATCH).unionByName(remapped.select(*OF_BATCH))
+        manifest, n = log.write(_entries("part", left.unionByName(new.select(*left.columns))), _entries("dead", dead))
+        if log.publish(now, manifest, n.get("dead", 0), checkpoint=True):
+            return n_old
+
+
+def _still_there(now: Snapshot, moved: DataFrame) -> bool:
+    of_file = ["batch", "file"]
+    return moved.select(*of_file).distinct().join(now.entries("part").select(*of_file).distinct(), of_file, "left_anti").isEmpty()
+
+
+def vacuum(spark, root: str, kind: str, older_than_hours: float = 24.0) -> int:
+    """Delete batches that no live file needs, and versions and manifests before the last checkpoint, once they are
+    older than ``older_than_hours`` (longer than any write or read takes). Returns the number of things deleted."""
+    log = CommitLog(spark, root, kind)
+    seen = log.snapshot()
+    if not seen.manifests:
+        return 0
+    limit = (time.time() - older_than_hours * 3600) * 1000
+    batches = {f"batch={r.batch}" for r in seen.entries("part").select("batch").distinct().collect()}  # one per write not compacted
+    keep = [(log.data(), batches), (f"{log.base}/_manifests", set(seen.manifests)),
+            (f"{log.base}/_log", {log.entry(v).rsplit("/", 1)[1] for v in range(max(seen.checkpoint, 0), seen.version + 1)})]
+    gone = 0
+    for folder, needed in keep:
+        for status in log.files.list(folder):
+            name = status.getPath().getName()
+            if name not in needed and status.getModificationTime() < limit:
+                log.files.delete(f"{folder}/{name}")
+                gone += 1
+    return gone
 
 
 def write_daily(rows: DataFrame, root: str, compression: str = "snappy") -> int:
     """SNK-1: store the days that are not stored yet; running again with the same rows stores nothing."""
-    return _write(rows, root, "daily", compression)
+    return _write(rows.select(*DAILY_COLUMNS), root, "daily", compression)
 
 
 def write_hourly(rows: DataFrame, root: str, compression: str = "snappy") -> int:
     """SNK-2 / STR-3: store or replace whole hourly units, except those already complete."""
-    return _write(rows, root, "hourly", compression)
+    return _write(rows.select(*HOURLY_COLUMNS), root, "hourly", compression)
 
 
 def _write(rows: DataFrame, root: str, kind: str, compression: str) -> int:
     closed = closed_units(Store.at(rows.sparkSession, root), kind)
     new = rows.join(closed, UNIT, "left_anti")
-    sizes = stored(new.groupBy("date").agg(F.count("*").alias("n")), "day-sizes")
+    sizes = new.groupBy("date").agg(F.count("*").alias("n"))
     return commit(new, sizes, root, kind, compression)

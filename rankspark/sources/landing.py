@@ -4,6 +4,10 @@ A fetcher lands each response page as one JSON record: the envelope
 (site_url, date, fetch_id, start_row, fetched_at) plus the response ``rows``.
 A page holds at most 25,000 rows, so flattening is a per-record ``inline``
 with bounded fan-out, and no operation here ever gathers a whole day.
+
+Which pages count is decided on *references*: a row per page with its size, a digest of its rows and where it
+lies (file and row). The pages themselves are written once as they come and read once, those of chosen fetches
+only, by a semi-join with the chosen references; no page takes part in a shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankspark.schema import DAILY_COLUMNS, DIMENSIONS, HOURLY_COLUMNS, PAGE_ROW_LIMIT, RAW_PAGE
+from rankspark.session import stored
 
 UNIT = ["site_url", "date"]
 FETCH = ["site_url", "date", "fetch_id"]
@@ -39,12 +44,34 @@ def _malformed(raw: DataFrame) -> Column:
     return flag | F.col("malformed") if "malformed" in raw.columns else flag
 
 
-def _one_copy(raw: DataFrame) -> DataFrame:
-    """(fetch, start_row, fetched_at, n, bad) of the copy of each page that counts: the newest, then the largest."""
-    n = F.coalesce(F.size("rows"), F.lit(0)).alias("n")
-    sizes = raw.select(*FETCH, "start_row", F.struct("fetched_at", n, (~_malformed(raw)).alias("good")).alias("copy"))
-    return sizes.groupBy(*FETCH, "start_row").agg(F.max("copy").alias("copy")).select(
-        *FETCH, "start_row", "copy.fetched_at", "copy.n", (~F.col("copy.good")).alias("bad"))
+def sized(raw: DataFrame) -> DataFrame:
+    """Pages with their number of rows, whether they are good, and a digest of their rows."""
+    n = F.coalesce(F.size("rows"), F.lit(0))
+    return raw.select(*RAW_PAGE.fieldNames(), n.alias("n"), (~_malformed(raw)).alias("good"), F.xxhash64("rows").alias("digest"))
+
+
+SIZED = T.StructType([*RAW_PAGE.fields, T.StructField("n", T.IntegerType()), T.StructField("good", T.BooleanType()), T.StructField("digest", T.LongType())])
+PLACE = ["file", "row"]
+REF = T.StructType([
+    *(f for f in SIZED.fields if f.name != "rows"), T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
+
+
+def page_refs(pages: DataFrame) -> DataFrame:
+    """References to stored (Parquet) pages that ``sized`` has made; the rows of the pages are not read."""
+    return pages.select(*(c for c in REF.names if c not in PLACE), *_place())
+
+
+def _place() -> list[Column]:
+    return [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
+
+
+def _one_copy(pages: DataFrame) -> DataFrame:
+    """Of re-delivered copies of a page the one that counts: the newest, then the largest, then a good one, then by
+    its rows' digest; copies equal in all of that are alike, and one of them is taken."""
+    found = pages if "digest" in pages.columns else sized(pages)
+    order = [c for c in ("fetched_at", "n", "good", "digest", *PLACE) if c in found.columns]
+    one = found.groupBy(*FETCH, "start_row").agg(F.max(F.struct(*order)).alias("copy"))
+    return one.select(*FETCH, "start_row", *(F.col(f"copy.{c}").alias(c) for c in order), (~F.col("copy.good")).alias("bad"))
 
 
 def _whole(c) -> F.Column:
@@ -132,21 +159,39 @@ def latest_complete_fetch(raw: DataFrame, page_limit: int = PAGE_ROW_LIMIT) -> D
         *UNIT, F.col("pick.fetch_id").alias("fetch_id"), F.col("pick.n_rows").alias("n_rows"))
 
 
+REFS_BROADCAST = 500_000  # references (some 50 bytes each) that are sent to every task
+
+
+def take_pages(pages: DataFrame, refs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The stored pages of the ``chosen`` fetches, one copy each; ``refs`` are their references."""
+    wanted = stored(_one_copy(refs.join(chosen.select(*FETCH), FETCH, "left_semi")).where("good").select(*PLACE), "chosen-pages")
+    if wanted.count() <= REFS_BROADCAST:
+        wanted = F.broadcast(wanted)
+    return pages.select(*RAW_PAGE.fieldNames(), *_place()).join(wanted, PLACE, "left_semi").select(*RAW_PAGE.fieldNames())
+
+
 def assemble_pages(raw: DataFrame, page_limit: int = PAGE_ROW_LIMIT, chosen: DataFrame | None = None) -> DataFrame:
     """ING-4: the pages of each (site, date)'s newest complete fetch, one copy each.
 
     ``chosen`` restricts them to given fetches (site_url, date, fetch_id). Days whose
     fetch has zero rows yield no pages, so nothing is written for them and they stay
-    in the fetch plan (ING-5).
+    in the fetch plan (ING-5). The pages are stored once, then read by reference.
     """
+    pages = stored(sized(raw), "landed-pages")
+    refs = page_refs(pages)
     if chosen is None:
-        chosen = latest_complete_fetch(raw, page_limit).where(F.col("n_rows") > 0)
-    copies = _one_copy(raw).join(chosen.select(*FETCH), FETCH, "left_semi").select(*FETCH, "start_row", "fetched_at", "n")
-    pages = raw.withColumn("n", F.coalesce(F.size("rows"), F.lit(0)))
-    same = pages["fetched_at"].eqNullSafe(copies["fetched_at"]) & (pages["n"] == copies["n"])
-    for c in (*FETCH, "start_row"):
-        same = same & (pages[c] == copies[c])
-    return pages.join(copies, same, "left_semi").where(~_malformed(raw)).dropDuplicates([*FETCH, "start_row"]).select(*RAW_PAGE.fieldNames())
+        chosen = latest_complete_fetch(refs, page_limit).where(F.col("n_rows") > 0)
+    return take_pages(pages, refs, chosen)
+
+
+def incomplete_fetches(status: DataFrame, page_limit: int = PAGE_ROW_LIMIT) -> DataFrame:
+    """The fetches of a ``fetch_status`` that are not complete, and what each lacks."""
+    before_last = F.col("n_pages") - 1
+    gap = (F.col("last_start") != before_last * page_limit) | (F.col("full_pages") < before_last)
+    problem = (
+        F.when(F.col("n_malformed") > 0, "malformed page").when(F.col("first_start") != 0, "first page missing")
+        .when(gap, "page missing or of another size").otherwise("last page missing"))
+    return status.where(~F.col("complete")).select(*FETCH, "n_pages", "n_rows", "fetched_at", problem.alias("problem"))
 
 
 def to_response_pages(fact: DataFrame, kind: str = "daily", fetch_id: str = "replay",

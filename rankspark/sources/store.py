@@ -1,92 +1,89 @@
-"""The fact store: daily and hourly tables with a manifest of their units.
-
-On disk a table is a set of committed batches, each partitioned by date alone, sites sorted inside::
-
-    <root>/daily/batch=<id>/date=YYYY-MM-DD/part-*.parquet
-    <root>/hourly/batch=<id>/date=YYYY-MM-DD/part-*.parquet
-    <root>/units/<kind>/part-*.parquet     one file per commit: (site_url, date, batch, n_rows, max_hour)
-
-A reader lists the committed batches only, so the folders it opens grow with days, not with sites x
-days; a date predicate prunes folders and a site predicate row groups. Which units exist, and up to
-which hour, is read from the manifest, never from facts. Daily and hourly are separate tables: a daily
-report never reads hourly files, so a day with both is never counted twice. A store can also wrap
-DataFrames already in memory (fixture views, tests).
+"""The fact store: daily and hourly tables, each with a commit log of its files and units.
+
+A reader takes a snapshot of the log (``sources.log``): the files of the newest version and the units, (site,
+date), that each of them holds. It opens those files by name and lists no data folders; a site or
+date bound given to ``daily()`` / ``hourly()`` leaves out the files that hold no such unit before any is
+opened, and later predicates skip row groups by their statistics (a file covers a range of dates and is
+sorted by site, date, query and page). Which units exist, and up to which hour, is read from the log, never
+from facts. A unit's rows come from one batch: those of replaced hours, or of a writer that lost a race, are
+left out by an anti-join that is only there while such rows exist.
+
+Daily and hourly are separate tables: a daily report never reads hourly files, so a day with both is never
+counted twice. A store can also wrap DataFrames already in memory (fixture views, tests).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from py4j.protocol import Py4JError
 from pyspark.errors import ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankspark.functions.predicates import iso
 from rankspark.schema import DAILY, HOURLY
-
-MANIFEST = T.StructType([
-    T.StructField("site_url", T.StringType()),
-    T.StructField("date", T.StringType()),
-    T.StructField("batch", T.StringType()),
-    T.StructField("n_rows", T.LongType()),
-    T.StructField("max_hour", T.IntegerType()),
-])
-
-
-def batch_path(root: str, kind: str, batch: str) -> str:
-    return f"{root.rstrip('/')}/{kind}/batch={batch}"
-
-
-def units_path(root: str, kind: str) -> str:
-    return f"{root.rstrip('/')}/units/{kind}"
-
-
-def _manifest(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """Every published unit; the ids of batches sort in the order of their commits."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(units_path(root, kind))
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], MANIFEST)
-    return spark.read.schema(MANIFEST).parquet(units_path(root, kind))
-
-
-def _newest(units: DataFrame) -> DataFrame:
-    """One row per unit, that of its newest batch."""
-    return units.groupBy("site_url", "date").agg(F.max_by(F.struct("batch", "n_rows", "max_hour"), "batch").alias("u")).select("site_url", "date", "u.*")
-
-
-def _facts(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    schema = DAILY if kind == "daily" else HOURLY
-    units = _manifest(spark, root, kind)
-    batches = [r.batch for r in units.select("batch").distinct().orderBy("batch").collect()]  # one per ingest run
-    if not batches:
-        return spark.createDataFrame([], schema)
+from rankspark.sources.log import OF_BATCH, CommitLog, Snapshot
+
+KINDS = ("daily", "hourly")
+
+
+def _bounds(site: str | None, since: dt.date | str | None, until: dt.date | str | None) -> Column:
+    """Site and dates (both ends included), where they are given."""
+    cond = F.lit(True)
+    if site is not None:
+        cond = cond & (F.col("site_url") == F.lit(site))
+    if since is not None:
+        cond = cond & (F.col("date") >= F.lit(iso(since)))
+    if until is not None:
+        cond = cond & (F.col("date") <= F.lit(iso(until)))
+    return cond
+
+
+def facts_of(snapshot: Snapshot, parts: DataFrame) -> DataFrame:
+    """The live rows of the files that ``parts`` name; the driver learns their names, as any file scan does."""
+    log = snapshot.log
+    schema = DAILY if log.kind == "daily" else HOURLY
+    files = sorted(f"{log.data(r.batch)}/{r.file}" for r in parts.select("batch", "file").distinct().collect())
+    if not files:
+        return log.spark.createDataFrame([], schema)
     # An explicit schema keeps `date` a string and fixes the measure types.
     with_batch = T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
-    facts = spark.read.schema(with_batch).option("basePath", f"{root.rstrip('/')}/{kind}").parquet(*(batch_path(root, kind, b) for b in batches))
-    if kind == "hourly":  # units that a newer batch has replaced
-        newest = _newest(units).select("site_url", "date", F.col("batch").alias("newest"))
-        replaced = units.join(newest, ["site_url", "date"]).where("batch <> newest").select("site_url", "date", "batch")
-        facts = facts.join(replaced, ["site_url", "date", "batch"], "left_anti")
+    facts = log.spark.read.schema(with_batch).option("basePath", log.data()).parquet(*files)
+    if snapshot.n_dead:
+        facts = facts.join(snapshot.dead(), OF_BATCH, "left_anti")
     return facts.select(*schema.fieldNames())
 
 
 class Store:
     """Daily and hourly tables; each is built on first use only."""
 
-    def __init__(self, spark: SparkSession, daily, hourly, root: str | None = None):
+    def __init__(self, spark: SparkSession, daily=None, hourly=None, root: str | None = None):
         self.spark = spark
         self.root = root
         self._daily, self._hourly = daily, hourly
+        self._snapshots: dict[str, Snapshot] = {}
+
+    def snapshot(self, kind: str) -> Snapshot:
+        """The version of the table that this store reads: the newest when it was first asked for."""
+        if kind not in self._snapshots:
+            self._snapshots[kind] = CommitLog(self.spark, self.root, kind).snapshot()
+        return self._snapshots[kind]
 
     @property
     def daily_df(self) -> DataFrame:
+        if self.root is not None:
+            return self._scan("daily", None)
         if callable(self._daily):
             self._daily = self._daily()
         return self._daily
 
     @property
     def hourly_df(self) -> DataFrame:
+        if self.root is not None:
+            return self._scan("hourly", None)
         if callable(self._hourly):
             self._hourly = self._hourly()
         return self._hourly
@@ -95,8 +92,7 @@ class Store:
     @classmethod
     def at(cls, spark: SparkSession, root: str) -> "Store":
         """Open the tables under ``root`` (missing tables read empty)."""
-        root = root.rstrip("/")
-        return cls(spark, lambda: _facts(spark, root, "daily"), lambda: _facts(spark, root, "hourly"), root)
+        return cls(spark, root=root.rstrip("/"))
 
     @classmethod
     def of(cls, spark: SparkSession, daily: DataFrame, hourly: DataFrame | None = None) -> "Store":
@@ -113,44 +109,50 @@ class Store:
         return cls(spark, lambda: daily_view(spark, sf_dir), lambda: hourly_view(spark, sf_dir))
 
     # -- scans (SRC-1..3) ---------------------------------------------------
-    def daily(self, site: str | None = None, require_site: bool = False) -> DataFrame:
-        return self._scan(self.daily_df, site, require_site)
+    def daily(self, site: str | None = None, require_site: bool = False,
+              since: dt.date | str | None = None, until: dt.date | str | None = None) -> DataFrame:
+        """The daily facts, of one site if given, of the dates ``since`` to ``until`` (both included) if given."""
+        return self._scan("daily", site, require_site, since, until)
 
-    def hourly(self, site: str | None = None, require_site: bool = False) -> DataFrame:
-        return self._scan(self.hourly_df, site, require_site)
+    def hourly(self, site: str | None = None, require_site: bool = False,
+               since: dt.date | str | None = None, until: dt.date | str | None = None) -> DataFrame:
+        return self._scan("hourly", site, require_site, since, until)
 
     def table(self, data_type: str = "daily", site: str | None = None) -> DataFrame:
-        if data_type not in ("daily", "hourly"):
+        if data_type not in KINDS:
             raise ValueError(f"data_type must be 'daily' or 'hourly', not {data_type!r}")
-        return self.daily(site) if data_type == "daily" else self.hourly(site)
+        return self._scan(data_type, site)
 
-    def _scan(self, df: DataFrame, site: str | None, require_site: bool) -> DataFrame:
-        if site is None:
-            return df
-        out = df.where(F.col("site_url") == F.lit(site))
-        if require_site and out.select("site_url").limit(1).count() == 0:
+    def _scan(self, kind: str, site: str | None, require_site: bool = False, since=None, until=None) -> DataFrame:
+        bounds = _bounds(site, since, until)
+        if self.root is not None:
+            snapshot = self.snapshot(kind)
+            df = facts_of(snapshot, snapshot.parts().where(bounds))
+        else:
+            df = self.daily_df if kind == "daily" else self.hourly_df
+        if require_site and site is not None and self._unknown(df, kind, site):
             raise LookupError(f"no stored rows for site {site!r}")
-        return out
+        return df if site is None and since is None and until is None else df.where(bounds)
+
+    def _unknown(self, df: DataFrame, kind: str, site: str) -> bool:
+        known = df if self.root is None else self.snapshot(kind).parts()
+        return known.where(F.col("site_url") == F.lit(site)).select("site_url").limit(1).count() == 0
 
     # -- catalog (SRC-5) ----------------------------------------------------
     def units(self, kind: str = "daily") -> DataFrame:
-        """(site_url, date, n_rows, max_hour) of every stored unit; from the manifest where there is one."""
+        """(site_url, date, n_rows, max_hour) of every stored unit; from the log where there is one."""
         if self.root is not None:
-            return _newest(_manifest(self.spark, self.root, kind)).select("site_url", "date", "n_rows", "max_hour")
+            return self.snapshot(kind).units()
         df = self.table(kind)
         hour = F.max("hour") if kind == "hourly" else F.lit(None).cast("int")
         return df.groupBy("site_url", "date").agg(F.count("*").alias("n_rows"), hour.alias("max_hour"))
 
-    def next_batch(self, kind: str) -> int:
-        last = _manifest(self.spark, self.root, kind).agg(F.max("batch")).first()[0]
-        return int(last.split("-")[0]) + 1 if last else 0
-
     def sites(self) -> DataFrame:
         """Sorted distinct sites of the daily and hourly tables."""
         if self.root is None:
             both = self.daily_df.select("site_url").unionByName(self.hourly_df.select("site_url"))
         else:
-            both = self.units("daily").select("site_url").unionByName(self.units("hourly").select("site_url"))
+            both = self.snapshot("daily").parts().select("site_url").unionByName(self.snapshot("hourly").parts().select("site_url"))
         return both.distinct().orderBy(F.asc_nulls_last("site_url"))
 
     # -- templated SQL (SRC-4) ----------------------------------------------

@@ -211,11 +211,12 @@ def test_half_written_day_is_repaired(spark, tmp_path, monkeypatch):
     # A job lost between its data and its manifest leaves rows that no reader sees; a re-run stores the day whole.
     from rankspark.schema import DAILY
     from rankspark.sinks import fact
+    from rankspark.sources.log import CommitLog
 
     rows = [("s", "2024-01-01", f"q{i}", "/p", "M", "twn", i, 10, 0.1, 1.0) for i in range(50)]
     df, root = spark.createDataFrame(rows, DAILY), str(tmp_path / "store")
     with monkeypatch.context() as m:
-        m.setattr(fact, "units_path", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        m.setattr(CommitLog, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
         with pytest.raises(RuntimeError):
             fact.write_daily(df.limit(20), root)
     assert os.path.isdir(os.path.join(root, "daily")) and Store.at(spark, root).daily().count() == 0
@@ -243,16 +244,16 @@ def test_copies_of_a_page_with_different_rows(spark, tmp_path):
     assert sorted(r.query for r in flatten_daily(assemble_pages(raw, 3)).collect()) == ["q2", "q3"]
 
 
-def test_pending_pages_are_dropped_once_stored(spark, tmp_path):
+def test_open_fetches_wait_in_the_page_log(spark, tmp_path):
+    from rankspark.streaming.ingest import open_fetches
+
     landing, root, ckpt = str(tmp_path / "landing"), str(tmp_path / "store"), str(tmp_path / "ckpt")
     land(landing, "s", "2024-01-01", "f", 0, [drow(i) for i in range(3)])
     stream_daily(spark, landing, root, ckpt, page_limit=3).awaitTermination(300)
-    pending = os.path.join(root, "_pending", "daily")
-    assert spark.read.parquet(os.path.join(pending, os.listdir(pending)[0])).count() == 1
+    assert [(r.fetch_id, r.n_pages, r.problem) for r in open_fetches(spark, root, "daily", 3).collect()] == [("f", 1, "last page missing")]
     land(landing, "s", "2024-01-01", "f", 3, [drow(9)])
     stream_daily(spark, landing, root, ckpt, page_limit=3).awaitTermination(300)
-    versions = [v for v in os.listdir(pending) if not v.startswith(".")]
-    assert len(versions) == 1 and spark.read.parquet(os.path.join(pending, versions[0])).count() == 0
+    assert open_fetches(spark, root, "daily", 3).count() == 0
     assert Store.at(spark, root).daily().count() == 4
 
 
