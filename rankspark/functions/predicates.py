@@ -124,17 +124,37 @@ def list_frame(spark: SparkSession, column: str, values: Iterable, dtype: T.Data
     return spark.createDataFrame(pa.table({column: pa.array(list(values), to_arrow_type(dtype or T.StringType()))}))
 
 
+RANGES = 10  # ranges that stand for a list in the scan; Parquet statistics and Bloom filters are asked for each
+
+
+def list_ranges(column: str | Column, values: Iterable) -> tuple[Column, bool]:
+    """A condition that the scan can push: the sorted values in at most RANGES stretches of equal length, each with its
+    exact least and greatest value, and whether that says all (every stretch is one value)."""
+    vals = sorted(set(values))
+    step = -(-len(vals) // RANGES)
+    groups = [vals[i : i + step] for i in range(0, len(vals), step)]
+    cond = F.lit(False)
+    for g in groups:
+        cond = cond | (_c(column) == F.lit(g[0]) if len(g) == 1 else _c(column).between(F.lit(g[0]), F.lit(g[-1])))
+    return cond, all(len(g) == 1 for g in groups)
+
+
 def filter_in(df: DataFrame, column: str, values: Iterable | None, optional: bool = False) -> DataFrame:
     """FLT-3 / FLT-4 / JN-4: keep rows whose ``column`` is in ``values``.
 
     ``None`` elements are dropped. With ``optional`` a missing or empty list
     means no filter. A list left empty after dropping matches only the empty
-    string, as the source's ``IN ('')`` does. Lists of any length are a
-    semi-join with a typed frame whose size Spark knows.
+    string, as the source's ``IN ('')`` does. The list's ranges reach the scan;
+    where they take in more than the list, a semi-join with a typed frame whose
+    size Spark knows follows.
     """
     vals = list(dict.fromkeys(clean_values(values)))
     if not vals:
         if optional and not list(values or []):
             return df
         return df.where(F.col(column) == F.lit(""))
-    return df.join(list_frame(df.sparkSession, column, vals, df.schema[column].dataType), on=column, how="left_semi").select(*df.columns)
+    ranges, exact = list_ranges(column, vals)
+    kept = df.where(ranges)
+    if exact:
+        return kept
+    return kept.join(list_frame(df.sparkSession, column, vals, df.schema[column].dataType), on=column, how="left_semi").select(*df.columns)

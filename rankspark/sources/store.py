@@ -17,8 +17,6 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from py4j.protocol import Py4JError
-from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +24,7 @@ from pyspark.sql import types as T
 from rankspark.functions.predicates import iso
 from rankspark.schema import DAILY, HOURLY
 from rankspark.sources.log import OF_BATCH, CommitLog, Snapshot
+from rankspark.sources.sqlcheck import check_leaves, limited, parse
 
 KINDS = ("daily", "hourly")
 
@@ -158,7 +157,7 @@ class Store:
     # -- templated SQL (SRC-4) ----------------------------------------------
     def sql(self, sql: str, site: str | None = None, data_type: str = "daily",
             default_limit: int | None = None, nan_to_null: bool = False) -> DataFrame:
-        """Run one SELECT/WITH statement with ``{site}`` / ``{site_hourly}`` bound.
+        """Run one SELECT/WITH statement with ``{site}`` / ``{site_hourly}`` bound; ``sources.sqlcheck`` says which may run.
 
         ``{site}`` is the daily table (hourly when ``data_type='hourly'``) and
         ``{site_hourly}`` the hourly one, both restricted to ``site``. Both are
@@ -171,7 +170,8 @@ class Store:
         if data_type not in ("daily", "hourly"):
             raise ValueError(f"data_type must be 'daily' or 'hourly', not {data_type!r}")
         text = sql.strip().rstrip(";").strip()
-        plan = self._select_plan(text)
+        named = _PLACEHOLDER.sub(lambda m: f"__{m.group(1)}" if m.group(1) in ("site", "site_hourly") else m.group(0), text)
+        plan = parse(self.spark, named, frozenset(["__site", "__site_hourly"]))
         escaped = _escape_other_braces(text, ("site", "site_hourly"))
         used = set(_PLACEHOLDER.findall(escaped.replace("{{", "").replace("}}", "")))
         bound = {}
@@ -180,7 +180,8 @@ class Store:
         if "site_hourly" in used:
             bound["site_hourly"] = self.hourly(site)
         df = self.spark.sql(escaped, **bound)
-        if default_limit is not None and not _limited(plan):
+        check_leaves(df, list(bound.values()))
+        if default_limit is not None and not limited(plan):
             df = df.limit(default_limit)
         if nan_to_null:
             from rankspark.sinks.export import nan_to_null as _nan_to_null
@@ -188,19 +189,6 @@ class Store:
             df = _nan_to_null(df)
         return df
 
-    def _select_plan(self, text: str):
-        """The parsed statement, by Spark's own parser; raises ValueError unless it only reads."""
-        named = _PLACEHOLDER.sub(lambda m: f"__{m.group(1)}" if m.group(1) in ("site", "site_hourly") else m.group(0), text)
-        try:
-            plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(named)
-        except (ParseException, Py4JError) as e:
-            raise ValueError(f"not one valid SELECT / WITH statement: {str(e)[:300]}") from e
-        logical = "org.apache.spark.sql.catalyst.plans.logical."
-        writers = [self.spark._jvm.java.lang.Class.forName(logical + c) for c in ("Command", "ParsedStatement", "InsertIntoDir")]
-        if any(w.isInstance(node) for node in _walk(plan) for w in writers):
-            raise ValueError("only a single SELECT / WITH statement is accepted")
-        return plan
-
 
 _PLACEHOLDER = re.compile(r"\{([A-Za-z_][A-Za-z0-9_]*)\}")
 
@@ -214,17 +202,3 @@ def _escape_other_braces(text: str, names: tuple[str, ...]) -> str:
         i = m.end()
     out.append(text[i:].replace("{", "{{").replace("}", "}}"))
     return "".join(out)
-
-
-def _walk(plan):
-    yield plan
-    children = plan.children()
-    for i in range(children.size()):
-        yield from _walk(children.apply(i))
-
-
-def _limited(plan) -> bool:
-    """Whether the outermost query of a parsed statement has a LIMIT."""
-    while plan.getClass().getSimpleName() in ("UnresolvedWith", "SubqueryAlias", "Offset"):
-        plan = plan.children().apply(0)
-    return plan.getClass().getSimpleName() in ("GlobalLimit", "LocalLimit")

@@ -139,3 +139,39 @@ def test_keyword_file_doubled_quotes(spark, tmp_path):
     p = tmp_path / "kw.txt"
     p.write_text("('a'),('women''s shoes'),('b')", encoding="utf-8")
     assert [r.query for r in read_keywords(spark, str(p)).collect()] == ["a", "women's shoes", "b"]
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')", "SELECT java_method('java.lang.Math', 'abs', -1) FROM {site}",
+    "SELECT COUNT(*) FROM parquet.`/root/testdata/sf0.001/nation.parquet`", "SELECT * FROM json.`/etc/passwd`",
+    "SELECT * FROM other", "SELECT * FROM default.other", "SELECT (SELECT MAX(x) FROM other) AS m FROM {site}",
+    "SELECT * FROM {site} WHERE query IN (SELECT query FROM other)", "SELECT * FROM {site} WHERE EXISTS (SELECT 1 FROM csv.`/etc/passwd`)",
+    "WITH q AS (SELECT * FROM other) SELECT * FROM q", "SELECT input_file_name() FROM {site}", "SELECT current_user()",
+    "SELECT TRANSFORM(query) USING 'cat' FROM {site}", "SELECT my_udf(query) FROM {site}", "SELECT * FROM {site} LATERAL VIEW reflect('a', 'b') t",
+    "SELECT * FROM (WITH other AS (SELECT 1 AS x) SELECT * FROM other) a, other b", "SELECT spark_catalog.default.f(1)",
+    "SELECT filter(array(1), x -> reflect('java.lang.System', 'gc') IS NULL) FROM {site}", "SHOW TABLES", "DESCRIBE {site}", "EXPLAIN SELECT 1",
+])
+def test_sql_reads_the_bound_tables_only(spark, store, text):
+    spark.range(3).selectExpr("id AS x", "'q' AS query").createOrReplaceTempView("other")
+    spark.udf.register("my_udf", lambda x: x)
+    try:
+        with pytest.raises(ValueError):
+            store.sql(text, site="s1")
+    finally:
+        spark.catalog.dropTempView("other")
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT query, SUM(clicks) OVER (PARTITION BY page ORDER BY date) AS c, ROW_NUMBER() OVER w AS n FROM {site} WINDOW w AS (ORDER BY query)",
+    "WITH a AS (SELECT * FROM {site}), b AS (SELECT query FROM a WHERE clicks > (SELECT AVG(clicks) FROM a)) SELECT a.* FROM a JOIN b USING (query)",
+    "SELECT page, COUNT(DISTINCT query) AS n FROM {site} GROUP BY ROLLUP (page) HAVING n > 0 ORDER BY n DESC NULLS LAST LIMIT 5 OFFSET 0",
+    "SELECT * FROM {site} UNION ALL SELECT * FROM {site} EXCEPT SELECT * FROM {site} WHERE clicks < 0",
+    "SELECT * FROM (SELECT device, clicks FROM {site}) PIVOT (SUM(clicks) FOR device IN ('MOBILE', 'DESKTOP'))",
+    "SELECT x FROM {site} LATERAL VIEW explode(split(page, '/')) t AS x", "SELECT v.a, d.query FROM VALUES (1), (2) AS v(a) CROSS JOIN {site} d",
+    "SELECT transform(array(s.clicks), x -> x + 1) AS t, CASE WHEN s.clicks > 1 THEN 'a' END AS c, s.date::DATE AS d, h.hour FROM {site} s JOIN {site_hourly} h USING (query)",
+    "SELECT DISTINCT query FROM {site} TABLESAMPLE (100 PERCENT)", "SELECT * FROM range(3)", "SELECT 1 AS one",
+    "SELECT query FROM {site} WHERE query LIKE 'q%' AND regexp_like(page, '^/') AND date BETWEEN '2020-01-01' AND '2030-01-01'",
+    "SELECT percentile_approx(position, 0.5) AS p, approx_count_distinct(query) AS q, date_trunc('MONTH', date::DATE) AS m FROM {site} GROUP BY ALL",
+])
+def test_sql_of_every_day_still_runs(store, text):
+    store.sql(text, site="s1").collect()

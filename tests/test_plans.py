@@ -96,3 +96,67 @@ def test_planning_does_not_grow_with_units(spark, tmp_path):
     assert "EqualTo(date,2024-01-05)" in plan and "EqualTo(site_url,s7)" in plan
     assert store.daily("s7").where("date = '2024-01-05'").count() == 1
     assert all("/_manifests/" in f for f in store.units("daily").inputFiles())
+
+
+# -- lists at the scan -------------------------------------------------------------
+
+def _scan_rows(df) -> int:
+    """Rows that came out of the file scans of a finished query: row groups that were skipped give none."""
+    df.collect()
+    plan, rows = df._jdf.queryExecution().executedPlan(), 0
+    stack = [plan]
+    while stack:
+        p = stack.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            stack.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            stack.append(p.plan())
+        else:
+            if name == "FileSourceScanExec":
+                rows += p.metrics().apply("numOutputRows").value()
+            stack += [p.children().apply(i) for i in range(p.children().size())]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def grouped(spark, tmp_path_factory):
+    """Facts in many small row groups: pages in order, queries that are not, Bloom filters as the writer sets them."""
+    from rankspark.sinks.fact import BLOOM
+
+    path = str(tmp_path_factory.mktemp("groups")) + "/t"
+    rows = spark.range(200_000).selectExpr("concat('/p', lpad(id, 7, '0')) page", "concat('q', (id * 7919) % 200000) query", "id clicks")
+    rows.coalesce(1).write.options(**BLOOM).option("parquet.block.size", "65536").option("parquet.page.row.count.limit", "2000").parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("n", [1, 3, 10, 11, 500])
+def test_lists_of_any_length_reach_the_scan(grouped, n):
+    from rankspark.functions.predicates import filter_in
+
+    pages = [f"/p{i:07d}" for i in range(50_000, 50_000 + n)]
+    df = filter_in(grouped, "page", [*pages, None, pages[0]])
+    pushed = _plan(df).split("PushedFilters")[1].split("ReadSchema")[0]
+    assert pages[0] in pushed and pages[-1] in pushed
+    assert sorted(r.page for r in df.collect()) == pages
+    assert _scan_rows(df) < 60_000
+
+
+def test_bloom_filters_skip_row_groups(grouped):
+    from rankspark.functions.predicates import filter_in
+
+    here, absent = filter_in(grouped, "query", ["q77", "q4711"]), filter_in(grouped, "query", ["q77x", "q1y"])
+    assert here.count() == 2 and absent.count() == 0
+    assert _scan_rows(absent) < _scan_rows(here) < 200_000
+
+
+def test_list_ranges_are_exact_bounds(spark):
+    from rankspark.functions.predicates import filter_in, list_ranges
+
+    values = [f"v{i}" for i in range(95)]
+    df = spark.createDataFrame([(v,) for v in values + [None, "", "v10a", "zz", "漢"]], "x string")
+    for n in (1, 9, 10, 11, 95):
+        cond, exact = list_ranges("x", values[:n])
+        assert exact == (n <= 10)
+        assert sorted(r.x for r in filter_in(df, "x", values[:n]).collect()) == sorted(values[:n])
+    assert [r.x for r in filter_in(df, "x", ["漢", "a"]).collect()] == ["漢"]
