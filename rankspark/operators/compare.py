@@ -56,6 +56,11 @@ def compare_periods(perf: DataFrame, as_of: dt.date | str | None = None, period_
         F.countDistinct(when_in(in1, "page")).alias("period1_pages"),
         F.countDistinct(when_in(in2, "page")).alias("period2_pages"),
     )
+    return comparison(totals, p)
+
+
+def comparison(totals: DataFrame, p: Periods) -> DataFrame:
+    """The 19 columns of a comparison from the totals of both periods."""
     return totals.select(
         F.lit(p.period1_start).alias("period1_start"),
         F.lit(p.period1_end).alias("period1_end"),

@@ -59,11 +59,15 @@ def hour_vs_last_week(hourly: DataFrame) -> DataFrame:
     """TRD-2 / WIN-4: clicks per (site, date, hour) next to the same hour 7
     calendar days earlier. A self equi-join on (site, hour, date - 7) of the
     per-hour totals, so gaps in the data never shift the comparison."""
-    per_hour = hourly.groupBy("site_url", "date", "hour").agg(X.total("clicks"))
-    week_before = per_hour.select(
+    return week_before(hourly.groupBy("site_url", "date", "hour").agg(X.total("clicks")))
+
+
+def week_before(per_hour: DataFrame) -> DataFrame:
+    """Clicks per (site, date, hour) next to those of the same hour 7 days earlier."""
+    before = per_hour.select(
         "site_url", _shift_days("date", 7).alias("date"), "hour", F.col("clicks").alias("prev_clicks")
     )
-    out = per_hour.join(week_before, ["site_url", "date", "hour"], "left")
+    out = per_hour.join(before, ["site_url", "date", "hour"], "left")
     return out.select("site_url", "date", "hour", "clicks", "prev_clicks",
                       (F.col("clicks") - F.col("prev_clicks")).alias("change"))
 

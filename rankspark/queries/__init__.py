@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables (see ``rankspark.registry``)."""
 
-from rankspark.queries import adhoc, compare, dashboard, ingest, keywords, measures, reports, store  # noqa: F401
+from rankspark.queries import adhoc, compare, dashboard, ingest, keywords, measures, reports, rollup, store  # noqa: F401

@@ -2,10 +2,16 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from rankspark.functions.expressions import decode_page
 from rankspark.plans.ingest import plan_daily, plan_hourly
 from rankspark.queries.params import SITE, sql_str
 from rankspark.registry import register
+from rankspark.session import scratch_path, stored
+from rankspark.sinks.fact import write_daily
+from rankspark.sinks.ordered import read_ordered, write_ordered
+from rankspark.sources.dictionary import index, matching
 from rankspark.sources.fixtures import HOURLY_SITE, table
 from rankspark.sources.store import Store
 
@@ -78,6 +84,53 @@ def q_sql_nan_to_null(spark, sf_dir):
            FROM {site} GROUP BY query""", site=SITE, nan_to_null=True)
 
 
+_ALL_PAIRS = f"""SELECT page, query, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions
+FROM daily GROUP BY page, query"""
+
+
+@register("ordered_export", "SRT-2", f"""
+SELECT *, ROW_NUMBER() OVER (ORDER BY clicks DESC, page, query) - 1 AS row_no FROM ({_ALL_PAIRS}) t
+""", writes=True)
+def q_ordered_export(spark, sf_dir):
+    """All groups sorted and written as files in order, read back with their places."""
+    path = scratch_path(spark, "ordered")
+    pairs = Store.fixtures(spark, sf_dir).daily().groupBy("page", "query").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+    pairs = stored(pairs, "pairs")
+    write_ordered(pairs, path, [F.desc("clicks"), F.asc("page"), F.asc("query")], rows_per_file=500)
+    return read_ordered(spark, path, pairs.schema)
+
+
+@register("ordered_page", "SRT-2", f"""
+SELECT *, ROW_NUMBER() OVER (ORDER BY clicks DESC, page, query) - 1 AS row_no FROM ({_ALL_PAIRS}) t QUALIFY row_no BETWEEN 600 AND 649
+""", writes=True)
+def q_ordered_page(spark, sf_dir):
+    """One screen out of the middle of the sorted result, read from the file that holds it."""
+    path = scratch_path(spark, "ordered")
+    pairs = Store.fixtures(spark, sf_dir).daily().groupBy("page", "query").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+    pairs = stored(pairs, "pairs")
+    write_ordered(pairs, path, [F.desc("clicks"), F.asc("page"), F.asc("query")], rows_per_file=500)
+    return read_ordered(spark, path, pairs.schema, 600, 50)
+
+
+@register("dictionary_search", "FLT-5", """
+SELECT 'like' AS mode, site_url, date, query, page, clicks FROM daily WHERE query LIKE '%et bo_t%' UNION ALL
+SELECT 'contains' AS mode, site_url, date, query, page, clicks FROM daily WHERE lower(query) LIKE '%d wid%' UNION ALL
+SELECT 'ilike' AS mode, site_url, date, query, page, clicks FROM daily WHERE query ILIKE 'BLUE%' AND date >= '1997-01-01'
+""", writes=True)
+def q_dictionary_search(spark, sf_dir):
+    """Substring searches through the dictionary of queries; one of the three commits has none yet."""
+    root, facts = scratch_path(spark, "dictionary"), Store.fixtures(spark, sf_dir).daily()
+    for low, high in (("0", "1994"), ("1994", "1996")):
+        write_daily(facts.where((F.col("date") >= low) & (F.col("date") < high)), root)
+    index(spark, root, "daily")
+    write_daily(facts, root)
+    store, out = Store.at(spark, root), None
+    for mode, pattern, since in (("like", "%et bo_t%", None), ("contains", "d Wid", None), ("ilike", "BLUE%", "1997-01-01")):
+        found = matching(store, pattern, mode, since=since).select(F.lit(mode).alias("mode"), "site_url", "date", "query", "page", "clicks")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _spine_sql(table_name: str, start: dt.date, end: dt.date) -> str:
     return f"""
     SELECT s.site_url, strftime(t.d, '%Y-%m-%d') AS date
@@ -114,7 +167,5 @@ def q_plan_hourly(spark, sf_dir):
 SELECT page_id, url_decode(replace(url, '/', '%2F')) AS page FROM pages
 """)
 def q_display_pages(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return pages.select("page_id", decode_page(F.replace("url", F.lit("/"), F.lit("%2F"))).alias("page"))

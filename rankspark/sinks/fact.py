@@ -2,7 +2,8 @@
 
 A write is a *batch* of files. Rows are dealt to files by their place in the order of dates: a file has
 about ROWS_PER_FILE rows, holds a range of dates (many thin days, or a hash share of one large day) and is sorted by
-site, date, query and page, with Bloom filters on query and page. Then the batch is committed to the
+site, date, query and page, with Bloom filters on query and page. Beside it lie its sums and sketches per unit
+(``sources.rollup``), made in the one pass that also counts its parts. Then the batch is committed to the
 table's log (``sources.log``): a job lost half-way leaves files that nobody reads, and running it again stores the
 unit whole.
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rankspark.schema import DAILY, DAILY_COLUMNS, HOURLY, HOURLY_COLUMNS, LAST_HOUR
 from rankspark.session import stored
+from rankspark.sources import rollup
 from rankspark.sources.log import OF_BATCH, UNIT, CommitLog, Snapshot
 from rankspark.sources.store import Store, facts_of
 
@@ -53,10 +55,11 @@ def write_batch(log: CommitLog, rows: DataFrame, sizes: DataFrame, compression:
     batch = uuid.uuid4().hex
     ordered = dealt.sortWithinPartitions("site_url", "date", "query", "page")
     ordered.write.options(**BLOOM).option("compression", compression).parquet(log.data(batch))
+    back = rows.sparkSession.read.schema(schema).parquet(log.data(batch)).withColumn("file", F.col("_metadata.file_name"))
+    rollup.summarize(back, log.kind, "file").write.option("compression", "zstd").parquet(log.rollups(batch))
     hour = F.max("hour") if log.kind == "hourly" else F.lit(None).cast("int")
-    back = rows.sparkSession.read.schema(schema).parquet(log.data(batch))
-    return stored(back.groupBy(*UNIT, F.col("_metadata.file_name").alias("file")).agg(
-        F.count("*").alias("n_rows"), hour.alias("max_hour")).withColumn("batch", F.lit(batch)), "batch-parts")
+    told = rows.sparkSession.read.parquet(log.rollups(batch)).groupBy(*UNIT, "file")
+    return stored(told.agg(F.sum("n_rows").alias("n_rows"), hour.alias("max_hour")).withColumn("batch", F.lit(batch)), "batch-parts")
 
 
 def commit(rows: DataFrame, sizes: DataFrame, root: str, kind: str, compression: str = "snappy") -> int:
@@ -153,7 +156,7 @@ def vacuum(spark, root: str, kind: str, older_than_hours: float = 24.0) -> int:
         return 0
     limit = (time.time() - older_than_hours * 3600) * 1000
     batches = {f"batch={r.batch}" for r in seen.entries("part").select("batch").distinct().collect()}  # one per write not compacted
-    keep = [(log.data(), batches), (f"{log.base}/_manifests", set(seen.manifests)),
+    keep = [(log.data(), batches), (log.rollups(), batches), (f"{log.base}/_manifests", set(seen.manifests)),
             (f"{log.base}/_log", {log.entry(v).rsplit("/", 1)[1] for v in range(max(seen.checkpoint, 0), seen.version + 1)})]
     gone = 0
     for folder, needed in keep:

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from rankspark.functions.predicates import iso
 from rankspark.schema import DAILY, HOURLY
 from rankspark.sources.log import OF_BATCH, CommitLog, Snapshot
+from rankspark.sources.rollup import live_rollup, summarize
 from rankspark.sources.sqlcheck import check_leaves, limited, parse
 
 KINDS = ("daily", "hourly")
@@ -133,6 +134,15 @@ class Store:
             raise LookupError(f"no stored rows for site {site!r}")
         return df if site is None and since is None and until is None else df.where(bounds)
 
+    def rollup(self, kind: str = "daily", site: str | None = None, since: dt.date | str | None = None,
+               until: dt.date | str | None = None) -> DataFrame:
+        """Sums and sketches per (site, date), and hour if hourly (``sources.rollup``). From the tables of a stored
+        root, which commits keep up to date, no facts are read; of facts in memory they are computed."""
+        if self.root is None:
+            return summarize(self._scan(kind, site, since=since, until=until), kind)
+        snapshot, bounds = self.snapshot(kind), _bounds(site, since, until)
+        return live_rollup(snapshot, snapshot.parts().where(bounds)).where(bounds)
+
     def _unknown(self, df: DataFrame, kind: str, site: str) -> bool:
         known = df if self.root is None else self.snapshot(kind).parts()
         return known.where(F.col("site_url") == F.lit(site)).select("site_url").limit(1).count() == 0
