@@ -40,9 +40,10 @@ def date_spine(sites: DataFrame, start: dt.date | str, end: dt.date | str) -> Da
 
 
 def plan_daily(units: DataFrame, sites: Iterable[str] | DataFrame, as_of: dt.date | str,
-               history_days: int = DAILY_HISTORY_DAYS) -> DataFrame:
+               history_days: int = DAILY_HISTORY_DAYS, settle_days: int = 0) -> DataFrame:
     """ING-1: dates in [as_of - history_days, as_of - 1] not yet stored, per site;
-    ``units`` has the stored (site_url, date).
+    ``units`` has the stored (site_url, date). The last ``settle_days`` dates, which the source may
+    still revise, are listed whether stored or not (write them with ``open_since``).
 
     A day that returned no rows was never written, so it stays in the plan
     (ING-5). Order: site, then oldest date first.
@@ -51,7 +52,8 @@ def plan_daily(units: DataFrame, sites: Iterable[str] | DataFrame, as_of: dt.dat
     start = _d(as_of) - dt.timedelta(days=history_days)
     end = _d(as_of) - dt.timedelta(days=1)
     spine = date_spine(site_frame(spark, sites), start, end)
-    stored = units.where(date_between(start, end)).select("site_url", "date").distinct()
+    settled = _d(as_of) - dt.timedelta(days=settle_days + 1)
+    stored = units.where(date_between(start, min(end, settled))).select("site_url", "date").distinct()
     return spine.join(stored, ["site_url", "date"], "left_anti").orderBy("site_url", "date")
 
 

@@ -7,7 +7,8 @@ site, date, query and page, with Bloom filters on query and page. Beside it lie
 table's log (``sources.log``): a job lost half-way leaves files that nobody reads, and running it again stores the
 unit whole.
 
-A daily unit is stored once and never replaced. An hourly unit is replaced by newer commits until its rows
+A daily unit is stored once and never replaced, unless a writer says that its date is still provisional
+(``open_since``). An hourly unit is replaced by newer commits until its rows
 reach hour 23, then frozen. Both rules are applied when the commit is put, against the version it follows:
 if another writer was first, the units are looked at again, so two writers that planned from the same state
 never store a unit twice, whichever is first.
@@ -15,12 +16,14 @@ never store a unit twice, whichever is first.
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankspark.functions.predicates import iso
 from rankspark.schema import DAILY, DAILY_COLUMNS, HOURLY, HOURLY_COLUMNS, LAST_HOUR
 from rankspark.session import stored
 from rankspark.sources import rollup
@@ -32,10 +35,16 @@ CHECKPOINT_EVERY = 16  # versions that a reader may have to put together
 BLOOM = {f"parquet.bloom.filter.{k}#{c}": "true" for c in ("query", "page") for k in ("enabled", "adaptive.enabled")}
 
 
-def closed_units(store: Store, kind: str) -> DataFrame:
-    """Units that are not to be written again: stored daily ones, hourly ones that reach hour 23."""
-    units = store.units(kind)
-    return (units if kind == "daily" else units.where(F.col("max_hour") == LAST_HOUR)).select(*UNIT)
+def _closed(units: DataFrame, kind: str, open_since: dt.date | str | None) -> DataFrame:
+    if kind == "hourly":
+        return units.where(F.col("max_hour") == LAST_HOUR)
+    return units if open_since is None else units.where(F.col("date") < F.lit(iso(open_since)))
+
+
+def closed_units(store: Store, kind: str, open_since: dt.date | str | None = None) -> DataFrame:
+    """Units that are not to be written again: stored daily ones (of dates before ``open_since``, if given), hourly
+    ones that reach hour 23."""
+    return _closed(store.units(kind), kind, open_since).select(*UNIT)
 
 
 def write_batch(log: CommitLog, rows: DataFrame, sizes: DataFrame, compression: str = "snappy", rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
@@ -62,22 +71,23 @@ def write_batch(log: CommitLog, rows: DataFrame, sizes: DataFrame, compression:
     return stored(told.agg(F.sum("n_rows").alias("n_rows"), hour.alias("max_hour")).withColumn("batch", F.lit(batch)), "batch-parts")
 
 
-def commit(rows: DataFrame, sizes: DataFrame, root: str, kind: str, compression: str = "snappy") -> int:
+def commit(rows: DataFrame, sizes: DataFrame, root: str, kind: str, compression: str = "snappy",
+           open_since: dt.date | str | None = None) -> int:
     """Write ``rows`` as one batch and publish it; returns the number of units stored.
 
     ``sizes`` has the rows per day (date, n).
     """
     log = CommitLog(rows.sparkSession, root, kind)
-    return publish(log, write_batch(log, rows, sizes, compression))
+    return publish(log, write_batch(log, rows, sizes, compression), open_since)
 
 
-def publish(log: CommitLog, parts: DataFrame) -> int:
+def publish(log: CommitLog, parts: DataFrame, open_since: dt.date | str | None = None) -> int:
     """Make a written batch visible, but for units that the version before holds for good."""
     mine = parts.select(*OF_BATCH).distinct()
     while True:
         seen = log.snapshot()
         held = seen.parts().select(*OF_BATCH, "max_hour")
-        closed = held.select(*UNIT) if log.kind == "daily" else held.where(F.col("max_hour") == LAST_HOUR).select(*UNIT)
+        closed = _closed(held, log.kind, open_since).select(*UNIT)
         lost = mine.join(closed.distinct(), UNIT, "left_semi")
         replaced = held.join(mine.select(*UNIT), UNIT, "left_semi").select(*OF_BATCH).join(closed.distinct(), UNIT, "left_anti").distinct()
         dead = stored(lost.unionByName(replaced), "dead-units")
@@ -168,9 +178,12 @@ def vacuum(spark, root: str, kind: str, older_than_hours: float = 24.0) -> int:
     return gone
 
 
-def write_daily(rows: DataFrame, root: str, compression: str = "snappy") -> int:
-    """SNK-1: store the days that are not stored yet; running again with the same rows stores nothing."""
-    return _write(rows.select(*DAILY_COLUMNS), root, "daily", compression)
+def write_daily(rows: DataFrame, root: str, compression: str = "snappy", open_since: dt.date | str | None = None) -> int:
+    """SNK-1: store the days that are not stored yet; running again with the same rows stores nothing.
+
+    Days from ``open_since`` on, if given, are still provisional at the source: they are replaced.
+    """
+    return _write(rows.select(*DAILY_COLUMNS), root, "daily", compression, open_since)
 
 
 def write_hourly(rows: DataFrame, root: str, compression: str = "snappy") -> int:
@@ -178,8 +191,8 @@ def write_hourly(rows: DataFrame, root: str, compression: str = "snappy") -> int
     return _write(rows.select(*HOURLY_COLUMNS), root, "hourly", compression)
 
 
-def _write(rows: DataFrame, root: str, kind: str, compression: str) -> int:
-    closed = closed_units(Store.at(rows.sparkSession, root), kind)
+def _write(rows: DataFrame, root: str, kind: str, compression: str, open_since: dt.date | str | None = None) -> int:
+    closed = closed_units(Store.at(rows.sparkSession, root), kind, open_since)
     new = rows.join(closed, UNIT, "left_anti")
     sizes = new.groupBy("date").agg(F.count("*").alias("n"))
-    return commit(new, sizes, root, kind, compression)
+    return commit(new, sizes, root, kind, compression, open_since)

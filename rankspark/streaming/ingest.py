@@ -44,16 +44,16 @@ DROPPED = "site_url string, date string, fetch_id string, n_pages long, n_rows l
 WITH_EPOCH = T.StructType([*REF.fields, T.StructField("epoch", T.StringType())])
 
 
-def _store(pages: DataFrame, refs: DataFrame, store_root: str, kind: str, page_limit: int) -> int:
+def _store(pages: DataFrame, refs: DataFrame, store_root: str, kind: str, page_limit: int, open_since=None) -> int:
     """Store the newest complete fetch of each open unit; returns the number of units stored."""
-    closed = closed_units(Store.at(pages.sparkSession, store_root), kind)
+    closed = closed_units(Store.at(pages.sparkSession, store_root), kind, open_since)
     chosen = latest_complete_fetch(refs, page_limit).where(F.col("n_rows") > 0).join(closed, UNIT, "left_anti")
     chosen = stored(chosen, f"ingest-units-{kind}")  # a row per unit, read by all that follows
     if chosen.isEmpty():
         return 0
     flat = flatten_daily if kind == "daily" else flatten_hourly
     rows = flat(take_pages(pages, refs, chosen))
-    return commit(rows, chosen.groupBy("date").agg(F.sum("n_rows").alias("n")), store_root, kind)
+    return commit(rows, chosen.groupBy("date").agg(F.sum("n_rows").alias("n")), store_root, kind, open_since=open_since)
 
 
 class PageLog:
@@ -117,15 +117,15 @@ class PageLog:
 
 
 def process_pages(batch: DataFrame, store_root: str, kind: str, page_limit: int = PAGE_ROW_LIMIT,
-                  epoch: str = "0", expire_days: int | None = EXPIRE_DAYS) -> None:
-    """One micro-batch of landed pages -> page log and fact table."""
+                  epoch: str = "0", expire_days: int | None = EXPIRE_DAYS, open_since=None) -> None:
+    """One micro-batch of landed pages -> page log and fact table. Daily units of dates from ``open_since`` on are replaced."""
     spark = batch.sparkSession
     log = PageLog(spark, store_root, kind)
     log.append(batch, epoch)
     refs = stored(log.open_refs(), f"ingest-refs-{kind}")
-    _store(log.pages(refs), refs, store_root, kind, page_limit)
+    _store(log.pages(refs), refs, store_root, kind, page_limit, open_since)
     status = stored(fetch_status(refs, page_limit), f"ingest-status-{kind}")
-    closed = status.join(closed_units(Store.at(spark, store_root), kind), UNIT, "left_semi")
+    closed = status.join(closed_units(Store.at(spark, store_root), kind, open_since), UNIT, "left_semi")
     done = status.where("complete").select(*FETCH).unionByName(closed.select(*FETCH))
     if expire_days is not None:
         newest = status.agg(F.max("fetched_at")).first()[0]
@@ -149,7 +149,7 @@ def dropped_fetches(spark: SparkSession, store_root: str, kind: str) -> DataFram
 
 
 def _start(spark: SparkSession, landing: str, store_root: str, kind: str, checkpoint: str | None,
-           max_files_per_trigger: int | None, page_limit: int, expire_days: int | None) -> StreamingQuery:
+           max_files_per_trigger: int | None, page_limit: int, expire_days: int | None, open_since=None) -> StreamingQuery:
     reader = spark.readStream.schema(LANDED).option("columnNameOfCorruptRecord", CORRUPT)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
@@ -157,7 +157,7 @@ def _start(spark: SparkSession, landing: str, store_root: str, kind: str, checkp
     name = f"{zlib.crc32(ckpt.encode()):08x}"
 
     def each(df: DataFrame, n: int) -> None:
-        process_pages(df, store_root, kind, page_limit, f"{name}-{n:09d}", expire_days)
+        process_pages(df, store_root, kind, page_limit, f"{name}-{n:09d}", expire_days, open_since)
 
     return (
         landed_pages(reader.json(landing)).writeStream.foreachBatch(each)
@@ -169,9 +169,9 @@ def _start(spark: SparkSession, landing: str, store_root: str, kind: str, checkp
 
 def stream_daily(spark: SparkSession, landing: str, store_root: str, checkpoint: str | None = None,
                  max_files_per_trigger: int | None = None, page_limit: int = PAGE_ROW_LIMIT,
-                 expire_days: int | None = EXPIRE_DAYS) -> StreamingQuery:
-    """STR-1: each (site, date) stored once, from its newest complete fetch."""
-    return _start(spark, landing, store_root, "daily", checkpoint, max_files_per_trigger, page_limit, expire_days)
+                 expire_days: int | None = EXPIRE_DAYS, open_since=None) -> StreamingQuery:
+    """STR-1: each (site, date) stored once, from its newest complete fetch; dates from ``open_since`` on are replaced."""
+    return _start(spark, landing, store_root, "daily", checkpoint, max_files_per_trigger, page_limit, expire_days, open_since)
 
 
 def stream_hourly(spark: SparkSession, landing: str, store_root: str, checkpoint: str | None = None,

@@ -257,3 +257,22 @@ def test_dead_fetches_expire_and_are_listed(spark, tmp_path):
     land(landing, "s", "2024-01-01", "again", 0, [drow(1)], fetched_at="2024-01-09T00:00:00Z")
     stream_daily(spark, landing, root, ckpt, page_limit=3, expire_days=5).awaitTermination(300)
     assert Store.at(spark, root).daily().count() == 5 and open_fetches(spark, root, "daily", 3).count() == 0
+
+
+def test_provisional_days_are_replaced_until_they_settle(spark, tmp_path):
+    from rankspark.plans.ingest import plan_daily
+
+    landing, root, ckpt = str(tmp_path / "landing"), str(tmp_path / "store"), str(tmp_path / "ckpt")
+    for d in range(1, 5):
+        land(landing, "s", f"2024-01-0{d}", "first", 0, [drow(1)], fetched_at="2024-01-05T00:00:00Z")
+    stream_daily(spark, landing, root, ckpt).awaitTermination(300)
+    plan = plan_daily(Store.at(spark, root).units("daily"), ["s"], "2024-01-05", history_days=4, settle_days=2)
+    assert [r.date for r in plan.collect()] == ["2024-01-03", "2024-01-04"]
+    assert plan_daily(Store.at(spark, root).units("daily"), ["s"], "2024-01-05", history_days=4).count() == 0
+    for d in range(1, 5):
+        land(landing, "s", f"2024-01-0{d}", "again", 0, [drow(1, clicks=5)], fetched_at="2024-01-06T00:00:00Z")
+    stream_daily(spark, landing, root, ckpt, open_since="2024-01-03").awaitTermination(300)
+    clicks = {r.date[-1]: r.clicks for r in Store.at(spark, root).daily().collect()}
+    assert clicks == {"1": 1, "2": 1, "3": 5, "4": 5}
+    write_daily(daily(spark, [("s", "2024-01-04")], clicks=9), root, open_since="2024-01-04")
+    assert Store.at(spark, root).daily().where("clicks = 9").count() == 3 and Store.at(spark, root).daily().count() == 6
