@@ -84,7 +84,9 @@ def _check_function(spark: SparkSession, parts: list[str], tables: bool = False)
 
 
 def _leaves(df: DataFrame) -> list:
-    return [p for p in _plans(df._jdf.queryExecution().analyzed()) if p.children().isEmpty()]
+    """What an analysed plan reads, its subqueries' included."""
+    plan = df._jdf.queryExecution().analyzed()
+    return [leaf for p in [plan, *_seq(plan.subqueriesAll())] for leaf in _seq(p.collectLeaves())]
 
 
 def _below(plan) -> Iterator:
@@ -93,12 +95,6 @@ def _below(plan) -> Iterator:
     yield from (e.plan() for e in _expressions(plan) if _is_a(e, "org.apache.spark.sql.catalyst.expressions.PlanExpression"))
 
 
-def _plans(plan) -> Iterator:
-    yield plan
-    for below in _below(plan):
-        yield from _plans(below)
-
-
 def _expressions(plan) -> Iterator:
     stack = _seq(plan.expressions())
     while stack:
