@@ -288,16 +288,22 @@ def test_simhash_documents(spark):
 def plain_scores(texts, targets, word_share, pair_share):
     """Losses per token of each text under the target and the corpus model, by dictionaries."""
     ws = [(t or "").encode().lower().split() for t in texts]
-    total = sum(map(len, ws))
-    n = collections.Counter(w for x in ws for w in x)
-    ws = [[w if n[w] * word_share >= total else None for w in x] for x in ws]
-    size = len({w for w in n if n[w] * word_share >= total}) + 1
-    all_pairs = collections.Counter(p for x in ws for p in zip(x, x[1:]))
+    parts = (targets, range(len(ws)))
+
+    def often(counted, share):
+        """What makes up one in ``share`` of the target or of the corpus."""
+        totals = [sum(len(ws[i]) for i in of) for of in parts]
+        return {k for c, n in zip(counted, totals, strict=True) for k in c if c[k] * share >= n}
+
+    known = often([collections.Counter(w for i in of for w in ws[i]) for of in parts], word_share)
+    ws = [[w if w in known else None for w in x] for x in ws]
+    size = len(known) + 1
+    explicit = often([collections.Counter(p for i in of for p in zip(ws[i], ws[i][1:])) for of in parts], pair_share)
     losses = []
-    for of in (targets, range(len(ws))):
+    for of in parts:
         one = collections.Counter(w for i in of for w in ws[i])
         two = collections.Counter(p for i in of for p in zip(ws[i], ws[i][1:]))
-        two = {p: two[p] for p in all_pairs if all_pairs[p] * pair_share >= total}
+        two = {p: two[p] for p in explicit}
         uni = {w: (one[w] + lm.FLOOR) / (sum(one.values()) + lm.FLOOR * size) for x in ws for w in x}
         told = collections.Counter()
         for (v, _), c in two.items():
@@ -328,6 +334,14 @@ def test_lm_scores_equal_plain_models(spark, monkeypatch, word_share, pair_share
         assert got[i].score == pytest.approx(target_loss[i] - corpus_loss[i])
 
 
+def test_lm_keeps_the_words_of_a_small_target(spark):
+    """Target words that are rare in the corpus stay apart from the unknown class."""
+    texts = [prose(s, 300) for s in range(60)] + ["topic words that only this target has"] * 2 + ["topic words that only some other text has"]
+    t = spark.createDataFrame([(60,), (61,)], "doc_id long")
+    got = {r.doc_id: r.score for r in lm.score(docs_of(spark, texts), t, 1000, 1000).collect()}
+    assert got[62] < min(got[i] for i in range(60)) - 0.5
+
+
 def test_lm_scores(spark):
     good, bad = ["the cat sat on the mat"] * 6, ["zq xw zq vv"] * 6
     d = docs_of(spark, [None, "", *good, *bad, "the cat sat on a mat"])
