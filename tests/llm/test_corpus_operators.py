@@ -541,7 +541,7 @@ def test_registered_queries_and_oracles(spark):
     for name, fn in queries.QUERIES.items():
         df = fn(spark, SF)
         rows = df.collect()
-        if name != "op8_decontamination":
+        if name not in ("op8_decontamination", "op13_ranked_search"):
             assert len(rows) == n["pages" if name.startswith(("op2_", "op5_")) else "documents"], name
         if name in queries.ORACLES:
             res = con.execute(queries.ORACLES[name])
