@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Settings the package relies on, applied only where the session leaves them
 # unset. Dates are stored as strings, but the fixture views format timestamps,
-# so the zone is pinned. Dynamic partition overwrite is passed per write (the
-# hourly sink), never set session-wide, so other jobs' overwrites keep their mode.
+# so the zone is pinned.
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
