@@ -7,6 +7,7 @@
     python -m rankspark ingest  --store ROOT --landing DIR --kind daily|hourly [--checkpoint DIR]
     python -m rankspark fetches --store ROOT --kind daily|hourly [open|dropped]
     python -m rankspark compact --store ROOT --kind daily|hourly
+    python -m rankspark index   --store ROOT --kind daily|hourly
     python -m rankspark vacuum  --store ROOT --kind daily|hourly [hours=24]
 
 Results print as a table (``--rows`` rows) or are written with ``--out PATH``
@@ -27,6 +28,7 @@ from rankspark.api import Reports
 from rankspark.plans.ingest import plan_daily, plan_hourly
 from rankspark.session import configure
 from rankspark.sinks.fact import compact, vacuum
+from rankspark.sources.dictionary import index
 from rankspark.sources.store import Store
 
 
@@ -56,7 +58,7 @@ def _emit(df: DataFrame, args) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="rankspark")
-    ap.add_argument("command", choices=["sites", "report", "sql", "plan", "ingest", "fetches", "compact", "vacuum"])
+    ap.add_argument("command", choices=["sites", "report", "sql", "plan", "ingest", "fetches", "compact", "index", "vacuum"])
     ap.add_argument("args", nargs="*")
     ap.add_argument("--store", required=True)
     ap.add_argument("--as-of", default=None)
@@ -101,6 +103,8 @@ def main(argv: list[str] | None = None) -> int:
         _emit(fetches(spark, args.store, args.kind), args)
     elif args.command == "compact":
         print(compact(spark, args.store, args.kind), "files rewritten")
+    elif args.command == "index":
+        print(index(spark, args.store, args.kind), "batches indexed")
     elif args.command == "vacuum":
         print(vacuum(spark, args.store, args.kind, float(_params(args.args).get("hours", 24))), "deleted")
     return 0

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from rankspark.functions.predicates import floor_date
 from rankspark.operators import compare as C
 from rankspark.operators import reports as R
+from rankspark.sources.dictionary import matching
 from rankspark.sources.store import Store
 
 
@@ -39,7 +40,7 @@ class Reports:
         return R.keyword_pages(self._last(site, days), keyword, self.as_of, days=days)
 
     def search_keywords(self, site: str, pattern: str, days: int = 30) -> DataFrame:
-        return R.search_keywords(self._last(site, days), pattern, self.as_of, days=days, limit=100)
+        return R.search_keywords(matching(self.store, pattern, site=site, since=floor_date(self.as_of, days)), pattern, self.as_of, days=days, limit=100)
 
     def best_pages(self, site: str, days: int = 30, limit: int = 20) -> DataFrame:
         return R.best_pages(self._last(site, days), self.as_of, days=days, limit=limit)

@@ -166,7 +166,7 @@ def vacuum(spark, root: str, kind: str, older_than_hours: float = 24.0) -> int:
         return 0
     limit = (time.time() - older_than_hours * 3600) * 1000
     batches = {f"batch={r.batch}" for r in seen.entries("part").select("batch").distinct().collect()}  # one per write not compacted
-    keep = [(log.data(), batches), (log.rollups(), batches), (f"{log.base}/_manifests", set(seen.manifests)),
+    keep = [(log.data(), batches), (log.rollups(), batches), (f"{log.base}/_queries", batches), (f"{log.base}/_grams", batches), (f"{log.base}/_manifests", set(seen.manifests)),
             (f"{log.base}/_log", {log.entry(v).rsplit("/", 1)[1] for v in range(max(seen.checkpoint, 0), seen.version + 1)})]
     gone = 0
     for folder, needed in keep:

@@ -1,13 +1,16 @@
 """Substring search through the dictionary equals the scan; sorted results as files in order."""
 
+import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from rankspark.api import Reports
 from rankspark.operators import reports as R
 from rankspark.schema import DAILY
-from rankspark.sinks.fact import compact, write_daily
+from rankspark.sinks.fact import compact, vacuum, write_daily
 from rankspark.sinks.ordered import bounds, read_ordered, write_ordered
 from rankspark.sources.dictionary import MODES, index, matching, pieces
 from rankspark.sources.store import Store
@@ -54,7 +57,13 @@ def test_facts_are_read_for_hits_only(spark, facts, tmp_path):
     assert sorted(map(tuple, R.search_keywords(found, "%on day 3%", "2024-01-20", days=30).collect())) == \
         sorted(map(tuple, R.search_keywords(store.daily(), "%on day 3%", "2024-01-20", days=30).collect()))
     compact(spark, root, "daily")
-    assert index(spark, root, "daily") == 1 and matching(Store.at(spark, root), "%on day 3%").count() == found.count()
+    by_report = Reports(store, dt.date(2024, 1, 20)).search_keywords("s", "%on day 3%", days=30)
+    assert sorted(map(tuple, by_report.collect())) == sorted(map(tuple, R.search_keywords(store.daily("s"), "%on day 3%", "2024-01-20", days=30).collect()))
+    n = found.count()
+    assert index(spark, root, "daily") == 1 and matching(Store.at(spark, root), "%on day 3%").count() == n
+    vacuum(spark, root, "daily", older_than_hours=-1)
+    assert [len(os.listdir(f"{root}/daily/{part}")) for part in ("data", "_rollups", "_queries", "_grams")] == [1] * 4
+    assert matching(Store.at(spark, root), "%on day 3%").count() == n
 
 
 def test_pieces():
