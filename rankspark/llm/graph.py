@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import stored
+from rankspark.llm.common import release, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,6 +26,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         smaller = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stored(smaller.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "graph-edges")
         same = new.count() == e.count() and new.join(e, ["u", "v"], "left_anti").isEmpty()
+        release(large)
+        release(e)
         e = new
         if same:
             break

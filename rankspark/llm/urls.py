@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import stored
+from rankspark.llm.common import release, stored
 
 RULES = [  # fixed values: rule, verdict
     ("org/", "allow"),
@@ -87,7 +87,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, sett
     """
     flows = stored(_flows(edges), "url-flows")
     start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-    state = stored(start, "url-rank")
+    table = state = stored(start, "url-rank")
     none = F.lit(0.0)
     while True:
         moved = (
@@ -98,8 +98,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, sett
         new = moved.unionByName(start.withColumn("was", none)).unionByName(kept)
         new = stored(new.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")), "url-rank")
         moving = new.where(F.abs(F.col("score") - F.col("was")) > settled * F.col("score"))
-        state = new.drop("was")
-        if moving.isEmpty():
+        done = moving.isEmpty()
+        release(table)
+        table, state = new, new.drop("was")
+        if done:
             return state
 
 

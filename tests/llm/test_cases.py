@@ -146,3 +146,21 @@ def test_pipeline_runs_on_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{src}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{src}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_superseded_rounds_are_deleted(spark):
+    import os
+
+    from rankspark.llm.graph import components
+    from rankspark.session import checkpoint_root
+
+    folder = checkpoint_root(spark).removeprefix("file://")
+    count = lambda: sum(n.startswith(("graph-", "url-rank")) for n in os.listdir(folder))
+    before = count()
+    chain = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
+    assert {r.root for r in components(chain).collect()} == {0}
+    assert count() == before + 1
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(30)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("distrust", "h30", 1.0)], "kind string, host string, seed double")
+    assert urls.propagate(edges, seeds).count() == 31
+    assert count() == before + 2
