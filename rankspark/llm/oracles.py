@@ -9,16 +9,22 @@ GAP = r"[ \t\n\v\f\r]"
 
 def quality_rules(docs: str = "documents") -> str:
     """Rows of op1_quality_rules over the relation ``docs``."""
-    outside = []
-    for m, (least, both) in quality.MEASURES.items():
-        spread = f"{quality.REACH} * greatest(q3 - q1, {least})"
-        low = f" OR v < q1 - {spread}" if both else ""
-        outside.append(f"(measure = '{m}' AND (v > q3 + {spread}{low}))")
-    quart = lambda keys: (
-        f"SELECT {keys}measure, max(docs) AS docs, min(CASE WHEN 4 * up_to >= docs THEN bucket END) AS q1, "
-        f"min(CASE WHEN 4 * up_to >= 3 * docs THEN bucket END) AS q3 FROM (SELECT {keys}measure, bucket, "
+    outside, tails = [], []
+    for m, (tail, reach, least, both) in quality.MEASURES.items():
+        low = f" OR v < mid - {reach} * greatest(mid - low, {least})" if both else ""
+        outside.append(f"(measure = '{m}' AND (v > mid + {reach} * greatest(high - mid, {least}){low}))")
+        tails.append(f"WHEN '{m}' THEN {tail}")
+    tail = f"CASE measure {' '.join(tails)} END"
+    quant = lambda keys: (
+        f"SELECT {keys}measure, max(docs) AS docs, min(CASE WHEN 1000 * up_to >= (1000 - {tail}) * docs THEN bucket END) AS low, "
+        f"min(CASE WHEN 2 * up_to >= docs THEN bucket END) AS mid, min(CASE WHEN 1000 * up_to >= {tail} * docs THEN bucket END) AS high "
+        f"FROM (SELECT {keys}measure, bucket, "
         f"sum(sum(n)) OVER (PARTITION BY {keys}measure ORDER BY bucket) AS up_to, sum(sum(n)) OVER (PARTITION BY {keys}measure) AS docs "
         f"FROM buckets GROUP BY {keys}measure, bucket) GROUP BY {keys}measure")
+    k = quality.WEIGHT
+    drawn = lambda docs, q, wider: f"({docs} * {q} + {k} * {wider}) // ({docs} + {k})"
+    of_lang = ", ".join(f"{drawn('l.docs', f'l.{q}', f'o.{q}')} AS {q}" for q in ("low", "mid", "high"))
+    of_own = ", ".join(f"{drawn('own.docs', f'own.{q}', f'g.{q}')} AS {q}" for q in ("low", "mid", "high"))
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, row_number() OVER () AS rn FROM {docs}),
 w AS (SELECT *, [x for x in regexp_split_to_array(t, '{GAP}+') if x <> ''] AS ws,
@@ -36,15 +42,13 @@ m AS (SELECT *, word_chars * 100 // greatest(n_words, 1) AS word_len, n_symbols
              n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines, n_repeat_words * 1000 // greatest(n_words, 1) AS repeats,
              (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PCT} * n_words) AS base_failed FROM c),
 long AS (SELECT rn, lang, source, x.measure, x.v FROM (SELECT rn, lang, source,
-         unnest([{', '.join(f"{{'measure': '{k}', 'v': {k}}}" for k in quality.MEASURES)}]) AS x FROM m WHERE n_words > 0)),
+         unnest([{', '.join(f"{{'measure': '{k}', 'v': {k}}}" for k in quality.MEASURES)}]) AS x FROM m WHERE NOT base_failed)),
 buckets AS (SELECT lang, source, measure, (v // (1::BIGINT << greatest(length(bin(v)) - 6, 0))) * (1::BIGINT << greatest(length(bin(v)) - 6, 0)) AS bucket,
             count(*) AS n FROM long GROUP BY ALL),
-own AS ({quart('lang, source, ')}), by_lang AS ({quart('lang, ')}), overall AS ({quart('')}),
-picked AS (SELECT own.lang, own.source, own.measure,
-             CASE WHEN own.docs >= {quality.MIN_DOCS} THEN own.q1 WHEN by_lang.docs >= {quality.MIN_DOCS} THEN by_lang.q1 ELSE overall.q1 END AS q1,
-             CASE WHEN own.docs >= {quality.MIN_DOCS} THEN own.q3 WHEN by_lang.docs >= {quality.MIN_DOCS} THEN by_lang.q3 ELSE overall.q3 END AS q3
-           FROM own JOIN by_lang ON own.lang IS NOT DISTINCT FROM by_lang.lang AND own.measure = by_lang.measure
-                    JOIN overall ON own.measure = overall.measure),
+own AS ({quant('lang, source, ')}), by_lang AS ({quant('lang, ')}), overall AS ({quant('')}),
+wide AS (SELECT l.lang, l.measure, {of_lang} FROM by_lang l JOIN overall o ON l.measure = o.measure),
+picked AS (SELECT own.lang, own.source, own.measure, {of_own}
+           FROM own JOIN wide g ON own.lang IS NOT DISTINCT FROM g.lang AND own.measure = g.measure),
 bad AS (SELECT DISTINCT rn FROM long JOIN picked p ON long.lang IS NOT DISTINCT FROM p.lang AND long.source IS NOT DISTINCT FROM p.source
         AND long.measure = p.measure WHERE {' OR '.join(o.replace('measure =', 'long.measure =') for o in outside)})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -3,9 +3,12 @@
 Every document is measured once with array functions. Each measure is turned into an integer and
 counted in a quantile sketch: a histogram whose buckets keep the leading six bits of a value, so the
 relative error of a quantile is below 1/32 and two sketches merge by adding counts. Sketches are
-built per (lang, source) and merged into one per language and one overall; a group with fewer than
-``min_docs`` documents uses the next merged sketch. A document is rejected when a measure lies
-outside the quartiles by more than ``reach`` times the quartile distance of its group.
+built per (lang, source) from the documents that pass the base rules, and merged into one per language
+and one overall. A limit is the median of the group's sketch plus ``reach`` times the distance from there
+to an upper quantile (to a lower one, where low values are rejected too). The quantiles of a group of n
+documents are drawn towards those of its language by n : ``weight``, and those of a language towards the
+whole in the same way, so a small group moves to its own limits as it grows and nothing switches over.
+Only where a group has no tail at all does the distance become a stated least one.
 
 Cases: a null text has no words (all counts 0, base_failed); null lang or source form groups of
 their own; repeated rows are judged alike, each on its own; an empty table gives no rows; other
@@ -24,15 +27,14 @@ MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
 SYMBOLS = "[#*$%&|<>]"
 
-#: measure -> (smallest quartile distance taken, whether low values are rejected too)
+#: measure -> (quantile of the tail per 1000, reach, least distance taken, whether low values are rejected too)
 MEASURES = {
-    "word_len": (70, True),  # mean word length, in hundredths of a character
-    "symbols": (10, False),  # symbols per 1000 characters in words
-    "dup_lines": (120, False),  # repeated lines per 1000 lines
-    "repeats": (60, False),  # words in repeated windows per 1000 words
+    "word_len": (950, 3, 10, True),  # mean word length, in hundredths of a character
+    "symbols": (900, 3, 10, False),  # symbols per 1000 characters in words
+    "dup_lines": (990, 2, 60, False),  # repeated lines per 1000 lines
+    "repeats": (990, 2, 30, False),  # words in repeated windows per 1000 words
 }
-REACH = 3
-MIN_DOCS = 200
+WEIGHT = 200  # documents that the wider sketch counts for
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -87,7 +89,7 @@ def sketch(measured: DataFrame, lang: Column, source: Column) -> DataFrame:
     """One row per (lang, source, measure, bucket) with its count of documents."""
     values = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES)))
     return (
-        measured.where(F.col("n_words") > 0)
+        measured.where(~F.col("base_failed"))
         .select(lang.alias("lang"), source.alias("source"), values.alias("m"))
         .select("lang", "source", "m.measure", F.expr("greatest(length(bin(m.v)) - 6, 0)").alias("shift"), "m.v")
         .groupBy("lang", "source", "measure", F.expr("shiftleft(shiftright(v, shift), shift)").alias("bucket"))
@@ -95,50 +97,51 @@ def sketch(measured: DataFrame, lang: Column, source: Column) -> DataFrame:
     )
 
 
-def _quartiles(buckets: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles of each merged sketch: one row per ``keys`` and measure."""
+def _quantiles(buckets: DataFrame, keys: list[str]) -> DataFrame:
+    """Lower tail, median and upper tail of each merged sketch: one row per ``keys`` and measure."""
     merged = buckets.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")  # at most a few hundred buckets
+    tail = F.create_map(*(F.lit(x) for m, (per_mille, *_) in MEASURES.items() for x in (m, per_mille)))[F.col("measure")]
     ranked = merged.select(
         "*",
         F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("up_to"),
         F.sum("n").over(group).alias("docs"),
+        tail.alias("tail"),
     )
-    at = lambda part: F.min(F.when(4 * F.col("up_to") >= part * F.col("docs"), F.col("bucket")))
-    return ranked.groupBy(*keys, "measure").agg(F.max("docs").alias("docs"), at(1).alias("q1"), at(3).alias("q3"))
+    at = lambda part: F.min(F.when(1000 * F.col("up_to") >= part * F.col("docs"), F.col("bucket")))
+    return ranked.groupBy(*keys, "measure").agg(
+        F.max("docs").alias("docs"), at(1000 - F.col("tail")).alias("low"), at(F.lit(500)).alias("mid"), at(F.col("tail")).alias("high"))
 
 
-def thresholds(buckets: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS) -> DataFrame:
+def thresholds(buckets: DataFrame, weight: int = WEIGHT) -> DataFrame:
     """Lowest and highest accepted value of each measure, one row per (lang, source)."""
-    own, by_lang, overall = (_quartiles(buckets, k) for k in (["lang", "source"], ["lang"], []))
-    q = lambda df, name: F.struct(*(df[c] for c in ("q1", "q3"))).alias(name)
-    own = own.select("lang", "source", "measure", "docs", q(own, "own"))
-    by_lang = by_lang.select(F.col("lang").alias("l"), F.col("measure").alias("ml"), F.col("docs").alias("lang_docs"), q(by_lang, "by_lang"))
-    overall = overall.select(F.col("measure").alias("mo"), q(overall, "overall"))
-    picked = (
+    own, by_lang, overall = (_quantiles(buckets, k) for k in (["lang", "source"], ["lang"], []))
+    by_lang = by_lang.select(F.col("lang").alias("l"), F.col("measure").alias("ml"), *(F.col(c).alias(f"lang_{c}") for c in ("docs", "low", "mid", "high")))
+    overall = overall.select(F.col("measure").alias("mo"), *(F.col(c).alias(f"all_{c}") for c in ("low", "mid", "high")))
+    drawn = lambda docs, q, wider: F.expr(f"({docs} * {q} + {weight} * {wider}) div ({docs} + {weight})")
+    joined = (
         own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("ml")))
         .join(overall, F.col("measure") == F.col("mo"))
-        .select("lang", "source", "measure",
-                F.when(F.col("docs") >= min_docs, F.col("own")).when(F.col("lang_docs") >= min_docs, F.col("by_lang")).otherwise(F.col("overall")).alias("q"))
+        .withColumns({f"lang_{q}": drawn("lang_docs", f"lang_{q}", f"all_{q}") for q in ("low", "mid", "high")})
+        .withColumns({q: drawn("docs", q, f"lang_{q}") for q in ("low", "mid", "high")})
     )
     columns = []
-    for m, (least, both) in MEASURES.items():
-        spread = reach * F.greatest(F.col("q.q3") - F.col("q.q1"), F.lit(least))
+    for m, (_, reach, least, both) in MEASURES.items():
         pick = lambda v, m=m: F.max(F.when(F.col("measure") == m, v))
-        columns.append(pick(F.col("q.q3") + spread).alias(f"{m}_most"))
+        columns.append(pick(F.col("mid") + reach * F.greatest(F.col("high") - F.col("mid"), F.lit(least))).alias(f"{m}_most"))
         if both:
-            columns.append(pick(F.col("q.q1") - spread).alias(f"{m}_least"))
-    return picked.groupBy("lang", "source").agg(*columns)
+            columns.append(pick(F.col("mid") - reach * F.greatest(F.col("mid") - F.col("low"), F.lit(least))).alias(f"{m}_least"))
+    return joined.groupBy("lang", "source").agg(*columns)
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
-          reach: int = REACH, min_docs: int = MIN_DOCS) -> DataFrame:
+          weight: int = WEIGHT) -> DataFrame:
     """``row`` (the input row), the counts, ``base_failed`` and ``kept``, one row per document."""
     m = stored(measure(docs, text), "quality-measures")
-    limits = stored(thresholds(sketch(m, F.col("row")[lang], F.col("row")[source]), reach, min_docs), "quality-limits")
+    limits = stored(thresholds(sketch(m, F.col("row")[lang], F.col("row")[source]), weight), "quality-limits")
     limits = limits.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     ok = F.lit(True)
-    for name, (_, both) in MEASURES.items():
+    for name, (*_, both) in MEASURES.items():
         ok = ok & F.coalesce(F.col(name) <= F.col(f"{name}_most"), F.lit(True))
         if both:
             ok = ok & F.coalesce(F.col(name) >= F.col(f"{name}_least"), F.lit(True))

@@ -72,6 +72,69 @@ def test_quality_null_groups_and_empty(spark):
     assert quality.judge(d.limit(0)).count() == 0
 
 
+def plain_limits(docs, weight):
+    """(lang, source) -> measure -> (least, most) from exact lists of bucketed measures."""
+    def bucket(v):
+        shift = max(v.bit_length() - 6, 0) if v else 0
+        return v >> shift << shift
+
+    def tails(vs, per_mille):
+        vs = sorted(vs)
+        return [vs[-(-p * len(vs) // 1000) - 1] for p in (1000 - per_mille, 500, per_mille)]
+
+    out = {}
+    for m, (per_mille, reach, least, _) in quality.MEASURES.items():
+        groups = collections.defaultdict(list)
+        for r in docs:
+            for key in ((r.lang, r.source), r.lang, "all"):
+                groups[key].append(bucket(r[m]))
+        draw = lambda vs, wider: [(len(vs) * a + weight * b) // (len(vs) + weight) for a, b in zip(tails(vs, per_mille), wider, strict=True)]
+        for key in {(r.lang, r.source) for r in docs}:
+            low, mid, high = draw(groups[key], draw(groups[key[0]], tails(groups["all"], per_mille)))
+            out.setdefault(key, {})[m] = (mid - reach * max(mid - low, least), mid + reach * max(high - mid, least))
+    return out
+
+
+def test_quality_limits_follow_their_group(spark):
+    rows, k = [], 0
+    for lang, source, n, size, noisy in (("en", "a", 300, 4, 0), ("en", "b", 120, 9, 40), ("de", "a", 250, 12, 0), (None, "c", 30, 6, 10), ("de", None, 5, 3, 5)):
+        for j in range(n):
+            r = random.Random(k)
+            ws = ["".join(r.choices(string.ascii_lowercase, k=max(1, size + r.randint(-2, 2)))) for _ in range(60)]
+            if j < noisy:
+                ws[: 5 + j % 20] = ["#" + w for w in ws[: 5 + j % 20]]
+            lines = [" ".join(ws[i : i + 10]) for i in range(0, 60, 10)] + [" ".join(ws[:10])] * (j % 7 == 0) * (size > 8)
+            rows.append((k, "\n".join(lines), lang, source, 0, None, "r", "x", 7))
+            k += 1
+    d = spark.createDataFrame(rows, DOC)
+    m = quality.measure(d)
+    flat = m.select("row.doc_id", "row.lang", "row.source", "base_failed", *quality.MEASURES)
+    docs = [r for r in flat.collect() if not r.base_failed]
+    for weight in (1, quality.WEIGHT):
+        want = plain_limits(docs, weight)
+        got = {(r.lang, r.source): r for r in quality.thresholds(quality.sketch(m, F.col("row.lang"), F.col("row.source")), weight).collect()}
+        assert got.keys() == want.keys()
+        for key, limits in want.items():
+            for name, (least, most) in limits.items():
+                assert got[key][f"{name}_most"] == most
+                if quality.MEASURES[name][3]:
+                    assert got[key][f"{name}_least"] == least
+    for name in quality.MEASURES:  # every measure has groups with limits of their own, above the least distance
+        assert len({limits[name][1] for limits in want.values()}) > 1, name
+    inside = {r.doc_id for r in docs if all((lo <= r[n] or not quality.MEASURES[n][3]) and r[n] <= hi for n, (lo, hi) in want[r.lang, r.source].items())}
+    assert {r.doc_id for r in quality.judge(d).where("kept").select("row.doc_id").collect()} == inside
+
+
+def test_quality_rows_that_agree_are_judged_alike(spark):
+    texts = [prose(s, 60) for s in range(40)] + [None, prose(3, 60), prose(3, 60), "x " * 30]
+    d = docs_of(spark, texts, [*range(40), 40, 3, 3, 41])
+    got = collections.defaultdict(list)
+    for r in quality.judge(d).select("row.doc_id", "row.text", "n_words", "kept").collect():
+        got[r.doc_id].append(r)
+    assert len(got[3]) == 3 and len(set(got[3])) == 1 and got[3][0].kept
+    assert got[40][0].n_words == 0 and not got[40][0].kept and not got[41][0].kept
+
+
 def test_quantile_sketch_is_mergeable(spark):
     d = docs_of(spark, [prose(s, 30 + s) for s in range(60)])
     m = quality.measure(d)
