@@ -31,11 +31,16 @@ def _stream(spark, work, kind, page_limit=PAGE_ROW_LIMIT):
     return Store.at(spark, f"{work}/store").table(kind)
 
 
+def _land(pages, work):
+    """Write pages as a fetcher lands them: JSON, compressed as a fetcher would keep what it got over the wire."""
+    pages.write.mode("append").option("compression", "gzip").json(f"{work}/landing")
+
+
 def round_trip(spark, facts, kind, page_limit=PAGE_ROW_LIMIT):
     """Replay ``facts`` as landed pages and stream them into a fresh store."""
     work = scratch_path(spark, f"ingest-{kind}")
     pages = to_response_pages(facts, kind, fetch_id=f"replay-{kind}", hour_offset="-07:00", page_limit=page_limit)
-    pages.write.json(f"{work}/landing")
+    _land(pages, work)
     return _stream(spark, work, kind, page_limit)
 
 
@@ -66,11 +71,11 @@ def q_ingest_daily_pages(spark, sf_dir):
         "*", F.lit("empty").alias("fetch_id"), F.lit(0).cast("bigint").alias("start_row"),
         F.lit("2000-01-01").cast("timestamp").alias("fetched_at"), F.array().cast(RAW_PAGE["rows"].dataType).alias("rows"))
     again = pages.where(F.col("date").like("%-02"))
-    pages.unionByName(empty).unionByName(again).write.json(f"{work}/landing")
+    _land(pages.unionByName(empty).unionByName(again), work)
     _stream(spark, work, "daily", SMALL_PAGE)
     late = to_response_pages(facts.where(F.col("date").like("%-0_")).withColumn("clicks", F.col("clicks") + 1), "daily",
                              fetch_id="late", fetched_at="2001-01-01 00:00:00", page_limit=SMALL_PAGE)
-    late.write.mode("append").json(f"{work}/landing")
+    _land(late, work)
     return _stream(spark, work, "daily", SMALL_PAGE)
 
 
@@ -87,7 +92,7 @@ def q_ingest_hourly_replaced(spark, sf_dir):
     facts = Store.fixtures(spark, sf_dir).hourly()
     fetches = [("noon", facts.where("hour <= 12")), ("whole", facts), ("late", facts.withColumn("clicks", F.col("clicks") + 100))]
     for i, (fetch, rows) in enumerate(fetches):
-        to_response_pages(rows, "hourly", fetch_id=fetch, fetched_at=f"2000-01-0{i + 1} 00:00:00").write.mode("append").json(f"{work}/landing")
+        _land(to_response_pages(rows, "hourly", fetch_id=fetch, fetched_at=f"2000-01-0{i + 1} 00:00:00"), work)
         out = _stream(spark, work, "hourly")
     return out
 

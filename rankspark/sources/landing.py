@@ -7,7 +7,7 @@ with bounded fan-out, and no operation here ever gathers a whole day.
 
 Which pages count is decided on *references*: a row per page with its size, a digest of its rows and where it
 lies (file and row). The pages themselves are written once as they come and read once, those of chosen fetches
-only, by a semi-join with the chosen references; no page takes part in a shuffle.
+only, by a join with masks of the chosen references; no page takes part in a shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankspark.schema import DAILY_COLUMNS, DIMENSIONS, HOURLY_COLUMNS, PAGE_ROW_LIMIT, RAW_PAGE
+from rankspark.schema import DAILY_COLUMNS, HOURLY_COLUMNS, PAGE_ROW_LIMIT, RAW_PAGE
 from rankspark.session import stored
 
 UNIT = ["site_url", "date"]
@@ -159,15 +159,21 @@ def latest_complete_fetch(raw: DataFrame, page_limit: int = PAGE_ROW_LIMIT) -> D
         *UNIT, F.col("pick.fetch_id").alias("fetch_id"), F.col("pick.n_rows").alias("n_rows"))
 
 
-REFS_BROADCAST = 500_000  # references (some 50 bytes each) that are sent to every task
+MASKS_BROADCAST = 500_000  # masks of 64 references (some 100 bytes each) that are sent to every task
 
 
 def take_pages(pages: DataFrame, refs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The stored pages of the ``chosen`` fetches, one copy each; ``refs`` are their references."""
-    wanted = stored(_one_copy(refs.join(chosen.select(*FETCH), FETCH, "left_semi")).where("good").select(*PLACE), "chosen-pages")
-    if wanted.count() <= REFS_BROADCAST:
-        wanted = F.broadcast(wanted)
-    return pages.select(*RAW_PAGE.fieldNames(), *_place()).join(wanted, PLACE, "left_semi").select(*RAW_PAGE.fieldNames())
+    """The stored pages of the ``chosen`` fetches, one copy each; ``refs`` are their references.
+
+    The places wanted are sent as masks, a bit for each of 64 neighbouring rows of a file.
+    """
+    wanted = _one_copy(refs.join(chosen.select(*FETCH), FETCH, "left_semi")).where("good")
+    block = F.shiftright("row", 6).alias("block")
+    masks = stored(wanted.groupBy("file", block).agg(F.expr("bit_or(shiftleft(1L, int(row & 63)))").alias("mask")), "chosen-pages")
+    if masks.count() <= MASKS_BROADCAST:
+        masks = F.broadcast(masks)
+    placed = pages.select(*RAW_PAGE.fieldNames(), *_place()).select("*", block).join(masks, ["file", "block"])
+    return placed.where("getbit(mask, int(row & 63)) = 1").select(*RAW_PAGE.fieldNames())
 
 
 def assemble_pages(raw: DataFrame, page_limit: int = PAGE_ROW_LIMIT, chosen: DataFrame | None = None) -> DataFrame:
@@ -194,6 +200,9 @@ def incomplete_fetches(status: DataFrame, page_limit: int = PAGE_ROW_LIMIT) -> D
     return status.where(~F.col("complete")).select(*FETCH, "n_pages", "n_rows", "fetched_at", problem.alias("problem"))
 
 
+BUCKET_ROWS = 100_000  # rows of a day that are put in order together, or those of a page if that has more
+
+
 def to_response_pages(fact: DataFrame, kind: str = "daily", fetch_id: str = "replay",
                       fetched_at: str = "2000-01-01 00:00:00", hour_offset: str = "+00:00",
                       page_limit: int = PAGE_ROW_LIMIT) -> DataFrame:
@@ -204,21 +213,19 @@ def to_response_pages(fact: DataFrame, kind: str = "daily", fetch_id: str = "rep
     pages of at most ``page_limit`` rows with contiguous start rows, plus an
     empty closing page after a full last page, exactly as the source pages.
 
-    Rows are numbered without ever sorting a whole day in one task: each day is
-    split into hash buckets of about one page, rows are numbered inside their
-    bucket, and each bucket's offset is the running total of the bucket sizes
-    before it (a window over per-bucket counts, one small row per bucket).
-    Pages are then gathered by (site, date, page), at most ``page_limit`` rows
-    each, so one very large day spreads over many tasks.
+    Rows are numbered without ever sorting a large day in one task: a day of more than BUCKET_ROWS rows is
+    split into hash buckets of about that size, rows are numbered inside their bucket, and each bucket's
+    offset is the running total of the bucket sizes before it (a window over per-bucket counts, one small
+    row per bucket). A row is shuffled once, to its bucket, where the pages that lie in it are gathered;
+    only the rows of pages over the edge of two buckets move again, to (site, date, page).
     """
     dims = [F.col(c) for c in ("query", "page", "device", "country")]
     if kind == "hourly":
         hour_key = F.concat(F.col("date"), F.lit("T"), F.lpad(F.col("hour").cast("string"), 2, "0"),
                             F.lit(":00:00" + hour_offset))
-        keys, order = F.array(hour_key, *dims), ["hour", *DIMENSIONS]
+        keys = F.array(hour_key, *dims)
     else:
-        keys, order = F.array(*dims), list(DIMENSIONS)
-    measures = ["clicks", "impressions", "ctr", "position"]
+        keys = F.array(*dims)
     row = F.struct(
         keys.alias("keys"),
         F.col("clicks").cast("double").alias("clicks"),
@@ -226,26 +233,36 @@ def to_response_pages(fact: DataFrame, kind: str = "daily", fetch_id: str = "rep
         F.col("ctr").cast("double").alias("ctr"),
         F.col("position").cast("double").alias("position"),
     )
-    day_sizes = fact.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"))
-    n_buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(page_limit))).cast("long")
-    bucket = F.pmod(F.xxhash64(*order, *measures), n_buckets).alias("bucket")
-    rows = fact.join(day_sizes, UNIT).select(*UNIT, bucket, row.alias("row"), *order, *measures)
-
-    in_bucket = Window.partitionBy(*UNIT, "bucket").orderBy(
-        *[F.asc_nulls_last(c) for c in order], *measures)
-    numbered = rows.select(*UNIT, "bucket", "row", (F.row_number().over(in_bucket) - 1).alias("j"))
-    sizes = numbered.groupBy(*UNIT, "bucket").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.partitionBy(*UNIT).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*UNIT, "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    indexed = numbered.join(offsets, [*UNIT, "bucket"]).select(
-        *UNIT, "row", (F.col("offset") + F.col("j")).alias("i"))
-
-    pages = indexed.groupBy(*UNIT, F.floor(F.col("i") / page_limit).alias("page_no")).agg(
-        F.array_sort(F.collect_list(F.struct("i", "row"))).alias("numbered"))
-    pages = pages.select(
-        *UNIT, (F.col("page_no") * page_limit).cast("bigint").alias("start_row"),
-        F.transform("numbered", lambda x: x["row"]).alias("rows"))
-    closing = day_sizes.where(F.col("n") % page_limit == 0).select(
+    size = max(page_limit, BUCKET_ROWS)
+    # Stored, so that Spark knows how small it is and the facts need no shuffle to meet it.
+    days = stored(fact.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n")), "page-days")
+    rows = fact.select(*UNIT, row.alias("row")).join(days, UNIT)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / size)))
+
+    split = not days.where(F.col("n") > size).isEmpty()
+    if split:
+        before = Window.partitionBy(*UNIT).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = rows.where(F.col("n") > size).groupBy(*UNIT, "bucket").agg(F.count(F.lit(1)).alias("size"))
+        sizes = stored(sizes.select("*", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset")), "page-buckets")
+        rows = rows.join(sizes, [*UNIT, "bucket"], "left")
+    start = F.coalesce("offset", F.lit(0)) if split else F.lit(0)
+    in_bucket = Window.partitionBy(*UNIT, "bucket").orderBy("row.keys", "row.clicks", "row.impressions", "row.ctr", "row.position")
+    indexed = rows.withColumn("i", start + F.row_number().over(in_bucket) - 1).withColumn("page_no", F.floor(F.col("i") / page_limit))
+
+    def gathered(part: DataFrame, *by: str) -> DataFrame:
+        pages = part.groupBy(*UNIT, *by, "page_no").agg(F.array_sort(F.collect_list(F.struct("i", "row"))).alias("numbered"))
+        return pages.select(
+            *UNIT, (F.col("page_no") * page_limit).cast("bigint").alias("start_row"),
+            F.transform("numbered", lambda x: x["row"]).alias("rows"))
+
+    if split:
+        first = F.col("page_no") * page_limit
+        end = F.least(first + page_limit, F.col("n"))
+        over_edge = F.col("size").isNotNull() & ((first < F.col("offset")) | (end > F.col("offset") + F.col("size")))
+        pages = gathered(indexed.where(~over_edge), "bucket").unionByName(gathered(indexed.where(over_edge)))
+    else:
+        pages = gathered(indexed, "bucket")
+    closing = days.where(F.col("n") % page_limit == 0).select(
         *UNIT, F.col("n").cast("bigint").alias("start_row"),
         F.array().cast(RAW_PAGE["rows"].dataType).alias("rows"))
     out = pages.unionByName(closing)

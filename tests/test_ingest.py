@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankspark.plans.ingest import plan_daily
-from rankspark.schema import PAGE_ROW_LIMIT
+from rankspark.schema import PAGE_ROW_LIMIT, RAW_PAGE
 from rankspark.sinks.export import archive, csv_frame, export_csv, nan_to_null
 from rankspark.sources.landing import (
     assemble_pages, fetch_status, flatten_daily, flatten_hourly, hour_of_key, read_landing,
@@ -289,3 +289,31 @@ def test_stream_one_file_per_batch(spark, tmp_path):
     d = Store.at(spark, root).daily()
     assert {r.date: r.n for r in d.groupBy("date").agg(F.count("*").alias("n")).collect()} == \
         {"2024-01-01": PAGE_ROW_LIMIT + 2, "2024-01-02": 1}
+
+
+def test_replayed_rows_are_shuffled_once(spark, monkeypatch):
+    from rankspark.schema import DAILY
+    from rankspark.sources import landing
+
+    rows = [("s", f"2024-01-{d:02d}", f"q{i % 90}", f"/p{i}", "M", "twn", i % 5, i, 0.5, float(i % 7)) for d in (1, 2) for i in range(d * 150)]
+    facts = spark.createDataFrame(rows + rows[:1] * 3, DAILY)
+    whole = landing.to_response_pages(facts, page_limit=7)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # before: 4 shuffles of all rows, to join sizes, number, join offsets and gather
+    monkeypatch.setattr(landing, "BUCKET_ROWS", 20)
+    for pages in (whole, landing.to_response_pages(facts, page_limit=7)):  # the second has pages over the edges of buckets
+        sizes = {(r.date, r.start_row): len(r.rows) for r in pages.collect()}
+        assert sizes == {(d, i): min(7, n - i) for d, n in (("2024-01-01", 153), ("2024-01-02", 300)) for i in range(0, n, 7)}
+        assert pages.schema.simpleString() == RAW_PAGE.simpleString()
+        back = landing.flatten_daily(pages)
+        assert back.exceptAll(facts).isEmpty() and facts.exceptAll(back).isEmpty()
+
+
+def test_landed_replay_is_compressed(spark, tmp_path):
+    from rankspark.queries.ingest import _land
+
+    _land(spark.createDataFrame([], RAW_PAGE), str(tmp_path))
+    _land(spark.createDataFrame([("s", "2024-01-01", "f", 0, None, [])], RAW_PAGE), str(tmp_path))
+    names = [n for n in os.listdir(tmp_path / "landing") if n.startswith("part-")]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    assert spark.read.schema(RAW_PAGE).json(str(tmp_path / "landing")).count() == 1

@@ -6,7 +6,7 @@ import threading
 
 from pyspark.sql import functions as F
 
-from rankspark.schema import DAILY, HOURLY
+from rankspark.schema import DAILY, HOURLY, RAW_PAGE
 from rankspark.sinks import fact
 from rankspark.sinks.fact import compact, publish, vacuum, write_batch, write_daily, write_hourly
 from rankspark.sources.landing import assemble_pages, fetch_status, flatten_daily, page_refs, read_landing, sized, take_pages
@@ -276,3 +276,19 @@ def test_provisional_days_are_replaced_until_they_settle(spark, tmp_path):
     assert clicks == {"1": 1, "2": 1, "3": 5, "4": 5}
     write_daily(daily(spark, [("s", "2024-01-04")], clicks=9), root, open_since="2024-01-04")
     assert Store.at(spark, root).daily().where("clicks = 9").count() == 3 and Store.at(spark, root).daily().count() == 6
+
+
+def test_chosen_pages_are_sent_as_masks(spark, tmp_path, monkeypatch):
+    from rankspark.sources import landing
+
+    rows = [("s", f"2024-01-{1 + i % 28:02d}", f"f{i % 3}", i, None, []) for i in range(400)]
+    pages = stored(sized(spark.createDataFrame(rows, RAW_PAGE).coalesce(1)), "pages")
+    refs = page_refs(pages)
+    chosen = refs.where("fetch_id != 'f1'").select("site_url", "date", "fetch_id").distinct()
+    want = sorted(r[3] for r in rows if r[2] != "f1")
+    monkeypatch.setattr(landing, "MASKS_BROADCAST", 7)  # 267 references in one file lie in 7 masks
+    got = take_pages(pages, refs, chosen)
+    assert sorted(r.start_row for r in got.collect()) == want
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString() and not got.isEmpty()
+    monkeypatch.setattr(landing, "MASKS_BROADCAST", 0)
+    assert sorted(r.start_row for r in take_pages(pages, refs, chosen).collect()) == want
