@@ -397,6 +397,44 @@ def test_lm_scores_equal_plain_models(spark, monkeypatch, word_share, pair_share
         assert got[i].score == pytest.approx(target_loss[i] - corpus_loss[i])
 
 
+@pytest.mark.parametrize("lot, part", [(lm.LOT, lm.PART), (50, 40)])
+def test_lm_models_hold_every_word_and_bigram(spark, monkeypatch, lot, part):
+    """Scores of whole models, among them words and bigrams far rarer than any share that pruned models keep."""
+    monkeypatch.setattr(lm, "LOT", lot)
+    monkeypatch.setattr(lm, "PART", part)
+    r = random.Random(6)
+    texts = [None, "", " \n", "one", "é É 漢"] + [" ".join(r.choices("aAbcdefghij", [9, 9, 5, 5, 3, 2, 2, 1, 1, 1, 1], k=r.randint(1, 60))) for _ in range(40)]
+    texts += [*texts[10:14], prose(3, 3000), "a b " * 4000 + "once only here", "only here and once"]
+    targets = [7, 9, 11, 30, 50]
+    target_loss, corpus_loss = plain_scores(texts, targets, 1 << 62, 1 << 62)
+    t = spark.createDataFrame([(i,) for i in targets], "doc_id long")
+    got = {x.doc_id: x for x in lm.score(docs_of(spark, texts), t).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        assert got[i].n_tokens == len((text or "").split())
+        if not got[i].n_tokens:
+            assert (got[i].target_loss, got[i].corpus_loss, got[i].score) == (None, None, None)
+            continue
+        assert got[i].target_loss == pytest.approx(target_loss[i], abs=1e-9) and got[i].corpus_loss == pytest.approx(corpus_loss[i], abs=1e-9)
+        assert got[i].score == pytest.approx(target_loss[i] - corpus_loss[i], abs=1e-9)
+
+
+def test_lm_counts_bigrams_below_the_shares(spark, monkeypatch):
+    """Shares too small to keep a bigram that is seen twice in a corpus: the whole models keep it all the same."""
+    monkeypatch.setattr(lm, "WORD_SHARE", 20)
+    monkeypatch.setattr(lm, "PAIR_SHARE", 20)
+    texts = [prose(s, 300) for s in range(20)] + ["rare words in pairs", "rare words in pairs", "pairs in words rare"]
+    t = spark.createDataFrame([(0,)], "doc_id long")
+    got = {r.doc_id: r for r in lm.score(docs_of(spark, texts), t).collect()}
+    assert got[20].corpus_loss < got[22].corpus_loss - 0.1
+
+
+def test_lm_ids_of_any_size_beside_null(spark):
+    d = docs_of(spark, ["a b c", "a b", None], [(1 << 62) + 1, None, (1 << 62) + 2])
+    got = lm.score(d, spark.createDataFrame([((1 << 62) + 1,)], "doc_id long")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 2), ((1 << 62) + 1, 3), ((1 << 62) + 2, 0)]
+
+
 def test_lm_keeps_the_words_of_a_small_target(spark):
     """Target words that are rare in the corpus stay apart from the unknown class."""
     texts = [prose(s, 300) for s in range(60)] + ["topic words that only this target has"] * 2 + ["topic words that only some other text has"]
