@@ -41,35 +41,32 @@ def _device_of_line(linenumber: Column) -> Column:
 def daily_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily fact over all sites, columns in ``schema.DAILY`` order.
 
-    Spark picks the joins by the sizes of the sides.
+    Spark picks the joins by the sizes of the sides. Where a side is too large to be broadcast the lines are shuffled, so they go
+    into the joins as small numbers (whole days, whole prices), and wide texts come last; every side is a table, whose size Spark
+    knows beforehand (that of a join is guessed too large to be broadcast).
     """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_returnflag", "l_shipdate",
-    )
+        "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", F.to_date("l_shipdate").alias("day"),
+        F.floor("l_quantity").cast("bigint").alias("clicks"), F.floor("l_extendedprice").cast("bigint").alias("impressions"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    supp_nation = supplier.join(
-        nation, supplier.s_nationkey == nation.n_nationkey
-    ).select("s_suppkey", "n_name")
-
-    joined = li.join(part, li.l_partkey == part.p_partkey).join(
-        supp_nation, li.l_suppkey == supp_nation.s_suppkey
+    joined = (
+        li.join(supplier, li.l_suppkey == supplier.s_suppkey)
+        .join(part, li.l_partkey == part.p_partkey)
+        .join(nation, supplier.s_nationkey == nation.n_nationkey)
     )
-    qty = F.floor("l_quantity")
-    price = F.floor("l_extendedprice")
     return joined.select(
         F.concat(F.lit("sc-domain:"), F.lower("l_returnflag"), F.lit(".example")).alias("site_url"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
+        F.date_format("day", "yyyy-MM-dd").alias("date"),
         F.col("p_name").alias("query"),
         F.concat(F.lit("/"), F.lower("p_type"), F.lit("/"),
                  F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("page"),
         _device_of_line(F.col("l_linenumber")).alias("device"),
         F.col("n_name").alias("country"),
-        qty.cast("bigint").alias("clicks"),
-        price.cast("bigint").alias("impressions"),
-        (qty.cast("double") / price.cast("double")).alias("ctr"),
+        "clicks",
+        "impressions",
+        (F.col("clicks").cast("double") / F.col("impressions").cast("double")).alias("ctr"),
         (F.col("l_linenumber") + (F.col("l_partkey") % 4) * F.lit(0.25)).cast("double").alias("position"),
     ).select(*DAILY_COLUMNS)
 

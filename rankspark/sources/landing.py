@@ -216,8 +216,8 @@ def to_response_pages(fact: DataFrame, kind: str = "daily", fetch_id: str = "rep
     Rows are numbered without ever sorting a large day in one task: a day of more than BUCKET_ROWS rows is
     split into hash buckets of about that size, rows are numbered inside their bucket, and each bucket's
     offset is the running total of the bucket sizes before it (a window over per-bucket counts, one small
-    row per bucket). A row is shuffled once, to its bucket, where the pages that lie in it are gathered;
-    only the rows of pages over the edge of two buckets move again, to (site, date, page).
+    row per bucket). A row is shuffled once, as the flat columns of the facts, to its bucket, where the pages
+    that lie in it are gathered; only the rows of pages over the edge of two buckets move again, to (site, date, page).
     """
     dims = [F.col(c) for c in ("query", "page", "device", "country")]
     if kind == "hourly":
@@ -234,10 +234,12 @@ def to_response_pages(fact: DataFrame, kind: str = "daily", fetch_id: str = "rep
         F.col("position").cast("double").alias("position"),
     )
     size = max(page_limit, BUCKET_ROWS)
+    cols = ["query", "page", "device", "country", "clicks", "impressions", "ctr", "position"]
+    cols = ["hour", *cols] if kind == "hourly" else cols
     # Stored, so that Spark knows how small it is and the facts need no shuffle to meet it.
     days = stored(fact.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n")), "page-days")
-    rows = fact.select(*UNIT, row.alias("row")).join(days, UNIT)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / size)))
+    rows = fact.select(*UNIT, *cols).join(days, UNIT)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*cols), F.ceil(F.col("n") / size)).cast("int"))
 
     split = not days.where(F.col("n") > size).isEmpty()
     if split:
@@ -246,8 +248,9 @@ def to_response_pages(fact: DataFrame, kind: str = "daily", fetch_id: str = "rep
         sizes = stored(sizes.select("*", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset")), "page-buckets")
         rows = rows.join(sizes, [*UNIT, "bucket"], "left")
     start = F.coalesce("offset", F.lit(0)) if split else F.lit(0)
-    in_bucket = Window.partitionBy(*UNIT, "bucket").orderBy("row.keys", "row.clicks", "row.impressions", "row.ctr", "row.position")
-    indexed = rows.withColumn("i", start + F.row_number().over(in_bucket) - 1).withColumn("page_no", F.floor(F.col("i") / page_limit))
+    in_bucket = Window.partitionBy(*UNIT, "bucket").orderBy(*cols)
+    indexed = rows.withColumn("i", start + F.row_number().over(in_bucket) - 1)
+    indexed = indexed.withColumn("row", row).withColumn("page_no", F.floor(F.col("i") / page_limit))
 
     def gathered(part: DataFrame, *by: str) -> DataFrame:
         pages = part.groupBy(*UNIT, *by, "page_no").agg(F.array_sort(F.collect_list(F.struct("i", "row"))).alias("numbered"))

@@ -78,7 +78,7 @@ class PageLog:
         return self.spark.read.schema(schema).option("basePath", self.folder(part)).parquet(*(self.folder(part, e) for e in epochs))
 
     def append(self, batch: DataFrame, epoch: str) -> None:
-        sized(batch).write.mode("overwrite").parquet(self.folder("pages", epoch))
+        sized(batch).write.mode("overwrite").option("compression", "zstd").parquet(self.folder("pages", epoch))
         refs = page_refs(self.spark.read.schema(SIZED).parquet(self.folder("pages", epoch)))
         refs.withColumn("epoch", F.lit(epoch)).select(*WITH_EPOCH.names).write.mode("overwrite").parquet(self.folder("refs", epoch))
 

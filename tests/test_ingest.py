@@ -317,3 +317,27 @@ def test_landed_replay_is_compressed(spark, tmp_path):
     names = [n for n in os.listdir(tmp_path / "landing") if n.startswith("part-")]
     assert names and all(n.endswith(".json.gz") for n in names)
     assert spark.read.schema(RAW_PAGE).json(str(tmp_path / "landing")).count() == 1
+
+
+def _shuffled(df):
+    """The columns of every shuffle in the plan of ``df``."""
+    import re
+
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [re.findall(r"(\w+)#\d+", cols) for cols in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", text)]
+
+
+def test_shuffled_rows_are_narrow(spark):
+    """Lines go into shuffled joins as numbers, without texts or fine times; replayed rows go to their bucket as flat columns."""
+    from rankspark.sources.landing import to_response_pages
+
+    facts = Store.fixtures(spark, "/root/testdata/sf0.001").daily()
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")  # as if the dimensions were large
+    try:
+        lines = [c for c in _shuffled(facts.select("*")) if "l_partkey" in c and "p_name" not in c]
+        assert lines and not any({"l_shipdate", "l_extendedprice", "l_quantity", "n_name"} & set(c) for c in lines)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    rows = [c for c in _shuffled(to_response_pages(facts, "daily", page_limit=7)) if "bucket" in c]
+    assert rows and not any("row" in c or "keys" in c for c in rows)
